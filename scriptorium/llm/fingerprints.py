@@ -154,7 +154,7 @@ def similar_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     Empty fingerprints have no partner.
     """
     classes = checkpoint(prints.select("fingerprint").filter("fingerprint <> ''").distinct())
-    one = F.transform(F.sequence(F.lit(0), F.length("fingerprint") / 8 - 1), lambda i: F.substr("fingerprint", i.cast("int") * 8 + 1, F.lit(8)))
+    one = F.transform(F.expr("sequence(0, length(fingerprint) div 8 - 1)"), lambda i: F.substr("fingerprint", i.cast("int") * 8 + 1, F.lit(8)))
     sigs = classes.select("fingerprint", F.explode(one).alias("sig"))
     ranked = sigs.join(sigs.groupBy("sig").agg(F.count("*").alias("n")), "sig").groupBy("fingerprint").agg(F.sort_array(F.collect_list(F.struct("n", "sig"))).alias("s"))
     size = F.size("s")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, map_batches
-from .tokenizing import WordTokenizer
+from .tokenizing import worker_tokenizer
 
 CAPACITY = 2048
 END_ID = 0
@@ -103,12 +103,12 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokeniz
     """
 
     def make():
-        own, part, seen, end = WordTokenizer(tokenizer), TaskContext.get().partitionId(), defaultdict(int), np.array([end_id], "<u4").tobytes()
+        own, part, seen, end = worker_tokenizer(tokenizer), TaskContext.get().partitionId(), defaultdict(int), np.array([end_id], "<u4").tobytes()
 
         def step(batch: pa.RecordBatch):
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = own.ids(text.as_py()) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), own.ids(batch.column(1).to_pylist())):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     data = ids[at : at + 4 * capacity]
                     n = len(data) // 4

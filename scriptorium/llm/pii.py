@@ -79,9 +79,12 @@ INVISIBLE = "­​‌‍⁠﻿"
 _NUMBER = "|".join(sorted(NUMBER_WORDS, key=len, reverse=True))
 _AT = r"\s*[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>]\s*"
 _DOT = r"\s*[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*"
+_BRACKET = re.compile(r"[\[({<]\s*(?:at|@|arroba|ät|dot|\.|punkt|point|punto)\s*[\])}>]", re.I)
 _BRACKETED = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
 _NAME = r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*"
-_SPOKEN = re.compile(rf"(?<![\w.%+-])(?:{_NAME}(?:\s+(?:dot|punkt|point|punto)\s+))*{_NAME}(?P<at>\s+(?:at|arroba|ät)\s+)[A-Za-z0-9-]+(?:(?:\s+(?:dot|punkt|point|punto)\s+|\.)[A-Za-z0-9-]+)*(?:\s+(?:dot|punkt|point|punto)\s+)[A-Za-z]{{2,}}(?!\w)", re.I)
+#: Last labels that make words with at and dot an address; ordinary words such as "in" or "it" aren't among them.
+SPOKEN_ENDINGS = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "io", "dev", "app", "uk", "de", "fr", "es", "eu", "ch", "nl", "pl", "se", "ru", "jp", "cn", "br", "mx", "ca", "au")
+_SPOKEN = re.compile(rf"(?<![\w.%+-])(?:{_NAME}(?:\s+(?:dot|punkt|point|punto)\s+))*{_NAME}(?P<at>\s+(?:at|arroba|ät)\s+)[A-Za-z0-9-]+(?:(?:\s+(?:dot|punkt|point|punto)\s+|\.)[A-Za-z0-9-]+)*(?:\s+(?:dot|punkt|point|punto)\s+)(?:{'|'.join(SPOKEN_ENDINGS)})(?!\w)", re.I)
 _SPOKEN_DOT = re.compile(r"\s+(?:dot|punkt|point|punto)\s+", re.I)
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:plus)[\s-]+)?(?:(?:double|triple)\s+)?(?:{_NUMBER}|[0-9]+)(?:[\s,.-]+(?:(?:double|triple)\s+)?(?:dot|punkt|point|punto|{_NUMBER}|[0-9]+)(?!\w))+", re.I)
 _SPELLED_WORD = re.compile(rf"plus|double|triple|dot|punkt|point|punto|{_NUMBER}|[0-9]+", re.I)
@@ -105,8 +108,8 @@ def _single() -> dict[str, str]:
 
 
 @lru_cache(1)
-def _odd() -> re.Pattern:
-    return re.compile("[" + "".join(re.escape(c) for c in [*_single(), *INVISIBLE]) + "]")
+def _odd() -> frozenset[str]:
+    return frozenset([*_single(), *INVISIBLE])
 
 
 class Tape:
@@ -132,11 +135,12 @@ class Tape:
 
 def _characters(tape: Tape) -> Tape:
     table = _single()
-    return tape.rewrite([(m.start(), m.end(), table.get(m[0], "")) for m in _odd().finditer(tape.text)])
+    odd = _odd()
+    return tape.rewrite([(k, k + 1, table.get(c, "")) for k, c in enumerate(tape.text) if c in odd])
 
 
 def _at_dot(tape: Tape) -> Tape:
-    tape = tape.rewrite([(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(tape.text)]) if any(c in tape.text for c in "[({<") else tape
+    tape = tape.rewrite([(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(tape.text)]) if _BRACKET.search(tape.text) else tape
     if not any(s in tape.text.lower() for s in _DOT_SIGNS):
         return tape
     edits = []
@@ -149,6 +153,8 @@ def _at_dot(tape: Tape) -> Tape:
 def _spelled(tape: Tape) -> Tape:
     """Runs with at least four number words become digits; plus becomes +, dot a dot, double and triple repeat."""
     edits = []
+    if not _number_words(tape.text.lower()):
+        return tape
     for m in _SPELLED.finditer(tape.text):
         parts = [(p.start(), p.end(), p[0].lower()) for p in _SPELLED_WORD.finditer(tape.text, m.start(), m.end())]
         if sum(w in NUMBER_WORDS for _, _, w in parts) < 4:
@@ -164,15 +170,19 @@ def _spelled(tape: Tape) -> Tape:
     return tape.rewrite(edits)
 
 
+def _number_words(low: str) -> bool:
+    """Whether four number words stand within sixteen words of each other, as any run that _spelled rewrites has them."""
+    words = low.replace("-", " ").replace(",", " ").replace(".", " ").split()
+    at = [k for k, w in enumerate(words) if w in NUMBER_WORDS]
+    return any(b - a < 16 for a, b in zip(at, at[3:]))
+
+
 def disguised(text: str) -> bool:
     """Cheap signs that a rewriting could find anything."""
-    if not text.isascii() and _odd().search(text):
+    if not text.isascii() and not _odd().isdisjoint(text):
         return True
     low = text.lower()
-    return any(s in low for s in _DOT_SIGNS) or bool(_BRACKETED.search(text)) or bool(_SPELLED_RUN.search(text))
-
-
-_SPELLED_RUN = re.compile(rf"(?<!\w)(?:{_NUMBER})[\s,.-]+(?:double\s+|triple\s+)?(?:{_NUMBER})[\s,.-]+", re.I)
+    return any(s in low for s in _DOT_SIGNS) or bool(_BRACKET.search(text)) or _number_words(low)
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:

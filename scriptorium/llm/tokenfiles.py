@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, map_batches
-from .tokenizing import WordTokenizer
+from .tokenizing import worker_tokenizer
 
 BLOCK_IDS = 1 << 18
 #: The end-of-document id of the default vocabulary.
@@ -33,14 +33,14 @@ def write_blocks(docs: DataFrame, block_ids: int = BLOCK_IDS, end_id: int = END_
     """
 
     def make():
-        own, name, state = WordTokenizer(tokenizer), f"part-{TaskContext.get().partitionId():06d}", {"block": 0, "nth": 0}
+        own, name, state = worker_tokenizer(tokenizer), f"part-{TaskContext.get().partitionId():06d}", {"block": 0, "nth": 0}
         end = np.array([end_id], "<u2").tobytes()
 
         def step(batch: pa.RecordBatch):
             rows, stream = [], []
             ids = batch.column(0).to_pylist()
-            for text in batch.column(1):
-                stream += [np.frombuffer(own.ids(text.as_py()), "<u4").astype("<u2").tobytes(), end]
+            for found in own.ids(batch.column(1).to_pylist()):
+                stream += [np.frombuffer(found, "<u4").astype("<u2").tobytes(), end]
             data = b"".join(stream)
             for at in range(0, len(data), 2 * block_ids):
                 rows.append((name, state["block"], zlib.compress(data[at : at + 2 * block_ids], 1), None, None))

@@ -2,18 +2,23 @@
 
 The vocabulary's pre-tokenizer drops white space and never joins what stands on both sides of it,
 so a text's ids are the ids of its words in order. Each worker remembers the ids of words it has
-met (a bounded number), which makes most words one dictionary look-up.
+met (a bounded number), which makes most words one dictionary look-up; new words are encoded many
+at a time and cut apart again at the ids that end a word.
 """
 
 from __future__ import annotations
 
 import os
+from functools import lru_cache
 
 import numpy as np
 
-#: Words remembered by a worker; beyond it the memory starts anew.
+#: Words that a worker remembers, in each of two generations; when the newer is full it becomes the older.
 REMEMBERED = 300_000
+#: Characters whose words are looked up together, for memory.
+AT_ONCE = 1 << 20
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
+_PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII, without the apostrophe, which can start a contraction
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -25,8 +30,14 @@ def vocabulary(path: str | None = None) -> str:
     return public_tokenizers.path(DEFAULT_VOCABULARY)
 
 
+def _latin(word: bytes) -> bool:
+    """Whether a word is letters up to U+00FF."""
+    text = word.decode("utf-8", "surrogatepass")
+    return text.isalpha() and max(text) <= "\xff"
+
+
 class WordTokenizer:
-    """ids(text): little-endian unsigned 32-bit ids of a whole text, as bytes."""
+    """Little-endian unsigned 32-bit ids of whole texts, as bytes."""
 
     def __init__(self, path: str | None = None, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,22 +47,90 @@ class WordTokenizer:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.remembered = remembered
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        words = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(words.values(), default=0) + 1, bool)
+        self.ends[[k for w, k in words.items() if w.endswith("</w>")]] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.special):  # the library's own reading of control tokens, white space included
-            return self.encode([text])[0]
-        words = text.encode("utf-8", "surrogatepass").split()
-        known = self.known
-        if new := [w for w in dict.fromkeys(words) if w not in known]:
-            if len(known) + len(new) > self.remembered:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for k in range(0, len(new), 4096):
-                some = new[k : k + 4096]
-                known.update(zip(some, self.encode([w.decode("utf-8", "surrogatepass") for w in some])))
-        return b"".join([known[w] for w in words])
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words that are letters only, each of which ends with the one id that ends a word."""
+        out: list[bytes] = []
+        for k in range(0, len(words), 200):
+            some = words[k : k + 200]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some) and stops[-1] == len(ids):
+                raw, at = ids.tobytes(), [0, *(4 * stops).tolist()]
+                out += [raw[a:b] for a, b in zip(at, at[1:])]
+            else:
+                out += self.encode(some)
+        return out
+
+    def _learn(self, new: set[bytes]) -> None:
+        known, older = self.known, self.older
+        simple, others, stems, tails = [], [], {}, {b"": b""}
+        for w in new:
+            if w in older:
+                known[w] = older[w]
+                continue
+            stem = w.rstrip(_PUNCTUATION)
+            if stem.isalpha() or _latin(stem):  # letters, then one run of punctuation: two pre-tokens
+                simple.append((w, stem, w[len(stem) :]))
+            else:
+                others.append(w)
+        for w, stem, tail in simple:
+            stems[stem] = known.get(stem)
+            tails.setdefault(tail)
+        if missing := [stem for stem, ids in stems.items() if ids is None]:
+            stems.update(zip(missing, self._letters([stem.decode() for stem in missing])))
+        if missing := [tail for tail, ids in tails.items() if ids is None]:
+            tails.update(zip(missing, self.encode([tail.decode() for tail in missing])))
+        known.update(stems)
+        for w, stem, tail in simple:
+            if tail:
+                known[w] = stems[stem] + tails[tail]
+        known.update(zip(others, self.encode([w.decode("utf-8", "surrogatepass") for w in others])))
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        split = []
+        for text in texts:
+            raw = text.encode("utf-8", "surrogatepass")
+            # ASCII capitals become small letters in any case; with combining marks (U+0300 on) order would matter
+            split.append((raw if b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split())
+        if len(self.known) > self.remembered:
+            self.known, self.older = {}, self.known
+        words = set().union(*split)
+        if new := words.difference(self.known):
+            self._learn(new)
+        get = dict(zip(words, map(self.known.__getitem__, words))).__getitem__  # a small one is faster to read
+        return [b"".join(map(get, one)) for one in split]
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Null texts have no ids. Texts that hold a control token's string are read whole by the library."""
+        out: list[bytes] = [b""] * len(texts)
+        some, size = [], 0
+        for k, text in enumerate(texts):
+            if not text:
+                continue
+            if any(s in text for s in self.special):
+                out[k] = self.encode([text])[0]
+                continue
+            some.append(k)
+            size += len(text)
+            if size > AT_ONCE:
+                for j, ids in zip(some, self._some([texts[j] for j in some])):
+                    out[j] = ids
+                some, size = [], 0
+        if some:
+            for j, ids in zip(some, self._some([texts[j] for j in some])):
+                out[j] = ids
+        return out
+
+
+@lru_cache(2)
+def worker_tokenizer(path: str | None = None) -> WordTokenizer:
+    """One for each Python worker, so that words stay known from task to task."""
+    return WordTokenizer(path)
