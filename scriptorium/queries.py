@@ -181,7 +181,7 @@ _TOC = "SELECT CAST(doc_id // 5 AS BIGINT) AS book_id, doc_id % 5 + 1 AS pos, 'C
 _TOC_SQL = f"""WITH e AS (SELECT *, lead(title) OVER (PARTITION BY book_id ORDER BY pos) AS nx FROM ({_TOC})),
  b AS (SELECT e.*, raw, CASE WHEN strpos(lower(raw), lower(title)) > 0 THEN strpos(lower(raw), lower(title)) - 1 + length(title) ELSE 0 END AS st FROM e JOIN ({BOOKS}) USING (book_id)),
  r AS (SELECT *, substr(raw, CAST(st + 1 AS BIGINT)) AS rest FROM b)
- SELECT *, 1.0 AS confidence FROM ({_measured_sql(f"SELECT book_id, CAST(pos AS BIGINT) AS chapter_num, title, {duck_strip('CASE WHEN nx IS NOT NULL AND strpos(lower(rest), lower(nx)) > 0 THEN substr(rest, 1, CAST(strpos(lower(rest), lower(nx)) - 1 AS BIGINT)) ELSE rest END')} AS content FROM r")})"""
+ SELECT *, CAST(1 AS DOUBLE) AS confidence FROM ({_measured_sql(f"SELECT book_id, CAST(pos AS BIGINT) AS chapter_num, title, {duck_strip('CASE WHEN nx IS NOT NULL AND strpos(lower(rest), lower(nx)) > 0 THEN substr(rest, 1, CAST(strpos(lower(rest), lower(nx)) - 1 AS BIGINT)) ELSE rest END')} AS content FROM r")})"""
 
 
 @query(_TOC_SQL)
@@ -230,7 +230,7 @@ def chunk_ids(spark, sf_dir):
     return counted.select("book_id", F.concat(F.format_string("chapter_%03d_", "chapter_num"), T.slug(title), part).alias("chunk_id"))
 
 
-@query(f"""SELECT doc_id, CASE WHEN c + p + g + f > 0.5 THEN round(least(1.0, 0.5 + c + p + g + f), 6) ELSE round(0.5 + c + p + g + f, 6) END AS confidence FROM (SELECT doc_id,
+@query(f"""SELECT doc_id, CAST(round(least(1.0, 0.5 + c + p + g + f), 6) AS DOUBLE) AS confidence FROM (SELECT doc_id,
  CASE WHEN contains(lower(t), 'chapter') THEN 0.3 ELSE 0.0 END AS c, CASE WHEN contains(lower(t), 'part') OR contains(lower(t), 'section') THEN 0.2 ELSE 0.0 END AS p, CASE WHEN regexp_matches(t, '[0-9]') THEN 0.1 ELSE 0.0 END AS g,
  (CASE WHEN {wc('t')} <= 5 THEN 0.1 ELSE 0.0 END) + (CASE WHEN regexp_matches(t, '^[^a-zA-Z]*[A-Z][a-z]*([^a-zA-Z]+[A-Z][a-z]*)*[^a-zA-Z]*$') THEN 0.1 ELSE 0.0 END) AS f FROM (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents))""")
 def heading_confidence(spark, sf_dir):
@@ -238,7 +238,7 @@ def heading_confidence(spark, sf_dir):
     return first.select("doc_id", C.heading_confidence(F.col("t")).alias("confidence"))
 
 
-@query(f"""SELECT doc_id, CAST(strpos(text, t) - 1 AS BIGINT) AS start, t AS title, 0.6 AS confidence FROM (SELECT doc_id, text, {duck_strip('ps[i]')} AS t, ps[i + 1] AS nx FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ps FROM documents))) WHERE t <> '' AND {wc('t')} <= 10 AND {wc('nx')} > 50""")
+@query(f"""SELECT doc_id, CAST(strpos(text, t) - 1 AS BIGINT) AS start, t AS title, CAST(0.6 AS DOUBLE) AS confidence FROM (SELECT doc_id, text, {duck_strip('ps[i]')} AS t, ps[i + 1] AS nx FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ps FROM documents))) WHERE t <> '' AND {wc('t')} <= 10 AND {wc('nx')} > 50""")
 def heading_candidates(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", "\n", -1).alias("ps"))
     rows = lines.select("doc_id", "text", "ps", F.posexplode("ps").alias("k", "p")).select("doc_id", "text", T.strip(F.col("p")).alias("t"), F.get("ps", F.col("k") + 1).alias("nx"))
@@ -300,7 +300,7 @@ def doc_metadata_json(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.to_json(fields).alias("metadata"))
 
 
-@query(f"SELECT conv_id, turn, printf('%03d', turn + 1) || ' ' || role AS title, '[DIALOGUE_START]' || text || '[DIALOGUE_END]' AS spoken, {wc('text')} AS word_count, 1.0 AS confidence FROM conversations")
+@query(f"SELECT conv_id, turn, printf('%03d', turn + 1) || ' ' || role AS title, '[DIALOGUE_START]' || text || '[DIALOGUE_END]' AS spoken, {wc('text')} AS word_count, CAST(1 AS DOUBLE) AS confidence FROM conversations")
 def dialogue_chapters(spark, sf_dir):
     spoken = F.concat(F.lit("[DIALOGUE_START]"), "text", F.lit("[DIALOGUE_END]"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.format_string("%03d", F.col("turn") + 1), F.lit(" "), "role").alias("title"), spoken.alias("spoken"), T.word_count(F.col("text")).alias("word_count"), F.lit(1.0).alias("confidence"))

@@ -75,7 +75,7 @@ def read_epub(spark: SparkSession, path: str) -> DataFrame:
                     rows.append({"path": p, **parse(bytes(data))})
                 except Exception as e:  # a broken book is a row, not a failed job
                     rows.append({"path": p, "chapters": [], "images": [], "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=["path", "title", "author", "language", "content", "chapters", "images", "error"])
+            yield pd.DataFrame(rows, columns=["path", "title", "author", "language", "content", "chapters", "images", "error"], dtype=object)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, BOOK)
 
