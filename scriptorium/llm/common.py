@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from ..plans.session import reachable
+
 #: ASCII white space, the separators of a "word" ([^\x20\x09-\x0D]+). bytes.split() cuts at exactly these six.
 SPACES = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,7 +49,7 @@ def struct(schema: str | StructType) -> StructType:
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list | pa.RecordBatch | None]], schema: str | StructType) -> DataFrame:
     """One pass over Arrow batches: make() runs once in each task, what it returns turns a batch into columns."""
-    small_batches(df.sparkSession)
+    small_batches(reachable(df.sparkSession))
     arrow = to_arrow_schema(struct(schema))
 
     def run(batches):

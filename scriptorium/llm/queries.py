@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, fingerprints, htmltext, langid, mixing, packing, pii, quality, simhash, tokenfiles
+from .oracles import ORACLES  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,4 +79,4 @@ def pipeline(spark, sf_dir):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_mixing, op3_quality, op4_fingerprints, op5_chat, op6_language, op7_token_counts, op8_html, op9_simhash, op10_pii, pipeline)
 }
-ORACLES: dict[str, str] = {}
+
