@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import rules as R
+from ..plans.session import once
 from .text import strip, word_count
 
 WORDS_A_MINUTE = 200.0
 
 
 def _measured(df: DataFrame, confidence: float | None = None) -> DataFrame:
-    df = df.withColumn("word_count", word_count(F.col("content")))
+    df = once(df.drop("word_count"), "word_count", word_count(F.col("content")))
     df = df.withColumn("estimated_duration", F.round(F.col("word_count") / WORDS_A_MINUTE, 6))
     return df if confidence is None else df.withColumn("confidence", F.lit(confidence))
 
@@ -24,7 +25,9 @@ def by_pattern(df: DataFrame, pattern, text: str, key: str, group: int = 1, fall
     are one chapter called `fallback`, unstripped.
     """
     at = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = df.select(key, F.col(text).alias("_t"), F.regexp_extract_all(F.col(text), at, F.lit(group)).alias("_titles"), F.split(F.col(text), at, -1).alias("_parts"))
+    whole_text = once(df.withColumn("_at", at), "_t", F.col(text))
+    found = once(whole_text, "_f", F.struct(F.regexp_extract_all("_t", F.col("_at"), F.lit(group)).alias("titles"), F.split("_t", F.col("_at"), -1).alias("parts")))
+    found = found.select(key, "_t", F.col("_f.titles").alias("_titles"), F.col("_f.parts").alias("_parts"))
     pairs = F.arrays_zip(F.col("_titles").alias("t"), F.expr("slice(_parts, 2, size(_titles))").alias("c"))
     whole = F.array(F.struct(F.lit(fallback).alias("t"), F.col("_t").alias("c"))) if fallback else F.array().cast("array<struct<t: string, c: string>>")
     spans = found.select(key, F.posexplode(F.when(F.size("_titles") > 0, F.transform(pairs, lambda p: F.struct(strip(p["t"]).alias("t"), strip(p["c"]).alias("c")))).otherwise(whole)).alias("k", "p"))
@@ -74,7 +77,7 @@ def split_long(df: DataFrame, max_words: int = 5000) -> DataFrame:
     words = F.regexp_extract_all(F.col("content"), F.lit(f"[^{R.STRIP}]+"), F.lit(0))
     windows = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("_w") / max_words) - 1, F.lit(0))), lambda i: F.array_join(F.slice("_w", (i * max_words + 1).cast("int"), F.lit(max_words)), " "))
     long = F.col("word_count") > max_words
-    parts = df.withColumn("_w", F.when(long, words)).withColumn("_p", F.when(long, windows).otherwise(F.array("content")))
+    parts = once(df, "_w", F.when(long, words)).withColumn("_p", F.when(long, windows).otherwise(F.array("content")))
     parts = parts.select("*", F.posexplode("_p").alias("_k", "_c"))
     title = F.when(F.size("_p") > 1, F.concat("title", F.lit(" - Part "), (F.col("_k") + 1).cast("string"))).otherwise(F.col("title"))
     out = parts.withColumn("title", title).withColumn("content", F.col("_c")).withColumn("part", (F.col("_k") + 1).cast("long")).drop("_w", "_p", "_k", "_c")

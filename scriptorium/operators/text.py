@@ -10,7 +10,7 @@ from ..plans import rules as R
 
 def clean(text: Column) -> Column:
     """The cleaned text with prosody markers; null and blank texts stay as they are."""
-    blank = F.regexp_count(text, F.lit(f"[^{R.STRIP}]")) == 0
+    blank = ~text.rlike(f"[^{R.STRIP}]")
     return F.when(text.isNull() | blank, text).otherwise(R.apply(text, R.CLEAN))
 
 

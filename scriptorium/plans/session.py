@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -15,3 +16,12 @@ def reachable(spark: SparkSession) -> SparkSession:
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH")]))
     return spark
+
+
+def once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """df with a column that is computed once for each row, however often it is used.
+
+    Catalyst merges projections and then repeats a long chain of expressions wherever its result is used; a generator of one row is
+    a boundary that it doesn't merge.
+    """
+    return df.select("*", F.explode(F.array(column)).alias(name))

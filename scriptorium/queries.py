@@ -14,6 +14,7 @@ from .operators import chapters as C
 from .operators import chunking, media, progress
 from .operators import text as T
 from .plans import rules as R
+from .plans.session import once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,7 +120,7 @@ def clean_html_pages(spark, sf_dir):
 
 def _lowering(style: str) -> None:
     def run(spark, sf_dir):
-        out = markup(spark, sf_dir).select("doc_id", T.lower(T.clean(F.col("raw")), style).alias("lowered"))
+        out = once(markup(spark, sf_dir), "lowered", T.lower(T.clean(F.col("raw")), style)).select("doc_id", "lowered")
         return out.withColumn("error", F.when(F.col("lowered") == "", "Empty text after preprocessing"))
 
     run.__name__ = f"lower_{style}"
@@ -446,7 +447,7 @@ _DESC = "SELECT 'page_' || CAST(doc_id % 50 AS VARCHAR) || '.png' AS image_name,
  FROM (SELECT doc_id, {cleaned('raw')} AS t, 'page_' || CAST(doc_id % 50 AS VARCHAR) || '.png' AS image_name FROM ({MARKUP})) LEFT JOIN d USING (image_name)""")
 def image_integrate(spark, sf_dir):
     desc = table(spark, sf_dir, "documents").filter("doc_id % 2 = 1").selectExpr("'page_' || CAST(doc_id % 50 AS STRING) || '.png' AS image_name", "'seen ' || CAST(doc_id AS STRING) AS description", "(doc_id % 10) / 10.0 AS confidence", "doc_id AS seq")
-    texts = markup(spark, sf_dir).select("doc_id", T.clean(F.col("raw")).alias("text"))
+    texts = once(markup(spark, sf_dir), "text", T.clean(F.col("raw"))).select("doc_id", "text")
     return media.integrate(texts, desc, "doc_id").select("doc_id", "text")
 
 
@@ -540,8 +541,8 @@ _MODES = {"legacy": cleaned("raw"), "modern": R.apply_duck("raw", R.MODERN), "hy
 @query(f"WITH l AS (SELECT doc_id, raw, {cleaned('raw')} AS c FROM ({MARKUP})) SELECT mode, count(*) AS texts, CAST(sum({wc('t')}) AS BIGINT) AS words, CAST(sum(length(t)) AS BIGINT) AS chars FROM (SELECT 'legacy' AS mode, c AS t FROM l UNION ALL SELECT 'modern', {_MODES['modern']} FROM l UNION ALL SELECT 'hybrid', {_MODES['hybrid']} FROM l) GROUP BY mode")
 def mode_benchmark(spark, sf_dir):
     m = markup(spark, sf_dir)
-    once = m.select(T.clean(F.col("raw")).alias("t"))
-    modes = {"legacy": once, "modern": m.select(T.normalise(F.col("raw")).alias("t")), "hybrid": once.select(T.clean(F.col("t")).alias("t"))}
+    legacy = once(m, "t", T.clean(F.col("raw"))).select("t")
+    modes = {"legacy": legacy, "modern": once(m, "t", T.normalise(F.col("raw"))).select("t"), "hybrid": once(legacy.withColumnRenamed("t", "c"), "t", T.clean(F.col("c"))).select("t")}
     parts = [df.select(F.lit(k).alias("mode"), T.word_count(F.col("t")).alias("w"), F.length("t").alias("n")) for k, df in modes.items()]
     return parts[0].union(parts[1]).union(parts[2]).groupBy("mode").agg(F.count("*").alias("texts"), F.sum("w").alias("words"), F.sum("n").cast("long").alias("chars"))
 
