@@ -43,6 +43,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until df has no such column."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def struct(schema: str | StructType) -> StructType:
     return schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
 

@@ -15,7 +15,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, map_batches
@@ -82,13 +82,26 @@ def _ranges(docs: DataFrame) -> list[int]:
     return sorted(set(cuts or []))
 
 
+def _range_of(value: Column, cuts: list[int]) -> Column:
+    """How many of the sorted cuts are below a value (null: 0), looked up in two steps of about the root of their number."""
+    width = math.isqrt(len(cuts)) + 1
+    parts = [cuts[k : k + width] for k in range(0, len(cuts), width)]
+
+    def below(found: Column) -> Column:
+        return F.size(F.filter(found, lambda c: c < value))
+
+    lists = F.array(*(F.array(*map(F.lit, p)) for p in parts))
+    part = F.greatest(below(F.array(*(F.lit(p[0]) for p in parts))) - 1, F.lit(0))
+    return F.coalesce(part * width + below(F.element_at(lists, part + 1)), F.lit(0))
+
+
 def with_following(docs: DataFrame) -> DataFrame:
     """Rows (range, copy, doc_id, text), by range in the order of ids; a row with copy = 1 ends a range: the first row of the next.
 
     Texts are shuffled once. The rows copied are one for each range, whose number is bounded.
     """
     cuts = _ranges(docs)
-    at = F.coalesce(F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
+    at = _range_of(F.col("doc_id"), cuts) if cuts else F.lit(0)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(at))
     first = {r.range: r.first for r in rows.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), F.col("doc_id").alias("id"))).alias("first")).collect()}
     order = sorted(first)

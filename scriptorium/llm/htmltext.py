@@ -40,11 +40,20 @@ _SPACE = re.compile(r"\s+")
 @dataclass
 class Node:
     tag: str
-    path: str = ""
+    step: str = ""
     noise: bool = False
     parent: "Node | None" = None
     children: list = field(default_factory=list)
 
+    @property
+    def path(self) -> str:
+        """Steps (tag and classes) from the root down, apart by spaces, which no step holds; empty for the root."""
+        steps, node = [], self
+        while node.parent is not None:
+            steps.append(node.step)
+            node = node.parent
+        return " ".join(reversed(steps))
+
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
@@ -85,7 +94,7 @@ def parse(page: str) -> Node:
                 top = node.parent
         at_ = _attributes(m[3])
         classes = ".".join(sorted(_generalised(at_.get("class", ""))))
-        node = Node(tag, f"{top.path}/{tag}{'.' + classes if classes else ''}", _noisy(tag, at_), top)
+        node = Node(tag, f"{tag}{'.' + classes if classes else ''}", _noisy(tag, at_), top)
         top.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -182,15 +191,11 @@ def host(url: str | None) -> str:
 
 
 def extract(root: Node, winning: list[str]) -> str:
-    """Text of the outermost containers on one of the winning paths, tried from the most votes down; else of the page's own best."""
+    """Text of the containers on one of the winning paths, tried from the most votes down; else of the page's own best."""
     for path in winning:
-        hits, stack = [], [root]
-        while stack:
-            node = stack.pop()
-            if node.path == path and not node.noise:
-                hits.append(node)
-                continue
-            stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.noise)
+        hits = [root]
+        for step in path.split(" ") if path else ():
+            hits = [c for node in hits for c in node.children if isinstance(c, Node) and c.step == step and not c.noise]
         if text := "\n".join(b for n in hits for b in blocks(n)):
             return text
     own = best(root)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint
+from .common import WORD, checkpoint, fresh
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -120,8 +120,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns it had."""
     _, ends, few = rates(docs, **options)
     seed = options.get("seed", SEED)
-    own = ends.select(F.col("source").alias("_source"), F.col("times").alias("_times"), F.col("upto").alias("_upto"), F.col("more").alias("_more"))
-    joined = docs.join(F.broadcast(own) if few else own, docs["source"].eqNullSafe(own["_source"]))
-    copies = F.col("_times") + F.when((F.col("_more") > 0) & (draw(docs["doc_id"], seed) <= F.col("_upto")), 1).otherwise(0)
-    taken = joined.withColumn("_copies", copies).filter("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    source, times, upto, more, copies, copy = fresh(docs, "_source", "_times", "_upto", "_more", "_copies", "_copy")
+    own = ends.select(F.col("source").alias(source), F.col("times").alias(times), F.col("upto").alias(upto), F.col("more").alias(more))
+    joined = docs.join(F.broadcast(own) if few else own, docs["source"].eqNullSafe(own[source]))
+    often = F.col(times) + F.when((F.col(more) > 0) & (draw(docs["doc_id"], seed) <= F.col(upto)), 1).otherwise(0)
+    taken = joined.withColumn(copies, often).filter(F.col(copies) > 0)
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -77,8 +78,8 @@ NUMBER_WORDS = {
 }
 INVISIBLE = "­​‌‍⁠﻿"
 _NUMBER = "|".join(sorted(NUMBER_WORDS, key=len, reverse=True))
-_AT = r"\s*[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>]\s*"
-_DOT = r"\s*[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*"
+_AT = r"(?<!\s)\s*+[\[({<]\s*(?:at|@|arroba|ät)\s*[\])}>]\s*"
+_DOT = r"(?<!\s)\s*+[\[({<]\s*(?:dot|\.|punkt|point|punto)\s*[\])}>]\s*"
 _BRACKET = re.compile(r"[\[({<]\s*(?:at|@|arroba|ät|dot|\.|punkt|point|punto)\s*[\])}>]", re.I)
 _BRACKETED = re.compile(rf"(?P<at>{_AT})|(?P<dot>{_DOT})", re.I)
 _NAME = r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*"
@@ -185,6 +186,17 @@ def disguised(text: str) -> bool:
     return any(s in low for s in _DOT_SIGNS) or bool(_BRACKET.search(text)) or _number_words(low)
 
 
+def _stretches(spans: list[Span]) -> list[tuple[int, int]]:
+    """Stretches of text that spans cover, in order and apart from each other."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
 def added_spans(text: str, base: list[Span]) -> list[Span]:
     """Spans that only the normalised text shows, in source characters; none overlaps another."""
     if not disguised(text):
@@ -192,11 +204,12 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     tape = _spelled(_at_dot(_characters(Tape(text))))
     if tape.text == text:
         return []
-    taken, out = sorted((a, b) for _, a, b in base), []
+    taken, out = _stretches(base), []
     for kind, a, b in sorted(base_spans(tape.text), key=lambda s: (KINDS.index(s[0]), s[1])):
         start, end = tape.starts[a], tape.ends[b - 1]
-        if all(end <= x or y <= start for x, y in taken):
-            taken.append((start, end))
+        k = bisect_right(taken, (start, len(text) + 1))
+        if (not k or taken[k - 1][1] <= start) and (k == len(taken) or end <= taken[k][0]):
+            taken.insert(k, (start, end))
             out.append((kind, start, end))
     return out
 

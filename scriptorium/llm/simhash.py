@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_batches
+from .common import checkpoint, fresh, map_batches
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
 _BLOCK = 1 << 16
@@ -104,10 +104,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of the smallest doc_id of each component, one where that id repeats, with all columns. Rows without doc_id stay."""
     found = checkpoint(near_duplicates(docs).filter("doc_id is not null"))
-    keep = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    name = "_kept_id"
-    kept = docs.join(keep.select(F.col("doc_id").alias(name), "_rows").hint("shuffle_hash"), docs["doc_id"] == F.col(name))
+    name, nth = fresh(docs, "_kept_id", "_nth")
+    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(keep.hint("shuffle_hash"), docs["doc_id"] == F.col(name))
     if found.groupBy("doc_id").count().filter("count > 1").take(1):
-        kept = kept.withColumn("_nth", F.row_number().over(Window.partitionBy(name).orderBy("text"))).filter("_nth = 1")
+        kept = kept.withColumn(nth, F.row_number().over(Window.partitionBy(name).orderBy("text"))).filter(F.col(nth) == 1)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return kept.select(*columns).unionByName(docs.filter("doc_id is null"))

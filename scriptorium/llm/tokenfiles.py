@@ -28,12 +28,13 @@ BLOCKS = "file string, block long, data binary"
 def write_blocks(docs: DataFrame, block_ids: int = BLOCK_IDS, end_id: int = END_ID, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The flat token stream of documents in blocks (file, block, data), and a manifest (file, nth, doc_id) of what order went in.
 
-    One stream for each partition. Blocks are cut without regard to documents and deflated; the copy is kept in the
+    One stream for each partition. A text that holds a control token's string is ordinary text, so only document
+    ends are separators. Blocks are cut without regard to documents and deflated; the copy is kept in the
     shared checkpoint folder, so both results come from one pass that isn't run again.
     """
 
     def make():
-        own, name, state = worker_tokenizer(tokenizer), f"part-{TaskContext.get().partitionId():06d}", {"block": 0, "nth": 0}
+        own, name, state = worker_tokenizer(tokenizer, plain=True), f"part-{TaskContext.get().partitionId():06d}", {"block": 0, "nth": 0}
         end = np.array([end_id], "<u2").tobytes()
 
         def step(batch: pa.RecordBatch):

@@ -40,13 +40,17 @@ def _latin(word: bytes) -> bool:
 
 
 class WordTokenizer:
-    """Little-endian unsigned 32-bit ids of whole texts, as bytes."""
+    """Little-endian unsigned 32-bit ids of whole texts, as bytes.
 
-    def __init__(self, path: str | None = None, remembered: int = REMEMBERED):
+    With plain, a control token's string in a text is ordinary text and never becomes that token.
+    """
+
+    def __init__(self, path: str | None = None, remembered: int = REMEMBERED, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary(path))
+        self.tokenizer.encode_special_tokens = plain
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.remembered = remembered
         self.known: dict[bytes, bytes] = {}
@@ -137,6 +141,6 @@ class WordTokenizer:
 
 
 @lru_cache(2)
-def worker_tokenizer(path: str | None = None) -> WordTokenizer:
+def worker_tokenizer(path: str | None = None, plain: bool = False) -> WordTokenizer:
     """One for each Python worker, so that words stay known from task to task."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, plain=plain)
