@@ -204,13 +204,16 @@ def extract(root: Node, winning: list[str]) -> str:
 
 #: Paths of a host that are tried, by votes. Pages that none of them fits use their own best container.
 PATHS = 3
+#: Characters of all hosts' winning paths up to which they are broadcast, and the parts that a host's pages are dealt into beyond it.
+BROADCAST_CHARS, SALTS = 8_000_000, 32
 
 
-def main_text(pages: DataFrame, paths: int = PATHS) -> DataFrame:
+def main_text(pages: DataFrame, paths: int = PATHS, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """page_id, url, text, n_chars of every row: the article's blocks in page order, joined by a newline; empty if there is none.
 
     Null html is an empty page, a null or odd url belongs to the host ''. Rows with equal ids are extracted one by
     one. Votes are counted with partial sums, so a hot host gathers no pages; each host keeps `paths` paths.
+    Those are broadcast while their size allows it; beyond it a host's pages are dealt into SALTS parts to meet them.
     """
 
     def vote():
@@ -228,7 +231,14 @@ def main_text(pages: DataFrame, paths: int = PATHS) -> DataFrame:
     won = votes.withColumn("nth", F.row_number().over(rank)).filter(F.col("nth") <= paths)
     won = checkpoint(won.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("nth", "path"))).alias("p")).select("host", F.col("p.path").alias("paths")))
     own_host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?i)\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    joined = pages.select("page_id", "url", "html", own_host.alias("host")).join(won, "host", "left")
+    hosted = pages.select("page_id", "url", "html", own_host.alias("host"))
+    size = F.length("host") + F.aggregate("paths", F.lit(0), lambda n, p: n + F.length(p))
+    if (won.agg(F.sum(size)).first()[0] or 0) <= broadcast_chars:
+        joined = hosted.join(F.broadcast(won), "host", "left")
+    else:
+        salt = F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.lit(SALTS))
+        salted = won.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = hosted.withColumn("salt", salt).join(salted, ["host", "salt"], "left")
 
     def again():
         def step(batch: pa.RecordBatch):

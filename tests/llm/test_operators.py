@@ -434,3 +434,9 @@ def test_html_nested_very_deep():
     root = htmltext.parse(page)
     path = htmltext.best(root).path
     assert path.count(" ") == 20_001 and htmltext.extract(root, [path]) == "deep words of a text"
+
+
+def test_html_without_broadcast(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    dealt = htmltext.main_text(pages, broadcast_chars=0)
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, htmltext.main_text(pages).collect()))
