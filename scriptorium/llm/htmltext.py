@@ -25,11 +25,12 @@ SKIPPED = frozenset("script style noscript template iframe svg math object head
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CONTAINERS = frozenset("article main section div td body blockquote".split())
-NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|menus|breadcrumb|breadcrumbs|header|masthead|footer|foot|"
-    r"sidebar|side|aside|widget|related|recommended|share|sharing|social|comment|comments|disqus|reply|replies|cookie|cookies|consent|notice|notices|gdpr|popup|modal|overlay|newsletter|subscribe|"
-    r"subscription|signup|login|form|search|pagination|pager|toolbar|skip|copyright|legal)(?:$|[\s_-])",
-    re.I,
+#: Class names and ids of boilerplate, whole; parts of a name such as has-sidebar say nothing about what the element is.
+NOISE = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer foot "
+    "sidebar side aside widget related recommended share sharing social comment comments disqus reply replies cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe "
+    "subscription signup login form search pagination pager toolbar skip copyright legal "
+    "site-header site-footer page-footer site-nav site-navigation main-nav main-navigation main-menu nav-menu cookie-banner cookie-notice cookie-consent skip-link related-posts comment-list comments-area share-buttons".split()
 )
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<", re.S)
@@ -42,6 +43,7 @@ class Node:
     tag: str
     step: str = ""
     noise: bool = False
+    named: bool = False
     parent: "Node | None" = None
     children: list = field(default_factory=list)
 
@@ -60,15 +62,36 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _noisy(tag: str, at: dict[str, str]) -> bool:
-    if tag in SKIPPED or "hidden" in at or at.get("aria-hidden") == "true" or at.get("role", "").lower() in NOISE_ROLES:
-        return True
-    return tag not in ("article", "main", "body", "html") and any(NOISE.search(at[k]) for k in ("class", "id") if at.get(k))
+    return tag in SKIPPED or "hidden" in at or at.get("aria-hidden") == "true" or at.get("role", "").lower() in NOISE_ROLES
+
+
+def _noise_named(tag: str, at: dict[str, str]) -> bool:
+    return tag not in ("article", "main", "body", "html") and any(name.lower().replace("_", "-") in NOISE for k in ("class", "id") for name in at.get(k, "").split())
+
+
+def _spare(root: Node, named: list[Node]) -> None:
+    """Elements that only their name marks as boilerplate stay if they hold most of the page's unlinked paragraph text (text, where no paragraph has any)."""
+    order, stack = [], [(root, False)]
+    while stack:
+        node, within = stack.pop()
+        order.append((node, within))
+        stack.extend((c, within or c.tag == "p") for c in node.children if isinstance(c, Node) and (c.named or not c.noise))
+    for anywhere in (False, True):
+        held: dict[int, int] = {}
+        for node, within in reversed(order):
+            n = sum((len(c.strip()) if within or anywhere else 0) if isinstance(c, str) else held.get(id(c), 0) for c in node.children)
+            held[id(node)] = 0 if node.tag == "a" else n
+        if held[id(root)]:
+            break
+    for node in named:
+        if 2 * held.get(id(node), 0) > held[id(root)]:
+            node.noise = False
 
 
 def parse(page: str) -> Node:
     """A tree of elements and texts; unclosed elements end with their parent, a block ends an open paragraph."""
     root = Node("#root")
-    top, at, size = root, 0, len(page)
+    top, at, size, named = root, 0, len(page), []
     while at < size:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -94,7 +117,11 @@ def parse(page: str) -> Node:
                 top = node.parent
         at_ = _attributes(m[3])
         classes = ".".join(sorted(_generalised(at_.get("class", ""))))
-        node = Node(tag, f"{tag}{'.' + classes if classes else ''}", _noisy(tag, at_), top)
+        hard = _noisy(tag, at_)
+        by_name = not hard and _noise_named(tag, at_)
+        node = Node(tag, f"{tag}{'.' + classes if classes else ''}", hard or by_name, by_name, top)
+        if by_name:
+            named.append(node)
         top.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -105,6 +132,8 @@ def parse(page: str) -> Node:
             top = node
         elif tag not in VOID and tag not in ("svg", "math"):
             top = node  # HTML ignores the slash of an element that isn't void
+    if named:
+        _spare(root, named)
     return root
 
 

@@ -440,3 +440,10 @@ def test_html_without_broadcast(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     dealt = htmltext.main_text(pages, broadcast_chars=0)
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, htmltext.main_text(pages).collect()))
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "content-side-left", "elementor-widget", "widget"])
+def test_html_in_containers_with_noisy_names(name):
+    page = f'<body><div class="{name}"><article><h1>Head</h1><p>The words of the article.</p><div class="sidebar"><p>apart</p></div></article></div><div class="footer"><p>imprint</p></div>'
+    root = htmltext.parse(page)
+    assert htmltext.extract(root, [htmltext.best(root).path]) == "Head\nThe words of the article."
