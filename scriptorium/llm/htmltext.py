@@ -1,9 +1,9 @@
 """Main text of web pages by consensus host paths.
 
 Every page's containers are scored by the text they hold that isn't linked or boilerplate. The best
-container's path, generalised to tags and classes, is the page's vote; votes are counted for each host in
-Spark, and every page is extracted again with its host's winning paths. A page in which none of them is found
-falls back to its own best container.
+container, widened until it leaves no such text out, gives a path, generalised to tags and classes: the page's
+vote. Votes are counted for each host in Spark, and every page is extracted again with the winning path that
+holds most text on it. A page whose own best container holds more than any of them uses that.
 """
 
 from __future__ import annotations
@@ -179,19 +179,31 @@ def _walk(root: Node):
         stack.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.noise)
 
 
+def _unlinked(order: list[Node]) -> dict[int, int]:
+    """Characters in each node that are neither linked nor boilerplate."""
+    inside: dict[int, int] = {}
+    for node in reversed(order):  # children first
+        n = sum(len(c.strip()) if isinstance(c, str) else inside.get(id(c), 0) for c in node.children if isinstance(c, str) or not c.noise)
+        inside[id(node)] = 0 if node.tag == "a" else n
+    return inside
+
+
+def _bonus(node: Node) -> float:
+    return 2.0 if node.tag in ("article", "main") else 1.0
+
+
 def scores(root: Node) -> list[tuple[float, Node]]:
     """A score for each container: characters of its own paragraphs, half of those a level below and so on, links not counted."""
+    order = list(_walk(root))
+    return _scores(root, order, _unlinked(order))
+
+
+def _scores(root: Node, order: list[Node], inside: dict[int, int]) -> list[tuple[float, Node]]:
     own: dict[int, float] = {}
     nodes: dict[int, Node] = {}
-    order = list(_walk(root))
-    inside: dict[int, int] = {}
-    for node in reversed(order):  # children first
-        n = sum(len(c) if isinstance(c, str) else inside.get(id(c), 0) for c in node.children if isinstance(c, str) or not c.noise)
-        inside[id(node)] = 0 if node.tag == "a" else n
     for node in order:
         if node.tag in CONTAINERS or node is root:
             nodes[id(node)] = node
-            bonus = 2.0 if node.tag in ("article", "main") else 1.0
             direct, queue = 0.0, [(c, 1.0) for c in node.children]
             while queue:
                 c, weight = queue.pop()
@@ -202,15 +214,33 @@ def scores(root: Node) -> list[tuple[float, Node]]:
                         direct += weight * 0.5 * inside[id(c)] if weight > 0.5 else 0.0
                     else:
                         queue.extend((d, weight) for d in c.children)
-            own[id(node)] = bonus * direct
+            own[id(node)] = _bonus(node) * direct
     return [(s, nodes[k]) for k, s in own.items()]
 
 
-def best(root: Node) -> Node | None:
-    """The container with the highest score; the first on the page among equals, none if nothing has text."""
-    found = scores(root)
+def _best(root: Node) -> tuple[Node | None, dict[int, int]]:
+    order = list(_walk(root))
+    inside = _unlinked(order)
+    found = _scores(root, order, inside)
     top = max((s for s, _ in found), default=0.0)
-    return next((n for s, n in found if s == top), None) if top > 0 else None
+    if top <= 0:
+        return None, inside
+    node = next(n for s, n in found if s == top)
+    above = [node]
+    while above[-1].parent is not None:
+        above.append(above[-1].parent)
+    if marked := [n for n in above if n.tag in ("article", "main") and 2 * inside[id(n)] >= inside[id(root)]]:
+        above = above[: above.index(marked[-1]) + 1]
+    most = inside[id(above[-1])]
+    return next(n for n in above if inside[id(n)] == most), inside
+
+
+def best(root: Node) -> Node | None:
+    """The container with the highest score, or the lowest one around it that leaves no text out; none if nothing has text.
+
+    An article or main around it that holds half of the page's text or more is the outer limit.
+    """
+    return _best(root)[0]
 
 
 def host(url: str | None) -> str:
@@ -220,18 +250,23 @@ def host(url: str | None) -> str:
 
 
 def extract(root: Node, winning: list[str]) -> str:
-    """Text of the containers on one of the winning paths, tried from the most votes down; else of the page's own best."""
+    """Text of the containers on the winning path that holds most of it on this page, or of the page's own best if that holds more.
+
+    Characters count as in scores, twice in article and main; more votes go first among equals.
+    """
+    own, inside = _best(root)
+    found = []
     for path in winning:
         hits = [root]
         for step in path.split(" ") if path else ():
             hits = [c for node in hits for c in node.children if isinstance(c, Node) and c.step == step and not c.noise]
-        if text := "\n".join(b for n in hits for b in blocks(n)):
-            return text
-    own = best(root)
-    return "\n".join(blocks(own)) if own else ""
+        found.append(hits)
+    found += [[own]] if own else []
+    found.sort(key=lambda hits: -sum(_bonus(n) * inside[id(n)] for n in hits))
+    return next((text for hits in found if (text := "\n".join(b for n in hits for b in blocks(n)))), "")
 
 
-#: Paths of a host that are tried, by votes. Pages that none of them fits use their own best container.
+#: Paths of a host that are tried, by votes. Pages on which their own best container holds more use that.
 PATHS = 3
 #: Characters of all hosts' winning paths up to which they are broadcast, and the parts that a host's pages are dealt into beyond it.
 BROADCAST_CHARS, SALTS = 8_000_000, 32

@@ -447,3 +447,18 @@ def test_html_in_containers_with_noisy_names(name):
     page = f'<body><div class="{name}"><article><h1>Head</h1><p>The words of the article.</p><div class="sidebar"><p>apart</p></div></article></div><div class="footer"><p>imprint</p></div>'
     root = htmltext.parse(page)
     assert htmltext.extract(root, [htmltext.best(root).path]) == "Head\nThe words of the article."
+
+
+def test_html_keeps_all_parts():
+    long, short = "The words of the article go on. " * 9, "An intro of some words."
+    for page in (
+        f"<body><div class=post><div class=title><h1>{short}</h1></div><div class=entry><p>{long}</p></div></div>",
+        f"<body>\n<div>\n<section class=intro><p>{short}</p></section>\n<section class=body><p>{long}</p></section>\n</div>",
+        f"<body><article><p>{short}</p></article><div class=rest><p>{long}</p></div>",
+    ):
+        root = htmltext.parse(page)
+        assert htmltext.extract(root, [htmltext.best(root).path]) == f"{short}\n{long.strip()}"
+        assert htmltext.extract(root, ["body div section.intro", "body div.post div.title", "body article"]) == f"{short}\n{long.strip()}"
+    teaser = f"<body><div class=lead><p>{short}</p></div><article><p>{long}</p></article>"
+    assert htmltext.extract(htmltext.parse(teaser), ["body div.lead", "body article"]) == long.strip()
+    assert htmltext.extract(htmltext.parse("<body><div><a href=x>only a link</a></div>"), ["body p", "body div"]) == "only a link"
