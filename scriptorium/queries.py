@@ -250,13 +250,13 @@ def heading_candidates(spark, sf_dir):
 @query("""WITH c AS (SELECT user_id, list({'start': CAST(event_id % 997 AS BIGINT), 'confidence': CAST(round(0.5 + (event_id % 6) / 10.0, 1) AS DOUBLE), 'title': CAST(event_id AS VARCHAR)} ORDER BY event_id % 997, round(0.5 + (event_id % 6) / 10.0, 1), CAST(event_id AS VARCHAR)) AS l FROM events WHERE user_id % 4 = 0 GROUP BY user_id)
  SELECT user_id, CAST(len(list_filter(l, lambda x: x.confidence >= 0.6)) AS BIGINT) AS candidates FROM c""")
 def heading_nms_input(spark, sf_dir):
-    rows = _candidates(spark, sf_dir)
+    rows = _candidates(spark, sf_dir).filter("user_id % 4 = 0")  # as its SQL
     return rows.select("user_id", F.size(F.filter("l", lambda x: x["confidence"] >= 0.6)).cast("long").alias("candidates"))
 
 
 def _candidates(spark, sf_dir):
     c = F.struct((F.col("event_id") % 997).alias("start"), F.round(0.5 + (F.col("event_id") % 6) / 10.0, 1).alias("confidence"), F.col("event_id").cast("string").alias("title"))
-    return table(spark, sf_dir, "events").filter("user_id % 4 = 0").groupBy("user_id").agg(F.sort_array(F.collect_list(c)).alias("l"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(c)).alias("l"))
 
 
 @query()

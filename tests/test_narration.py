@@ -127,6 +127,12 @@ def test_heading_nms(spark):
         break
 
 
+def test_heading_nms_has_all_users(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    want = {r.user_id for r in events.filter("round(0.5 + (event_id % 6) / 10.0, 1) >= 0.6").collect()}
+    assert {r.user_id for r in queries.heading_nms(spark, SF).collect()} == want
+
+
 def test_chunks_within_the_limit(spark):
     text = "Short. " + "x" * 95 + " y. " + "Tail is here! " * 9
     strict, fixed = (one(spark, chunking.sentence_chunks(F.col("t"), 40, s), t=text) for s in (True, False))
