@@ -12,7 +12,7 @@ from scriptorium.llm import mixing, packing, pii, quality, simhash
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a quality rule rejects go."""
-    return quality.keep_good(docs)
+    return quality.keep_good(docs, quality.CORPUS_RULES)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,6 +85,15 @@ class Figures:
     def n_dup_lines(self) -> int:
         return len(self.lines) - len(set(self.lines))
 
+    @cached_property
+    def line_bytes(self) -> int:
+        return sum(len(x.strip(SPACES)) for x in self.lines)
+
+    @cached_property
+    def dup_line_bytes(self) -> int:
+        """Bytes of lines that stood before in the text."""
+        return self.line_bytes - sum(len(x.strip(SPACES)) for x in set(self.lines))
+
     @cached_property
     def n_repeat_words(self) -> int:
         return repeated_words(self.words)
@@ -107,6 +116,9 @@ RULES = (
     Rule("repeated_lines", lambda f: 10 * f.n_dup_lines > 3 * len(f.lines)),
     Rule("shouting", lambda f: f.n_upper > f.n_lower),
 )
+#: For a corpus: repeated lines must also be over 30 % of the text in lines, so a short line twice costs no long text.
+#: RULES count lines alone, as the SQL of op3_quality does.
+CORPUS_RULES = tuple(Rule(r.name, lambda f: 10 * f.n_dup_lines > 3 * len(f.lines) and 10 * f.dup_line_bytes > 3 * f.line_bytes) if r.name == "repeated_lines" else r for r in RULES)
 BASE = ("too_few_words", "repeated_windows")
 
 

@@ -462,3 +462,12 @@ def test_html_keeps_all_parts():
     teaser = f"<body><div class=lead><p>{short}</p></div><article><p>{long}</p></article>"
     assert htmltext.extract(htmltext.parse(teaser), ["body div.lead", "body article"]) == long.strip()
     assert htmltext.extract(htmltext.parse("<body><div><a href=x>only a link</a></div>"), ["body p", "body div"]) == "only a link"
+
+
+def test_pipeline_keeps_clean_documents_with_a_short_line_twice(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id in (30, 3314, 3326, 3723, 8061, 9916)")
+    junk = "One line of some words that comes again.\n" * 2 + "Another line that is here."
+    both = docs.unionByName(spark.createDataFrame([(-1, junk, "en", "a", len(junk))], docs.schema))
+    assert {r.doc_id for r in corpus_pipeline.quality_rules(spark, both, SF).collect()} == {30, 3314, 3326, 3723, 8061, 9916}
