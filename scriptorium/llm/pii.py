@@ -86,6 +86,17 @@ _NAME = r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*"
 #: Last labels that make words with at and dot an address; ordinary words such as "in" or "it" aren't among them.
 SPOKEN_ENDINGS = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "io", "dev", "app", "uk", "de", "fr", "es", "eu", "ch", "nl", "pl", "se", "ru", "jp", "cn", "br", "mx", "ca", "au")
 _SPOKEN = re.compile(rf"(?<![\w.%+-])(?:{_NAME}(?:\s+(?:dot|punkt|point|punto)\s+))*{_NAME}(?P<at>\s+(?:at|arroba|ät)\s+)[A-Za-z0-9-]+(?:(?:\s+(?:dot|punkt|point|punto)\s+|\.)[A-Za-z0-9-]+)*(?:\s+(?:dot|punkt|point|punto)\s+)(?:{'|'.join(SPOKEN_ENDINGS)})(?!\w)", re.I)
+#: Country domains; with at and dot in words they make an address too where no word of PROSE or AFTER_AT speaks against it.
+COUNTRIES = frozenset(
+    "ac ad ae af ag ai al am ao aq ar as at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw cx cy cz de dj dk dm do dz ec ee eg er es et eu fi fj fk fm fo fr ga gd ge gf gg gh gi gl gm gn gp gq gr gs gt gu gw gy hk hm hn hr ht hu id ie il im in io iq ir is it je jm jo jp ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mh mk ml mm mn mo mp mq mr ms mt mu mv mw mx my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pf pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss st sv sx sy sz tc td tf tg th tj tk tl tm tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw".split()
+)
+#: Words before at that speak of a place on the web, and words after it that no domain begins with.
+PROSE = frozenset("me us you him her them it here there available found find look looks looked looking online site website web page pages visit see read more info information details hosted documentation docs download downloads is are was be and or".split())
+AFTER_AT = frozenset("the a an this that these those each every any some which what one my your his her its our their no all www".split())
+_AT_DOMAIN = re.compile(r"(?<=\s)(?P<word>at|arroba|ät)\s++(?P<domain>[A-Za-z0-9-]++(?:(?:\s++(?:dot|punkt|point|punto)\s++|\.)[A-Za-z0-9-]++)+)", re.I)
+_LABEL = re.compile(r"[A-Za-z0-9-]+")
+_DOT_BEFORE = re.compile(r"\s(?:dot|punkt|point|punto)\Z", re.I)
+_CUE = re.compile(r"mail|contact|kontakt|address|adress|correo|courriel|schreib|write", re.I)
 _SPOKEN_DOT = re.compile(r"\s+(?:dot|punkt|point|punto)\s+", re.I)
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:plus)[\s-]+)?(?:(?:double|triple)\s+)?(?:{_NUMBER}|[0-9]+)(?:[\s,.-]+(?:(?:double|triple)\s+)?(?:dot|punkt|point|punto|{_NUMBER}|[0-9]+)(?!\w))+", re.I)
 _SPELLED_WORD = re.compile(rf"plus|double|triple|dot|punkt|point|punto|{_NUMBER}|[0-9]+", re.I)
@@ -140,15 +151,89 @@ def _characters(tape: Tape) -> Tape:
     return tape.rewrite([(k, k + 1, table.get(c, "")) for k, c in enumerate(tape.text) if c in odd])
 
 
+def _local(text: str, end: int) -> tuple[int, list[tuple[int, int]]]:
+    """Where the name that ends before `end` begins, white space between left out, and the spans of its dots in words; (end, []) if there is none."""
+    start, dots, dot = end, [], None
+    while True:
+        stop = dot[0] if dot else end
+        while not dot and stop and text[stop - 1].isspace():
+            stop -= 1
+        at = stop
+        while at and text[at - 1] in _LOCAL:
+            at -= 1
+        while at < stop and text[at] == ".":
+            at += 1
+        if at == stop or text[stop - 1] == "." or (at and text[at - 1].isalnum()):
+            return start, dots
+        start, dots = at, [dot, *dots] if dot else dots
+        while at and text[at - 1].isspace():
+            at -= 1
+        word = _DOT_BEFORE.search(text, max(0, at - 7), at)
+        if at == start or not word:
+            return start, dots
+        stop = word.start() + 1
+        while stop and text[stop - 1].isspace():
+            stop -= 1
+        dot = (stop, start)
+
+
+def _is_address(text: str, start: int, at: int, labels: list[str], dots: list[str]) -> bool:
+    """Whether what stands at start, at in words and these labels are an address and not prose."""
+    end, name = labels[-1], text[start:at].strip()
+    if not re.fullmatch("[A-Za-z]{2,}", end) or labels[0].lower() in AFTER_AT or name.lower() in PROSE:
+        return False
+    known = end.lower() in COUNTRIES or end.lower() in SPOKEN_ENDINGS
+    strong = bool(re.search(r"[0-9._]|\s", name) or re.search("[0-9]", "".join(labels)) or _CUE.search(text, max(0, start - 40), start))
+    if all(d == "." for d in dots):
+        return (end.islower() or end.isupper()) and known
+    if "point" in dots:
+        return known and (strong or len(dots) > 1)
+    return known or strong or len(dots) > 1
+
+
+def _spoken(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+    """Edits of addresses with at in words that _SPOKEN doesn't know; none touches a span of `taken`."""
+    edits, last, k = [], 0, 0
+    for m in _AT_DOMAIN.finditer(text):
+        while k < len(taken) and taken[k][1] <= m.start():
+            last = max(last, taken[k][1])
+            k += 1
+        stop = m.start()
+        while stop and text[stop - 1].isspace():
+            stop -= 1
+        start, before = _local(text, m.start())
+        found = list(_LABEL.finditer(text, *m.span("domain")))
+        pieces, n = [(found[0].start(), found[0].end())], 1
+        gaps = []
+        while n < len(found) and len(pieces) < 127:  # no domain has more labels; words for dots stand between labels as labels of their own
+            gap = text[pieces[-1][1] : found[n].start()]
+            if gap == ".":
+                gaps.append((pieces[-1][1], found[n].start(), "."))
+                pieces.append(found[n].span())
+                n += 1
+            else:
+                gaps.append((pieces[-1][1], found[n + 1].start(), found[n][0].lower()))
+                pieces.append(found[n + 1].span())
+                n += 2
+        while len(pieces) > 1 and not _is_address(text, start, stop, [text[a:b] for a, b in pieces], [g[2] for g in gaps]):
+            pieces.pop()
+            gaps.pop()
+        if len(pieces) < 2 or start >= stop or start < last or (k < len(taken) and taken[k][0] < pieces[-1][1]):
+            continue
+        edits += [(a, b, ".") for a, b in before] + [(stop, pieces[0][0], "@")] + [(a, b, ".") for a, b, d in gaps if d != "."]
+        last = pieces[-1][1]
+    return edits
+
+
 def _at_dot(tape: Tape) -> Tape:
     tape = tape.rewrite([(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(tape.text)]) if _BRACKET.search(tape.text) else tape
-    if not any(s in tape.text.lower() for s in _DOT_SIGNS):
-        return tape
-    edits = []
-    for m in _SPOKEN.finditer(tape.text):
-        a, b = m.span("at")
-        edits += [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(tape.text, m.start(), a)] + [(a, b, "@")] + [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(tape.text, b, m.end())]
-    return tape.rewrite(edits)
+    edits, taken = [], []
+    if any(s in tape.text.lower() for s in _DOT_SIGNS):
+        for m in _SPOKEN.finditer(tape.text):
+            a, b = m.span("at")
+            taken.append(m.span())
+            edits += [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(tape.text, m.start(), a)] + [(a, b, "@")] + [(d.start(), d.end(), ".") for d in _SPOKEN_DOT.finditer(tape.text, b, m.end())]
+    return tape.rewrite(sorted(edits + _spoken(tape.text, taken)))
 
 
 def _spelled(tape: Tape) -> Tape:
@@ -173,7 +258,7 @@ def _spelled(tape: Tape) -> Tape:
 
 def _number_words(low: str) -> bool:
     """Whether four number words stand within sixteen words of each other, as any run that _spelled rewrites has them."""
-    words = low.replace("-", " ").replace(",", " ").replace(".", " ").split()
+    words = re.findall(r"\w+", low)
     at = [k for k, w in enumerate(words) if w in NUMBER_WORDS]
     return any(b - a < 16 for a, b in zip(at, at[3:]))
 
@@ -183,7 +268,7 @@ def disguised(text: str) -> bool:
     if not text.isascii() and not _odd().isdisjoint(text):
         return True
     low = text.lower()
-    return any(s in low for s in _DOT_SIGNS) or bool(_BRACKET.search(text)) or _number_words(low)
+    return any(s in low for s in _DOT_SIGNS) or bool(_BRACKET.search(text)) or bool(_AT_DOMAIN.search(text)) or _number_words(low)
 
 
 def _stretches(spans: list[Span]) -> list[tuple[int, int]]:

@@ -471,3 +471,22 @@ def test_pipeline_keeps_clean_documents_with_a_short_line_twice(spark):
     junk = "One line of some words that comes again.\n" * 2 + "Another line that is here."
     both = docs.unionByName(spark.createDataFrame([(-1, junk, "en", "a", len(junk))], docs.schema))
     assert {r.doc_id for r in corpus_pipeline.quality_rules(spark, both, SF).collect()} == {30, 3314, 3326, 3723, 8061, 9916}
+
+
+@pytest.mark.parametrize(
+    "text,span",
+    [
+        ("ask anna at posta dot it please", ("email", "anna at posta dot it")),
+        ("it is x at firma dot at, yes", ("email", "x at firma dot at")),
+        *((f"ask anna at posta dot {end} now", ("email", f"anna at posta dot {end}")) for end in ("be", "co", "me", "pt", "in")),
+        ("ask user at example.com please", ("email", "user at example.com")),
+        ("ask jo dot doe at mail dot example dot museum please", ("email", "jo dot doe at mail dot example dot museum")),
+        ("mail jo at example dot museum please", ("email", "jo at example dot museum")),
+        ("(one dot two dot three dot four)", ("ip", "one dot two dot three dot four")),
+        ('"one dot two dot three dot four"', ("ip", "one dot two dot three dot four")),
+        ("It was available at example.com and we met at home.It rained", None),
+        ("He looked at the dot in it, and at one point it fell", None),
+    ],
+)
+def test_disguises_of_any_domain(text, span):
+    test_disguises(text, span)
