@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import checkpoint, fresh, map_batches
 
@@ -92,22 +93,43 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null and empty texts have fingerprint zero and are linked like any other. A row with null doc_id gets its
     component's smallest id, null if there is none. Rows with equal ids are kept. Extra columns are ignored.
     """
+    return _rooted(docs).select("doc_id", "fp", "component_id")
+
+
+def _rooted(docs: DataFrame) -> DataFrame:
+    """near_duplicates with root, the component's least fingerprint: components that share an id differ in it."""
     own = checkpoint(hashed(docs))
     nodes = checkpoint(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = checkpoint(components(links(nodes.select("fp"))))
     linked = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = linked.select("fp", "root").join(best, "root").select("fp", "component_id")
-    return own.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = linked.select("fp", "root").join(best, "root").select("fp", "component_id", "root")
+    return own.join(classes, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def _with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
+    at = docs.columns.index("text")
+
+    def make():
+        def step(batch: pa.RecordBatch):
+            return [*batch.columns, [signed(simhash(t.as_py())) for t in batch.column(at)]]
+
+        return step
+
+    return map_batches(docs, make, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of the smallest doc_id of each component, one where that id repeats, with all columns. Rows without doc_id stay."""
-    found = checkpoint(near_duplicates(docs).filter("doc_id is not null"))
-    name, nth = fresh(docs, "_kept_id", "_nth")
-    keep = found.filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    """A row of the smallest doc_id of each component, with all columns: where that id repeats, the one with the least text of the component's own. Rows without doc_id stay."""
+    found = checkpoint(_rooted(docs).filter("doc_id is not null"))
+    name, nth, fp, root, other = fresh(docs, "_kept_id", "_nth", "_fp", "_root", "_other_fp")
+    least = found.filter("doc_id = component_id")
+    keep = least.select(F.col("doc_id").alias(name)).distinct()
     kept = docs.join(keep.hint("shuffle_hash"), docs["doc_id"] == F.col(name))
     if found.groupBy("doc_id").count().filter("count > 1").take(1):
-        kept = kept.withColumn(nth, F.row_number().over(Window.partitionBy(name).orderBy("text"))).filter(F.col(nth) == 1)
+        # an id can be the smallest of several components, and some of its rows can belong to yet others
+        own = least.select(F.col("doc_id").alias(name), F.col("fp").alias(other), F.col("root").alias(root)).distinct()
+        kept = _with_fingerprint(kept, fp).join(own.hint("shuffle_hash"), [name]).filter(F.col(fp) == F.col(other))
+        kept = kept.withColumn(nth, F.row_number().over(Window.partitionBy(name, root).orderBy("text"))).filter(F.col(nth) == 1)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return kept.select(*columns).unionByName(docs.filter("doc_id is null"))

@@ -490,3 +490,10 @@ def test_pipeline_keeps_clean_documents_with_a_short_line_twice(spark):
 )
 def test_disguises_of_any_domain(text, span):
     test_disguises(text, span)
+
+
+def test_one_of_each_with_repeated_ids(spark):
+    a, b, c = ("the first text about boats and rivers and lakes", "another story of cities at night in winter", "some third thing with mountains, goats and snow")
+    rows = [(5, a), (5, b), (7, a), (8, b), (3, c), (5, c), (5, b)]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted([(3, c), (5, a), (5, b)])
