@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -28,21 +29,40 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bounds what a Python worker holds at once, by rows (Spark bounds it by bytes too where it can)."""
+    """Bounds what a Python worker holds at once, by rows (Spark bounds it by bytes too where it can).
+
+    The setting is the session's and stays: Spark reads it when a plan runs, which is after it was made.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a copy in the shared folder named by spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """This run's folder within spark.checkpoint.dir, which all executors and the driver see.
 
-    Only where the session names no folder (tests on one machine), a temporary one is used.
+    Only a local session that names no folder (tests on one machine) gets a temporary one; on a cluster that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a copy in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it; any store that pyarrow opens."""
+    if uri.startswith("file:") or "://" not in uri:
+        return fs.LocalFileSystem(), re.sub(r"^file:/*", "/", uri)
+    return fs.FileSystem.from_uri(uri)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened until df has no such column."""
     held, out = {c.lower() for c in df.columns}, []
@@ -57,14 +77,30 @@ def struct(schema: str | StructType) -> StructType:
     return schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list | pa.RecordBatch | None]], schema: str | StructType) -> DataFrame:
-    """One pass over Arrow batches: make() runs once in each task, what it returns turns a batch into columns."""
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold `size` bytes, so that work for different values of a batch is done less often."""
+    held, held_bytes = [], 0
+    for batch in batches:
+        held.append(batch)
+        held_bytes += batch.nbytes
+        if held_bytes >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, held_bytes = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list | pa.RecordBatch | None]], schema: str | StructType, gather: int = 0) -> DataFrame:
+    """One pass over Arrow batches, of `gather` bytes or more if given: make() runs once in each task, what it returns turns a batch into columns.
+
+    Sets the session's rows of an Arrow batch, see small_batches.
+    """
     small_batches(reachable(df.sparkSession))
     arrow = to_arrow_schema(struct(schema))
 
     def run(batches):
         step = make()
-        for batch in batches:
+        for batch in gathered(batches, gather) if gather else batches:
             if batch.num_rows:
                 out = step(batch)
                 if isinstance(out, pa.RecordBatch):

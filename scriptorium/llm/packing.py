@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, map_batches
-from .tokenizing import worker_tokenizer
+from .tokenizing import AT_ONCE, worker_tokenizer
 
 CAPACITY = 2048
 END_ID = 0
@@ -107,7 +107,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokeniz
 
         def step(batch: pa.RecordBatch):
             rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), own.ids(batch.column(1).to_pylist())):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), own.ids(batch.column(1))):
                 ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     data = ids[at : at + 4 * capacity]
@@ -118,7 +118,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokeniz
 
         return step
 
-    return map_batches(docs.select("doc_id", "text"), make, PIECES + ", ids binary" * keep_ids)
+    return map_batches(docs.select("doc_id", "text"), make, PIECES + ", ids binary" * keep_ids, gather=AT_ONCE)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
