@@ -2,8 +2,8 @@
 
 Every page's containers are scored by the text they hold that isn't linked or boilerplate. The best
 container, widened until it leaves no such text out, gives a path, generalised to tags and classes: the page's
-vote. Votes are counted for each host in Spark, and every page is extracted again with the winning path that
-holds most text on it. A page whose own best container holds more than any of them uses that.
+vote, cast as the path's hash. Votes are counted for each host in Spark, and every page is extracted again with the
+winning path that holds most text on it. A page whose own best container holds more than any of them uses that.
 """
 
 from __future__ import annotations
@@ -13,25 +13,34 @@ import re
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, map_batches
 
 # Elements of the HTML standard by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object xmp noembed noframes".split())
-SKIPPED = frozenset("script style noscript template iframe svg math object head title nav header footer aside form button select option textarea label fieldset dialog menu input audio video canvas xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title noscript template iframe svg object xmp noembed noframes".split())
+SKIPPED = frozenset("script style noscript template iframe svg object head title nav header footer aside form button select option textarea dialog menu input audio video canvas xmp noembed noframes annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover q rp rt ruby s samp semantics small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CONTAINERS = frozenset("article main section div td body blockquote".split())
-#: Class names and ids of boilerplate, whole; parts of a name such as has-sidebar say nothing about what the element is.
+#: Class names and ids of boilerplate, whole, and what such names begin with before a hyphen; other parts of a name such as has-sidebar say nothing about what the element is.
 NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer foot "
     "sidebar side aside widget related recommended share sharing social comment comments disqus reply replies cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe "
     "subscription signup login form search pagination pager toolbar skip copyright legal "
     "site-header site-footer page-footer site-nav site-navigation main-nav main-navigation main-menu nav-menu cookie-banner cookie-notice cookie-consent skip-link related-posts comment-list comments-area share-buttons".split()
 )
+NOISE_HEADS = frozenset("sidebar advert adverts advertisement cookie cookies newsletter comments breadcrumb breadcrumbs navbar navigation pagination disqus masthead footer".split())
+#: First and second parts of boilerplate names whose first part alone says too little.
+NOISE_PAIRS = frozenset(
+    f"{a}-{b}"
+    for heads, tails in (("ad ads", "slot unit box container banner wrapper block top bottom inline space"), ("share social sharing", "bar links icons list box"), ("related", "articles links stories items"), ("nav menu", "bar links main container list"))
+    for a in heads.split()
+    for b in tails.split()
+)
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -56,6 +65,30 @@ class Node:
             node = node.parent
         return " ".join(reversed(steps))
 
+    @property
+    def key(self) -> int:
+        """The path's hash."""
+        steps, node = [], self
+        while node.parent is not None:
+            steps.append(node.step)
+            node = node.parent
+        return _key(reversed(steps))
+
+
+def _next(key: int, step: str) -> int:
+    return xxhash.xxh64_intdigest(step.encode("utf-8", "surrogatepass"), key)
+
+
+def _key(steps) -> int:
+    key = 0
+    for step in steps:
+        key = _next(key, step)
+    return key
+
+
+def path_key(path: str) -> int:
+    return _key(path.split(" ") if path else ())
+
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
@@ -66,7 +99,12 @@ def _noisy(tag: str, at: dict[str, str]) -> bool:
 
 
 def _noise_named(tag: str, at: dict[str, str]) -> bool:
-    return tag not in ("article", "main", "body", "html") and any(name.lower().replace("_", "-") in NOISE for k in ("class", "id") for name in at.get(k, "").split())
+    return tag not in ("article", "main", "body", "html") and any(_is_noise(name.lower().replace("_", "-")) for k in ("class", "id") for name in at.get(k, "").split())
+
+
+def _is_noise(name: str) -> bool:
+    first, _, rest = name.partition("-")
+    return name in NOISE or first in NOISE_HEADS or f"{first}-{rest.partition('-')[0]}" in NOISE_PAIRS
 
 
 def _spare(root: Node, named: list[Node]) -> None:
@@ -130,7 +168,7 @@ def parse(page: str) -> Node:
             at = end.end() if end else size
         elif tag not in VOID and not m[3].endswith("/"):
             top = node
-        elif tag not in VOID and tag not in ("svg", "math"):
+        elif tag not in VOID and tag != "svg":
             top = node  # HTML ignores the slash of an element that isn't void
     if named:
         _spare(root, named)
@@ -243,72 +281,100 @@ def best(root: Node) -> Node | None:
     return _best(root)[0]
 
 
-def host(url: str | None) -> str:
-    """The host of a URL in lower case; empty if there is none."""
-    m = re.match(r"\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", url or "", re.I)
-    return m[1].lower() if m else ""
-
-
-def extract(root: Node, winning: list[str]) -> str:
+def extract(root: Node, winning) -> str:
     """Text of the containers on the winning path that holds most of it on this page, or of the page's own best if that holds more.
 
-    Characters count as in scores, twice in article and main; more votes go first among equals.
+    winning has paths or their keys, those with more votes first, which decides between equals; a dict from key to
+    place does too. Characters count as in scores, twice in article and main.
     """
     own, inside = _best(root)
-    found = []
-    for path in winning:
-        hits = [root]
-        for step in path.split(" ") if path else ():
-            hits = [c for node in hits for c in node.children if isinstance(c, Node) and c.step == step and not c.noise]
-        found.append(hits)
-    found += [[own]] if own else []
-    found.sort(key=lambda hits: -sum(_bonus(n) * inside[id(n)] for n in hits))
-    return next((text for hits in found if (text := "\n".join(b for n in hits for b in blocks(n)))), "")
+    place = winning if isinstance(winning, dict) else {k if isinstance(k, int) else path_key(k): n for n, k in reversed(list(enumerate(winning)))}
+    found: dict[int, list[Node]] = {}
+    if place:
+        stack = [(root, 0)]
+        while stack:
+            node, key = stack.pop()
+            if (node.tag in CONTAINERS or node is root) and key in place:
+                found.setdefault(key, []).append(node)
+            stack.extend((c, _next(key, c.step)) for c in reversed(node.children) if isinstance(c, Node) and not c.noise)
+    hits = [found[k] for k in sorted(found, key=place.__getitem__)] + ([[own]] if own else [])
+    hits.sort(key=lambda nodes: -sum(_bonus(n) * inside[id(n)] for n in nodes))
+    return next((text for nodes in hits if (text := "\n".join(b for n in nodes for b in blocks(n)))), "")
+
+
+#: A path wins with two votes or more and this share of its host's, so a host has 10,000 winning paths at most.
+LEAST_SHARE = 1e-4
+#: Bytes of all hosts' winning paths up to which every worker holds them all. Beyond it pages meet their host's paths
+#: by a join, in which a host with more than a HOT-th of all pages (there are fewer than HOT of these) is dealt into parts of that size.
+BROADCAST_BYTES, HOT = 8_000_000, 10_000
+_HOST = r"^(?i)\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
+
+
+def signed(value: int) -> int:
+    return value - (1 << 64) if value >> 63 else value
 
 
-#: Paths of a host that are tried, by votes. Pages on which their own best container holds more use that.
-PATHS = 3
-#: Characters of all hosts' winning paths up to which they are broadcast, and the parts that a host's pages are dealt into beyond it.
-BROADCAST_CHARS, SALTS = 8_000_000, 32
+def _places(keys) -> dict[int, int]:
+    return {k % (1 << 64): n for n, k in enumerate(keys or ())}
 
 
-def main_text(pages: DataFrame, paths: int = PATHS, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, text, n_chars of every row: the article's blocks in page order, joined by a newline; empty if there is none.
 
-    Null html is an empty page, a null or odd url belongs to the host ''. Rows with equal ids are extracted one by
-    one. Votes are counted with partial sums, so a hot host gathers no pages; each host keeps `paths` paths.
-    Those are broadcast while their size allows it; beyond it a host's pages are dealt into SALTS parts to meet them.
+    Null or empty html is an empty page, a null or odd url belongs to the host ''. Rows with equal ids are extracted
+    one by one, extra columns are ignored; no pages, no rows. Votes are counted with partial sums, so a hot host
+    gathers no pages; equal votes go by the path's hash.
     """
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1))
+    hosted = pages.select("page_id", "url", "html", host.alias("host"))
 
     def vote():
         def step(batch: pa.RecordBatch):
             rows = []
-            for url, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for name, page in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if (own := best(parse(page.as_py() or ""))) is not None:
-                    rows.append((host(url), own.path))
+                    rows.append((name, signed(own.key)))
             return list(zip(*rows)) if rows else None
 
         return step
 
-    votes = map_batches(pages.select("url", "html"), vote, "host string, path string").groupBy("host", "path").agg(F.count("*").alias("votes"))
-    rank = Window.partitionBy("host").orderBy(F.desc("votes"), F.length("path"), "path")
-    won = votes.withColumn("nth", F.row_number().over(rank)).filter(F.col("nth") <= paths)
-    won = checkpoint(won.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("nth", "path"))).alias("p")).select("host", F.col("p.path").alias("paths")))
-    own_host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?i)\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    hosted = pages.select("page_id", "url", "html", own_host.alias("host"))
-    size = F.length("host") + F.aggregate("paths", F.lit(0), lambda n, p: n + F.length(p))
-    if (won.agg(F.sum(size)).first()[0] or 0) <= broadcast_chars:
-        joined = hosted.join(F.broadcast(won), "host", "left")
-    else:
-        salt = F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.lit(SALTS))
-        salted = won.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        joined = hosted.withColumn("salt", salt).join(salted, ["host", "salt"], "left")
-
-    def again():
+    votes = checkpoint(map_batches(hosted.select("host", "html"), vote, "host string, path long").groupBy("host", "path").agg(F.count("*").alias("votes")))
+    total = votes.groupBy("host").agg(F.sum("votes").alias("all"))
+    won = votes.filter("votes > 1").join(total, "host").filter(F.col("votes") >= F.col("all") * LEAST_SHARE)
+    won = checkpoint(won.groupBy("host", "all").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("n"), "path"))).alias("p")).select("host", "all", F.col("p.path").alias("paths")))
+    schema = "page_id long, url string, text string, n_chars long"
+    if (won.agg(F.sum(F.length("host") + 16 * F.size("paths"))).first()[0] or 0) <= broadcast_bytes:
+        known = pages.sparkSession.sparkContext.broadcast({r.host: _places(r.paths) for r in won.collect()})
+
+        def again():
+            places = known.value
+
+            def step(batch: pa.RecordBatch):
+                texts = [extract(parse(page.as_py() or ""), places.get(name, {})) for page, name in zip(batch.column(2), batch.column(3).to_pylist())]
+                return [batch.column(0), batch.column(1), texts, [len(t) for t in texts]]
+
+            return step
+
+        return map_batches(hosted, again, schema)
+    one = (total.agg(F.sum("all")).first()[0] or 0) // HOT + 1
+    parts = F.floor(F.col("all") / one).cast("int") + 1
+    hot = total.filter(F.col("all") > one).select("host", parts.alias("parts"))  # fewer than HOT rows
+    dealt = hosted.join(F.broadcast(hot), "host", "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.coalesce("parts", F.lit(1))))
+    spread = won.withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col("all") > one, parts - 1).otherwise(0)).cast("array<bigint>")))
+
+    def joined_again():
+        held: dict[str, dict[int, int]] = {}
+
         def step(batch: pa.RecordBatch):
-            texts = [extract(parse(page.as_py() or ""), winning or []) for page, winning in zip(batch.column(2), batch.column(3).to_pylist())]
+            texts = []
+            for page, name, paths in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4)):
+                if name not in held:
+                    held.clear()
+                    held[name] = _places(paths.as_py())
+                texts.append(extract(parse(page.as_py() or ""), held[name]))
             return [batch.column(0), batch.column(1), texts, [len(t) for t in texts]]
 
         return step
 
-    return map_batches(joined.select("page_id", "url", "html", "paths"), again, "page_id long, url string, text string, n_chars long")
+    met = dealt.join(spread, ["host", "part"], "left")
+    return map_batches(met.select("page_id", "url", "html", "host", "paths"), joined_again, schema)

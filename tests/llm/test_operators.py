@@ -261,16 +261,30 @@ def test_token_files(spark, odd, small, tmp_path):
     for df, rows in zip((odd, small), both(odd, small)):
         got = Counter((r.doc_id, r.n_tokens) for r in tokenfiles.document_counts(df).collect())
         assert got == Counter((d, len(i) // 4) for (d, *_), i in zip(rows, tok.ids([r.text for r in rows])))
+    assert tokenfiles.document_counts(odd.limit(0)).count() == 0
     import numpy as np
 
     ids = [1, 2, 9, 9, 3, 3, 3, 9, 4]
     (tmp_path / "a.bin").write_bytes(np.array(ids, "<u2").tobytes())
     (tmp_path / "b.bin").write_bytes(np.array([9], "<u2").tobytes())
+    (tmp_path / "c.bin").write_bytes(b"")
     for size in (1, 2, 3, 100):
         got = tokenfiles.token_counts(tokenfiles.read_blocks(spark, f"file://{tmp_path}/*.bin", size), 9).collect()
         assert sorted((r.file[-5:], r.nth, r.start, r.n_tokens) for r in got) == [("a.bin", 0, 0, 2), ("a.bin", 1, 3, 0), ("a.bin", 2, 4, 3), ("a.bin", 3, 8, 1), ("b.bin", 0, 0, 0)]
 
 
+def test_token_blocks_cut_inside_documents(spark, small):
+    """Blocks far smaller than a document: every cut falls inside one, several blocks hold no separator."""
+    some = small.filter("length(text) > 100").repartition(2)
+    library = WordTokenizer(plain=True).tokenizer
+    want = {r.doc_id: len(library.encode(r.text, add_special_tokens=False).ids) for r in some.collect()}
+    for size in (7, 61):
+        got = tokenfiles.document_counts(some, block_ids=size).collect()
+        assert {r.doc_id: r.n_tokens for r in got} == want and len(got) == len(want)
+        cuts = {(r.file, k * size) for r in got for k in range(r.start // size + 1, (r.start + r.n_tokens) // size + 1)}
+        assert len(cuts) > len(want)
+
+
 PAGE = """<html><head><title>t</title><script>var x="</p>";</script></head><body><nav><a href=/>home</a></nav><div class="ad">buy</div>
 <article><h1>Title &amp; more</h1><p>First  line<br>goes <b>on</b>.<p>Second &#233; &lt;tag&gt;<div class="comments"><p>me too</p></div><form>mail</form><ul><li>one<li>two</ul></article><aside>x</aside><footer>&copy; y</footer>"""
 
@@ -438,17 +452,51 @@ def test_html_nested_very_deep():
 
 def test_html_without_broadcast(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
-    dealt = htmltext.main_text(pages, broadcast_chars=0)
+    dealt = htmltext.main_text(pages, broadcast_bytes=0)
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, htmltext.main_text(pages).collect()))
 
 
-@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "content-side-left", "elementor-widget", "widget"])
+@pytest.mark.parametrize(
+    "name",
+    ["content has-sidebar", "no-sidebar", "content-side-left", "elementor-widget", "widget", "page has-sidebar", "content no-sidebar", "post-header-wrap", "layout with-header", "article-share story", "legal-news", "form-group", "post reply-to", "sidebar-page", "footer-less"],
+)
 def test_html_in_containers_with_noisy_names(name):
     page = f'<body><div class="{name}"><article><h1>Head</h1><p>The words of the article.</p><div class="sidebar"><p>apart</p></div></article></div><div class="footer"><p>imprint</p></div>'
     root = htmltext.parse(page)
     assert htmltext.extract(root, [htmltext.best(root).path]) == "Head\nThe words of the article."
 
 
+def test_html_names_of_boilerplate():
+    """Names that are or begin with a boilerplate word go, where they don't hold most of the page."""
+    for name in ("sidebar", "sidebar-left", "ad_slot", "ad-unit-3", "cookie-bar", "comments-section", "related-articles", "share-bar", "nav-links", "footer-widgets"):
+        page = f'<body><div class=main-col><p>The words of the article go on and on.</p><div class="{name}"><p>apart</p></div></div>'
+        root = htmltext.parse(page)
+        assert htmltext.extract(root, []) == "The words of the article go on and on.", name
+    for name in ("ad-hoc", "admin", "related-work", "social-history", "navy", "comment-free", "legal-text", "formula"):
+        root = htmltext.parse(f'<body><article><p>The words of the article.</p><div class="{name}"><p>within</p></div></article>')
+        assert htmltext.extract(root, []) == "The words of the article.\nwithin", name
+
+
+def test_html_keeps_formulas_and_labels():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be.</p><fieldset><label>Note</label> <b>well</b></fieldset></article><form><label>Name</label></form>"
+    assert htmltext.extract(htmltext.parse(page), []) == "Let x=1 be.\nNote well"
+
+
+def test_html_pages_of_rare_layouts(spark):
+    """Five layouts of one host, the rarer ones too; votes that tie; a layout that one page has; an empty table."""
+    text = "The words of this article go on for a while and then they end. "
+    pages = [(f"<body><div class=box-{'abcde'[k % 5]}><p>{text * (k % 3 + 1)}</p></div><div class=box-x><p>blurb</p></div>" if k % 5 else f"<body><article><p>{text * (k % 3 + 1)}</p></article>") for k in range(40)]
+    pages.append(f"<body><section class=odd><p>{text}</p></section>")
+    df = spark.createDataFrame([(k, "https://h.example/x", p, 1) for k, p in enumerate(pages)], "page_id long, url string, html string, path int")
+    for size in (0, 10**6):
+        got = {r.page_id: r.text for r in htmltext.main_text(df, broadcast_bytes=size).collect()}
+        assert len(got) == 41 and got[40] == text.strip()
+        for k in range(40):
+            want = (text * (k % 3 + 1)).strip()
+            assert got[k] == (want if k % 5 == 0 else want + "\nblurb")
+        assert htmltext.main_text(df.limit(0), broadcast_bytes=size).count() == 0
+
+
 def test_html_keeps_all_parts():
     long, short = "The words of the article go on. " * 9, "An intro of some words."
     for page in (
