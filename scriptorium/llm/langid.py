@@ -3,8 +3,9 @@
 Letters are lower-cased, anything else is one space, and n-grams of one to three code points are hashed
 into a fixed number of buckets. Training sums bucket counts for each language over a bounded hash sample of
 the labelled documents; the matrix of log probabilities (buckets x languages) is broadcast, its size fixed by
-the two bounds below. Scoring is a sparse product in numpy: a batch's n-grams are rows of the matrix, summed
-between document boundaries.
+the two bounds below. Scoring is a sparse product in numpy for a batch at a time: the n-grams of all its texts
+are the column indices of one sparse matrix whose rows are the texts, and that times the matrix of log
+probabilities, row by row in bounded pieces, gives all scores. A text longer than BLOCK is scored alone, in blocks.
 """
 
 from __future__ import annotations
@@ -24,14 +25,16 @@ ORDERS = (1, 2, 3)
 TRAIN_ROWS, MAX_LANGUAGES = 20_000, 500
 #: Code points of a text that are scored at a time, for memory.
 BLOCK = 1 << 18
+#: Numbers of the dense product that are held at a time.
+PIECE = 1 << 21
 UNKNOWN = "und"
 
 
 @lru_cache(1)
 def _table() -> np.ndarray:
-    """For each code point of the first plane its lower-case letter, or a space if it is no letter."""
-    out = np.full(0x10000, 32, np.uint32)
-    for c in range(0x10000):
+    """For each code point its lower-case letter, or a space if it is no letter."""
+    out = np.full(0x110000, 32, np.uint32)
+    for c in range(0x110000):
         ch = chr(c)
         if ch.isalpha():
             low = ch.lower()
@@ -41,22 +44,37 @@ def _table() -> np.ndarray:
 
 def letters(text: str) -> np.ndarray:
     """Code points of the letters in lower case, runs of others as one space, a space at both ends."""
-    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    a = np.full(len(raw) + 2, 32, np.uint32)
-    a[1:-1] = np.where(raw < 0x10000, _table()[np.minimum(raw, 0xFFFF)], raw)
-    return a[np.r_[True, (a[1:] != 32) | (a[:-1] != 32)]]
+    return batch_letters([text])[0]
 
 
-def grams(a: np.ndarray, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> np.ndarray:
-    """Buckets of all n-grams of a text."""
-    found, h = [], np.zeros(len(a), np.uint32)
+def batch_letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of all texts one after the other, and where each text's begin (one entry more than texts)."""
+    raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.array([len(t) for t in texts], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes + 2)])
+    a, inner = np.full(starts[-1], 32, np.uint32), np.ones(starts[-1], bool)
+    inner[starts[:-1]] = inner[starts[1:] - 1] = False
+    a[inner] = _table()[raw]
+    keep = np.r_[True, (a[1:] != 32) | (a[:-1] != 32)]
+    keep[starts[:-1]] = True
+    return a[keep], np.concatenate([[0], np.cumsum(np.add.reduceat(keep, starts[:-1], dtype=np.int64))])
+
+
+def _hashed(a: np.ndarray, orders: tuple[int, ...], buckets: int):
+    """(n, buckets of the n-grams at each place) for each order that fits."""
+    h = np.zeros(len(a), np.uint32)
     for n in range(1, max(orders) + 1):
         if len(a) < n:
             break
         h = (h[: len(a) - n + 1] * np.uint32(0x01000193)) ^ (a[n - 1 :] * np.uint32(0x9E3779B1)) ^ np.uint32(n)
         if n in orders:
             mixed = h ^ (h >> np.uint32(15))
-            found.append(((mixed * np.uint32(0x85EBCA6B)) >> np.uint32(7)) & np.uint32(buckets - 1))
+            yield n, ((mixed * np.uint32(0x85EBCA6B)) >> np.uint32(7)) & np.uint32(buckets - 1)
+
+
+def grams(a: np.ndarray, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> np.ndarray:
+    """Buckets of all n-grams of a text."""
+    found = [g for _, g in _hashed(a, orders, buckets)]
     return np.concatenate(found).astype(np.int64) if found else np.zeros(0, np.int64)
 
 
@@ -78,14 +96,14 @@ def has_letters(text: str | None) -> bool:
 def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Languages and the matrix of log probabilities, from rows (doc_id, text, lang) without null lang.
 
-    Raises ValueError above MAX_LANGUAGES. No rows give no languages.
+    The MAX_LANGUAGES most frequent languages are learned (ties by name), rows of others are left out. Null and empty
+    texts teach nothing, repeated rows count each time, extra columns are ignored. No rows give no languages.
     """
-    langs = sorted(r.lang for r in labelled.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    n = labelled.count()
-    share = min(1.0, train_rows / max(1, n))
-    some = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < round(share * 1_000_000)) if share < 1 else labelled
+    top = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    langs = sorted(r.lang for r in top)
+    share = min(1.0, train_rows / max(1, sum(r.n for r in top)))
+    some = labelled.filter(F.col("lang").isin(langs)) if len(top) == MAX_LANGUAGES else labelled
+    some = some.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < round(share * 1_000_000)) if share < 1 else some
     place = {lang: k for k, lang in enumerate(langs)}
 
     def make():
@@ -107,32 +125,68 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, smoothing: float =
     return langs, matrix.astype(np.float32)
 
 
+def product(starts: np.ndarray, columns: np.ndarray, matrix: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """Sparse times dense: row i of the result sums the rows of `matrix` that columns[starts[i]:starts[i + 1]] name, none of these empty."""
+    out = np.zeros((len(starts) - 1, matrix.shape[1]))
+    step = max(1, piece // matrix.shape[1])
+    for at in range(0, len(columns), step):
+        stop = min(at + step, len(columns))
+        first, last = np.searchsorted(starts, at, "right") - 1, np.searchsorted(starts, stop, "left")
+        cuts = np.maximum(starts[first:last], at) - at
+        out[first:last] += np.add.reduceat(matrix[columns[at:stop]], cuts, axis=0, dtype=np.float64)
+    return out
+
+
+def _totals(texts: list[str], matrix: np.ndarray) -> np.ndarray:
+    """Log likelihoods of texts that have letters, for each language."""
+    a, starts = batch_letters(texts)
+    last = np.zeros(len(a), bool)
+    last[starts[1:] - 1] = True
+    total, crossing = np.zeros((len(texts), matrix.shape[1])), np.zeros(len(a), bool)
+    for n, g in _hashed(a, ORDERS, BUCKETS):
+        if n > 1:  # windows that reach from one text into the next
+            crossing = crossing[: len(g)] | last[n - 2 : n - 2 + len(g)]
+            g = g[~crossing]
+        total += product(starts - (n - 1) * np.arange(len(starts)), g, matrix)
+    return total
+
+
 def score(texts: list[str | None], langs: list[str], matrix: np.ndarray) -> tuple[list[str], list[float]]:
     """Predicted language and its posterior (languages equally likely beforehand) of each text."""
-    preds, scores = [], []
-    for text in texts:
-        if not langs or not has_letters(text):
-            preds.append(UNKNOWN)
-            scores.append(0.0)
+    preds, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+
+    def settle(places: list[int], total: np.ndarray) -> None:
+        best = total.argmax(axis=1)
+        top = 1 / np.exp(np.minimum(total - total[np.arange(len(best)), best][:, None], 0)).sum(axis=1)
+        for k, b, x in zip(places, best.tolist(), top.tolist()):
+            preds[k], scores[k] = langs[b], x
+
+    some, size = [], 0
+    for k, text in enumerate(texts if langs else []):
+        if not has_letters(text):
             continue
-        total = np.zeros(len(langs))
-        for g in blocks(text):
-            if len(g) > BUCKETS:
+        if len(text) > BLOCK:
+            total = np.zeros(len(langs))
+            for g in blocks(text):
                 counts = np.bincount(g, minlength=BUCKETS)
                 hit = np.flatnonzero(counts)
                 total += counts[hit] @ matrix[hit].astype(np.float64)
-            elif len(g):
-                total += matrix[g].sum(axis=0, dtype=np.float64)
-        best = int(total.argmax())
-        preds.append(langs[best])
-        scores.append(float(1 / np.exp(np.minimum(total - total[best], 0)).sum()))
+            settle([k], total[None, :])
+            continue
+        some.append(k)
+        size += len(text)
+        if size > BLOCK:
+            settle(some, _totals([texts[j] for j in some], matrix))
+            some, size = [], 0
+    if some:
+        settle(some, _totals([texts[j] for j in some], matrix))
     return preds, scores
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """doc_id, lang_pred, score for every row; `und` with score 0 for a text that is null or has no letter, or without a model.
 
-    Reads doc_id and text alone. Ties go to the language that sorts first. One row for each row.
+    Reads doc_id and text alone. Ties go to the language that sorts first. One row for each row, repeated ones too; no rows, none.
     """
     known = docs.sparkSession.sparkContext.broadcast(model)
 
