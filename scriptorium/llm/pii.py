@@ -1,8 +1,8 @@
 """Personal data by offset-preserving deobfuscation.
 
 Four exact patterns find identifiers in the source text. Then transducers rewrite disguises (homoglyphs, characters
-of no width, spelled digits, at/dot in words or brackets) into a normalised text that keeps, for each character, the
-source span it stands for. The same patterns run over it, and what they find is mapped back to source characters.
+of no width, spelled digits, at/dot in words or brackets) into a normalised text that keeps its edits, by which any
+span of it leads back to the source. The same patterns run over it, and what they find is mapped back to source characters.
 Spans found that way are added where they overlap no other.
 """
 
@@ -11,13 +11,16 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from array import array
 from bisect import bisect_right
+from collections.abc import Iterable
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_batches
+from .tokenizing import parts_of
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -94,14 +97,19 @@ COUNTRIES = frozenset(
 PROSE = frozenset("me us you him her them it here there available found find look looks looked looking online site website web page pages visit see read more info information details hosted documentation docs download downloads is are was be and or".split())
 AFTER_AT = frozenset("the a an this that these those each every any some which what one my your his her its our their no all www".split())
 _AT_DOMAIN = re.compile(r"(?<=\s)(?P<word>at|arroba|ät)\s++(?P<domain>[A-Za-z0-9-]++(?:(?:\s++(?:dot|punkt|point|punto)\s++|\.)[A-Za-z0-9-]++)+)", re.I)
+_WORDS = re.compile(r"\w+")
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
 _DOT_BEFORE = re.compile(r"\s(?:dot|punkt|point|punto)\Z", re.I)
 _CUE = re.compile(r"mail|contact|kontakt|address|adress|correo|courriel|schreib|write", re.I)
 _SPOKEN_DOT = re.compile(r"\s+(?:dot|punkt|point|punto)\s+", re.I)
 _SPELLED = re.compile(rf"(?<!\w)(?:(?:plus)[\s-]+)?(?:(?:double|triple)\s+)?(?:{_NUMBER}|[0-9]+)(?:[\s,.-]+(?:(?:double|triple)\s+)?(?:dot|punkt|point|punto|{_NUMBER}|[0-9]+)(?!\w))+", re.I)
 _SPELLED_WORD = re.compile(rf"plus|double|triple|dot|punkt|point|punto|{_NUMBER}|[0-9]+", re.I)
-#: Cheap signs, in lower case, that a text may hold a disguise in words; number words need several of them.
-_DOT_SIGNS = (" dot ", " punkt ", " point ", " punto ")
+#: Cheap signs that a text may hold a disguise in words, no narrower than the patterns; number words need several of them.
+_DOT_WORDS = ("dot", "punkt", "point", "punto")
+_DOT_SIGN = re.compile(r"(?<=\s)(?:dot|punkt|point|punto)(?=\s)", re.I)
+_INVISIBLE = re.compile(f"[{INVISIBLE}]+")
+#: Characters of a text that are cut into words at a time, for memory, and the words that reach from one such part into the next.
+_PART, _REACH = 1 << 20, 16
 
 
 @lru_cache(1)
@@ -120,35 +128,69 @@ def _single() -> dict[str, str]:
 
 
 @lru_cache(1)
-def _odd() -> frozenset[str]:
-    return frozenset([*_single(), *INVISIBLE])
+def _odd() -> re.Pattern:
+    return re.compile("[" + "".join(map(re.escape, sorted([*_single(), *INVISIBLE]))) + "]")
+
+
+@lru_cache(1)
+def _translation() -> dict[int, str]:
+    return str.maketrans(_single())
 
 
 class Tape:
-    """A text and, for each of its characters, the source span it stands for."""
+    """A text that was rewritten step by step, and the way back: each step keeps its edits only, in order.
+
+    What an edit put in stands for the whole span that it replaced; any other character stands for itself, a
+    bisection away. Memory follows the number of edits and not the length of the text.
+    """
 
     def __init__(self, text: str):
-        self.text, self.starts, self.ends = text, range(len(text)), range(1, len(text) + 1)
+        self.text, self.steps = text, []
+
+    def same_length(self, text: str) -> "Tape":
+        """Replaces characters one by one, which moves none."""
+        self.text = text
+        return self
 
-    def rewrite(self, edits: list[tuple[int, int, str]]) -> "Tape":
-        """Replaces spans (in order, apart from each other); a replacement stands for its whole span."""
-        if not edits:
-            return self
-        text, starts, ends, at = [], [], [], 0
+    def rewrite(self, edits: Iterable[tuple[int, int, str]]) -> "Tape":
+        """Replaces spans, which come in order and apart from each other."""
+        text, at, moved = [], 0, 0
+        new_at, new_end, old_at, old_end = (array("q") for _ in range(4))
         for a, b, new in edits:
             text += [self.text[at:a], new]
-            starts += [*self.starts[at:a], *[self.starts[a]] * len(new)]
-            ends += [*self.ends[at:a], *[self.ends[b - 1]] * len(new)]
-            at = b
-        out = Tape("")
-        out.text, out.starts, out.ends = "".join(text) + self.text[at:], [*starts, *self.starts[at:]], [*ends, *self.ends[at:]]
-        return out
+            new_at.append(a + moved)
+            new_end.append(a + moved + len(new))
+            old_at.append(a)
+            old_end.append(b)
+            moved, at = moved + len(new) - (b - a), b
+        if new_at:
+            self.text = "".join(text) + self.text[at:]
+            self.steps.append((new_at, new_end, old_at, old_end))
+        return self
+
+    def source(self, a: int, b: int) -> tuple[int, int]:
+        """The source span of characters a to b (exclusive) of the text."""
+        for step in reversed(self.steps):
+            a, b = self._before(step, a)[0], self._before(step, b - 1)[1]
+        return a, b
+
+    @staticmethod
+    def _before(step, p: int) -> tuple[int, int]:
+        new_at, new_end, old_at, old_end = step
+        k = bisect_right(new_at, p) - 1
+        if k < 0:
+            return p, p + 1
+        if p < new_end[k]:
+            return old_at[k], old_end[k]
+        p += old_end[k] - new_end[k]
+        return p, p + 1
 
 
 def _characters(tape: Tape) -> Tape:
-    table = _single()
-    odd = _odd()
-    return tape.rewrite([(k, k + 1, table.get(c, "")) for k, c in enumerate(tape.text) if c in odd])
+    if tape.text.isascii():
+        return tape
+    tape.same_length(tape.text.translate(_translation()))
+    return tape.rewrite((m.start(), m.end(), "") for m in _INVISIBLE.finditer(tape.text))
 
 
 def _local(text: str, end: int) -> tuple[int, list[tuple[int, int]]]:
@@ -225,10 +267,14 @@ def _spoken(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str
     return edits
 
 
+def _dot_sign(text: str, low: str) -> bool:
+    return any(w in low for w in _DOT_WORDS) and bool(_DOT_SIGN.search(text))
+
+
 def _at_dot(tape: Tape) -> Tape:
-    tape = tape.rewrite([(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(tape.text)]) if _BRACKET.search(tape.text) else tape
+    tape = tape.rewrite((m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(tape.text)) if _BRACKET.search(tape.text) else tape
     edits, taken = [], []
-    if any(s in tape.text.lower() for s in _DOT_SIGNS):
+    if _dot_sign(tape.text, tape.text.lower()):
         for m in _SPOKEN.finditer(tape.text):
             a, b = m.span("at")
             taken.append(m.span())
@@ -237,13 +283,14 @@ def _at_dot(tape: Tape) -> Tape:
 
 
 def _spelled(tape: Tape) -> Tape:
-    """Runs with at least four number words become digits; plus becomes +, dot a dot, double and triple repeat."""
+    """Runs with at least four number words, or with figures and three words for dots, become digits; plus becomes +, dot a dot, double and triple repeat."""
     edits = []
-    if not _number_words(tape.text.lower()):
+    low = tape.text.lower()
+    if not _number_words(low) and not _dot_sign(tape.text, low):
         return tape
     for m in _SPELLED.finditer(tape.text):
         parts = [(p.start(), p.end(), p[0].lower()) for p in _SPELLED_WORD.finditer(tape.text, m.start(), m.end())]
-        if sum(w in NUMBER_WORDS for _, _, w in parts) < 4:
+        if sum(w in NUMBER_WORDS for _, _, w in parts) < 4 and sum(w in _DOT_WORDS for _, _, w in parts) < 3:
             continue
         times, at = 1, m.start()
         for k, (a, b, w) in enumerate(parts):
@@ -258,17 +305,23 @@ def _spelled(tape: Tape) -> Tape:
 
 def _number_words(low: str) -> bool:
     """Whether four number words stand within sixteen words of each other, as any run that _spelled rewrites has them."""
-    words = re.findall(r"\w+", low)
-    at = [k for k, w in enumerate(words) if w in NUMBER_WORDS]
-    return any(b - a < 16 for a, b in zip(at, at[3:]))
+    seen: list[int] = []  # places of the last number words
+    before = 0
+    for part in parts_of(low, _PART):
+        words = _WORDS.findall(part)
+        at = seen + [before + k for k, w in enumerate(words) if w in NUMBER_WORDS]
+        if any(b - a < _REACH for a, b in zip(at, at[3:])):
+            return True
+        seen, before = at[-3:], before + len(words)
+    return False
 
 
 def disguised(text: str) -> bool:
     """Cheap signs that a rewriting could find anything."""
-    if not text.isascii() and not _odd().isdisjoint(text):
+    if not text.isascii() and _odd().search(text):
         return True
     low = text.lower()
-    return any(s in low for s in _DOT_SIGNS) or bool(_BRACKET.search(text)) or bool(_AT_DOMAIN.search(text)) or _number_words(low)
+    return _dot_sign(text, low) or bool(_BRACKET.search(text)) or bool(_AT_DOMAIN.search(text)) or _number_words(low)
 
 
 def _stretches(spans: list[Span]) -> list[tuple[int, int]]:
@@ -291,7 +344,7 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
         return []
     taken, out = _stretches(base), []
     for kind, a, b in sorted(base_spans(tape.text), key=lambda s: (KINDS.index(s[0]), s[1])):
-        start, end = tape.starts[a], tape.ends[b - 1]
+        start, end = tape.source(a, b)
         k = bisect_right(taken, (start, len(text) + 1))
         if (not k or taken[k - 1][1] <= start) and (k == len(taken) or end <= taken[k][0]):
             taken.insert(k, (start, end))
@@ -308,7 +361,11 @@ def joined(spans: list[Span]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all, kind:start:end), n_added of every row; null text is empty."""
+    """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all, kind:start:end), n_added of every row.
+
+    Null text is empty and has no spans. Equal rows and rows with equal or null ids are read one by one; extra columns
+    are ignored; no rows, none. Spans of one start go by kind; added spans overlap no other.
+    """
 
     def make():
         def step(batch: pa.RecordBatch):

@@ -167,7 +167,29 @@ def test_quality(odd, small):
         kept = quality.keep_good(df)
         assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.kept)
     assert quality.verdicts(odd.limit(0)).count() == 0
-    assert quality.order([("a", 1.0, 0.5), ("b", 0.1, 0.1), ("c", 1.0, 0.0)]) == ["b", "a", "c"]
+    assert quality.keep_good(odd.limit(0)).count() == 0
+
+
+def test_quality_order():
+    """Conditional worth: what a rule rejects beyond the rules before it, for what its figures cost beyond theirs."""
+    rules = tuple(quality.Rule(n, None) for n in "abc")
+    # a and b reject the same texts, c another one; a is dear, and c reads what a reads
+    figures, seconds = [["big"], ["small"], ["big"]], {"big": 1.0, "small": 0.01}
+    sample = [([True, True, False], figures, seconds)] * 3 + [([False, False, True], figures, seconds)] + [([False, False, False], figures, seconds)]
+    assert quality.order(sample, rules) == ["b", "c", "a"]
+    assert quality.order([], rules) == ["a", "b", "c"]
+    rejects, reads, seconds = quality.measure("word " * 50)
+    assert rejects[1] and not rejects[0] and "words" in reads[1] and set(reads[1]) <= set(seconds)
+
+
+def test_quality_samples_all_rows(spark, small):
+    """The sample comes from the whole table, long texts included, and is the same in any order of rows."""
+    n = small.count()
+    found = quality.sampled(small)
+    assert n <= 400 and len(found) == n
+    wide = small.union(small.withColumn("doc_id", queries.F.col("doc_id") + 1_000_000)).union(small.withColumn("doc_id", queries.F.col("doc_id") + 2_000_000))
+    few = [len(quality.sampled(df)) for df in (wide, wide.repartition(3))]
+    assert few[0] == few[1] and 300 <= few[0] <= 500
 
 
 def test_fingerprints(odd, small, monkeypatch):
@@ -370,6 +392,7 @@ def test_pii(spark, odd):
             assert set(pii.joined(base).split(",")) - {""} <= set(r.spans.split(","))
         out = pii.redact(df)
         assert out.columns == df.columns and out.count() == df.count()
+    assert pii.find(odd.limit(0)).count() == pii.redact(odd.limit(0)).count() == 0
     for text in ("a@b", "a@b.c@d.e.f", "x@y.z.@q.r", "..@a.b", "1.2.3.4.5.6.7.8", "1.2.3.4.5", "+1+22222222222", "256.1.1.1 999", "4304158793483661 4304-1587-9348-3661", "é@a.b", "000000000000", "+++1 (2) 345678 "):
         assert sorted(pii.base_spans(text)) == sorted(brute_pii(text)), text
 
@@ -443,6 +466,91 @@ def test_pii_in_very_long_texts():
     assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
 
 
+@pytest.mark.parametrize(
+    "text,span",
+    [
+        ("ask john at mail\ndot example\tdot org now", ("email", "john at mail\ndot example\tdot org")),
+        ("at 10 dot 20 dot 0 dot 1 here", ("ip", "10 dot 20 dot 0 dot 1")),
+        ("at 10 dot 20 dot 0 dot 999 here", None),
+        ("Absatz 1 punkt 2 punkt 3", None),
+    ],
+)
+def test_disguises_with_any_white_space(text, span):
+    test_disguises(text, span)
+
+
+def planted_disguises(n):
+    """(text, kind, span) with one disguised identifier in prose; n of them, and as many texts of like words without any."""
+    import random
+
+    rng = random.Random(7)
+    names, hosts, ends = ("anna", "jo.doe", "info", "max_m", "c3po", "li-wei"), ("example", "posta", "my-firm", "mail.uni"), ("com", "org", "de", "it", "io", "fr")
+    digits = "zero one two three four five six seven eight nine".split()
+    prose = "the meeting is in the second room and we look at the point of the plan, dot by dot, for one or two days".split()
+
+    def say(words):
+        k = rng.randrange(3, len(prose))
+        return " ".join(prose[:k]) + f" : {words} ; " + " ".join(prose[k:])
+
+    def email():
+        a, b, c = rng.choice(names), rng.choice(hosts), rng.choice(ends)
+        return rng.choice([
+            f"{a} at {b.replace('.', ' dot ')} dot {c}", f"{a} AT {b.replace('.', ' DOT ')} DOT {c}", f"{a} (at) {b} (dot) {c}", f"{a}[at]{b}[dot]{c}", f"{a} {{at}} {b} {{dot}} {c}", f"{a} [@] {b}.{c}", f"{a}＠{b}.{c}",
+            f"{a[0]}\u200b{a[1:]}@{b}.{c}", f"{a}@{b}\u2024{c}", f"{a.replace('a', 'а').replace('o', 'о')}@{b.replace('e', 'е').replace('o', 'о')}.{c}", f"{a}  at\t{b}\ndot  {c}",
+        ])
+
+    def ip():
+        parts = [rng.randrange(256) for _ in range(4)]
+        spoken = [" ".join(digits[int(d)] for d in str(p)) for p in parts]
+        return rng.choice([" dot ".join(spoken), " DOT ".join(spoken), " dot ".join(map(str, parts)), "[.]".join(map(str, parts)), "(dot)".join(map(str, parts)), ".".join(map(str, parts)).translate({48 + k: 0xFF10 + k for k in range(10)})])
+
+    def phone():
+        d = [rng.randrange(1, 10)] + [rng.randrange(10) for _ in range(rng.randrange(9, 12))]
+        spoken = [digits[x] for x in d]
+        return rng.choice(["plus " + " ".join(spoken), "plus " + "-".join(spoken), "+" + "".join(chr(0xFF10 + x) for x in d), "plus " + ", ".join(spoken)])
+
+    kinds = (("email", email), ("ip", ip), ("phone", phone))
+    found = []
+    for k in range(n):
+        kind, make = kinds[k % 3]
+        span = make()
+        found.append((say(span), kind, span))
+    return found, [say(" ".join(rng.sample(prose, 6))) for _ in range(n)]
+
+
+def test_disguises_recall_and_precision():
+    planted, clean = planted_disguises(600)
+    hits = made = 0
+    for text, kind, span in planted:
+        got = [(k, text[a:b]) for k, a, b in pii.added_spans(text, pii.base_spans(text))]
+        base = [(k, text[a:b]) for k, a, b in pii.base_spans(text)]
+        hits += (kind, span) in got + base
+        made += len(got)
+    wrong = sum(len(pii.added_spans(t, pii.base_spans(t))) for t in clean)
+    recall, precision = hits / len(planted), hits / (made + wrong)
+    assert recall >= 0.9 and precision >= 0.9, (recall, precision)
+
+
+def test_pii_memory_of_a_very_long_text():
+    """A text of 30 million characters full of disguises: memory follows the text, not a list of its characters."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+sys.path.insert(0, sys.argv[1])
+from scriptorium.llm import pii
+part = "слово за словом, " * 2000 + "mail jo [at] example [dot] org and x\u200by "
+text = part * (30_000_000 // len(part))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+spans = pii.added_spans(text, pii.base_spans(text))
+assert len(spans) == text.count("jo [at]") and all(text[a:b] == "jo [at] example [dot] org" for _, a, b in spans)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code, pii.__file__.rsplit("/", 3)[0]], check=True, capture_output=True, text=True)
+    assert float(out.stdout) < 500, out.stdout
+
+
 def test_html_nested_very_deep():
     page = "<html><body>" + "<div class='a/b x'>" * 20_000 + "<p>deep words of a text</p>"
     root = htmltext.parse(page)
