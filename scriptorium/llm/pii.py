@@ -128,8 +128,8 @@ def _single() -> dict[str, str]:
 
 
 @lru_cache(1)
-def _odd() -> re.Pattern:
-    return re.compile("[" + "".join(map(re.escape, sorted([*_single(), *INVISIBLE]))) + "]")
+def _odd() -> frozenset[str]:
+    return frozenset([*_single(), *INVISIBLE])
 
 
 @lru_cache(1)
@@ -318,37 +318,48 @@ def _number_words(low: str) -> bool:
 
 def disguised(text: str) -> bool:
     """Cheap signs that a rewriting could find anything."""
-    if not text.isascii() and _odd().search(text):
+    if not text.isascii() and not _odd().isdisjoint(text):
         return True
     low = text.lower()
     return _dot_sign(text, low) or bool(_BRACKET.search(text)) or bool(_AT_DOMAIN.search(text)) or _number_words(low)
 
 
-def _stretches(spans: list[Span]) -> list[tuple[int, int]]:
-    """Stretches of text that spans cover, in order and apart from each other."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((a, b) for _, a, b in spans):
+def _stretches(spans: list[Span]) -> list[tuple[int, int, list[Span]]]:
+    """Stretches of text that spans cover, in order and apart from each other, each with its spans."""
+    out: list[tuple[int, int, list[Span]]] = []
+    for span in sorted(spans, key=lambda s: s[1:]):
+        _, a, b = span
         if out and a < out[-1][1]:
-            out[-1] = out[-1][0], max(b, out[-1][1])
+            out[-1][2].append(span)
+            out[-1] = out[-1][0], max(b, out[-1][1]), out[-1][2]
         else:
-            out.append((a, b))
+            out.append((a, b, [span]))
     return out
 
 
 def added_spans(text: str, base: list[Span]) -> list[Span]:
-    """Spans that only the normalised text shows, in source characters; none overlaps another."""
+    """Spans that only the normalised text shows, in source characters.
+
+    None overlaps another, nor a base span, unless it holds all of a shorter one of its kind: the rest of an identifier
+    that a disguise cut off. Where candidates overlap, the one that starts first counts, then the longest.
+    """
     if not disguised(text):
         return []
     tape = _spelled(_at_dot(_characters(Tape(text))))
     if tape.text == text:
         return []
-    taken, out = _stretches(base), []
-    for kind, a, b in sorted(base_spans(tape.text), key=lambda s: (KINDS.index(s[0]), s[1])):
-        start, end = tape.source(a, b)
-        k = bisect_right(taken, (start, len(text) + 1))
-        if (not k or taken[k - 1][1] <= start) and (k == len(taken) or end <= taken[k][0]):
-            taken.insert(k, (start, end))
+    taken, at, end_of_last, out = _stretches(base), 0, 0, []
+    found = [(kind, *tape.source(a, b)) for kind, a, b in base_spans(tape.text)]
+    for kind, start, end in sorted(found, key=lambda s: (s[1], -s[2], KINDS.index(s[0]))):
+        while at < len(taken) and taken[at][1] <= start:
+            at += 1
+        k, met = at, []
+        while k < len(taken) and taken[k][0] < end:
+            met += [s for s in taken[k][2] if s[1] < end and s[2] > start]
+            k += 1
+        if start >= end_of_last and all(s[0] == kind and start <= s[1] and s[2] <= end and s[2] - s[1] < end - start for s in met):
             out.append((kind, start, end))
+            end_of_last = end
     return out
 
 
@@ -364,7 +375,7 @@ def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (all, kind:start:end), n_added of every row.
 
     Null text is empty and has no spans. Equal rows and rows with equal or null ids are read one by one; extra columns
-    are ignored; no rows, none. Spans of one start go by kind; added spans overlap no other.
+    are ignored; no rows, none. Spans of one start go by kind.
     """
 
     def make():
