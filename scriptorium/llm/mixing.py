@@ -1,13 +1,17 @@
 """Mixing sources to target weights.
 
 Words are summed for each source, targets follow from weights by water-filling, and a source's rate
-is target / size. Every document is taken floor(rate) times; one more copy is a Bernoulli draw, seeded
-by a hash of its id, whose probability is the rate's fraction. With few or uneven documents a source's
-sum would stray from its target, so the draw's threshold is calibrated: documents in the order of their
-hash are taken while the middle of their words lies within what is still wanted. The expected threshold
-is the fraction, and a source misses its target by half a document at most.
+is target / size. Two steps give a document's copies:
 
-Nothing larger than a row for each source and hash bucket is gathered, and only sums reach the driver.
+1. the draw: floor(rate) copies, and one more by a Bernoulli draw, seeded by a hash of its id, whose probability is
+   the rate's fraction;
+2. the correction: with few or uneven documents a source's sum strays from its target, so the documents whose draws
+   lie nearest the fraction lose the further copy or get one, in the order of their hash, until the middle of the last
+   one's words lies within what is still wanted. A source then misses its target by half a document at most.
+
+Both steps compare the same hash, with the fraction and with the corrected threshold; the correction goes to nothing
+as documents grow in number. Nothing larger than a row for each source and hash bucket is gathered, and only sums
+reach the driver.
 """
 
 from __future__ import annotations
@@ -21,8 +25,8 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = "mix-1"
 BUCKET_BITS, HASH_BITS = 12, 60
-#: Sources up to which their table is broadcast; beyond it Spark joins by shuffle.
-BROADCAST_SOURCES = 10_000
+#: Bytes of the table of sources up to which it is broadcast; beyond it Spark joins by shuffle.
+BROADCAST_BYTES = 8_000_000
 
 
 def size_of(text: Column) -> Column:
@@ -76,13 +80,15 @@ def _near(df: DataFrame, sources: DataFrame, few: bool) -> DataFrame:
 def rates(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> tuple[DataFrame, DataFrame, bool]:
     """(doc_id, source, size, draw) of all documents; a row (source, source_size, target, times, upto) for each source; whether those are few.
 
-    A document is taken `times` times and once more if its draw is `upto` or less.
+    A document is drawn `times` times and once more if its draw is below `chance`, the fraction of 2**HASH_BITS; after
+    the correction, if its draw is `upto` or less. A source's words are put in order of their hash within one bucket of
+    2**BUCKET_BITS, so that a task sorts a 4096th of a source's rows, a few numbers each.
     """
     sized = checkpoint(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), draw(F.col("doc_id"), seed).alias("draw")))
     goal = targets(sized, weights, max_repeats)
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     goal = goal.withColumn("times", times).withColumn("more", F.col("target") - F.col("times") * F.col("source_size"))
-    few = goal.count() <= BROADCAST_SOURCES
+    few = (goal.agg(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 64)).first()[0] or 0) <= BROADCAST_BYTES
     bucket = F.shiftright("draw", HASH_BITS - BUCKET_BITS)
     by_bucket = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -99,30 +105,40 @@ def rates(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int
     )
     last = last.withColumnRenamed("source", "_of")
     ends = goal.join(last, goal["source"].eqNullSafe(last["_of"]), "left")
-    return sized, checkpoint(ends.select("source", "source_size", "target", "times", F.coalesce("upto", F.lit((1 << HASH_BITS) - 1)).alias("upto"), "more")), few
+    chance = F.when(F.col("source_size") > 0, F.col("more") / F.col("source_size")).otherwise(0.0) * F.lit(float(1 << HASH_BITS))
+    return sized, checkpoint(ends.select("source", "source_size", "target", "times", F.coalesce("upto", F.lit((1 << HASH_BITS) - 1)).alias("upto"), "more", chance.alias("chance"))), few
+
+
+def drawn() -> Column:
+    """Step 1: copies by rate, the last one with the probability of the fraction."""
+    return F.col("times") + F.when(F.col("draw") < F.col("chance"), 1).otherwise(0)
 
 
-def _copies() -> Column:
-    return F.col("times") + F.when((F.col("more") > 0) & (F.col("draw") <= F.col("upto")), 1).otherwise(0)
+def correction() -> Column:
+    """Step 2: -1, 0 or 1 copies, for the documents whose draws lie between the fraction and the corrected threshold."""
+    further = (F.col("more") > 0) & (F.col("draw") <= F.col("upto"))
+    return further.cast("long") - (F.col("draw") < F.col("chance")).cast("long")
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every document.
+    """doc_id, size, source_size, target, taken, drawn, corrected of every document: words taken, copies drawn, and copies that the correction adds.
 
     Null texts have no words and null sources are one source. Rows with equal ids share a draw. A
     source without words takes none. Extra columns are ignored; no documents, no rows.
     """
     sized, ends, few = rates(docs, **options)
-    return _near(sized, ends, few).select("doc_id", "size", "source_size", "target", (F.col("size") * _copies()).alias("taken"))
+    return _near(sized, ends, few).select("doc_id", "size", "source_size", "target", (F.col("size") * (drawn() + correction())).alias("taken"), drawn().alias("drawn"), correction().alias("corrected"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns it had."""
+    """The documents of the mix, each as often as it is taken, with the columns it had. Nulls, ties and empty tables as in mix_report."""
     _, ends, few = rates(docs, **options)
     seed = options.get("seed", SEED)
-    source, times, upto, more, copies, copy = fresh(docs, "_source", "_times", "_upto", "_more", "_copies", "_copy")
-    own = ends.select(F.col("source").alias(source), F.col("times").alias(times), F.col("upto").alias(upto), F.col("more").alias(more))
+    source, rate, copy = fresh(docs, "_source", "_rate", "_copy")
+    own = ends.select(F.col("source").alias(source), F.struct("times", "more", "upto").alias(rate))
     joined = docs.join(F.broadcast(own) if few else own, docs["source"].eqNullSafe(own[source]))
-    often = F.col(times) + F.when((F.col(more) > 0) & (draw(docs["doc_id"], seed) <= F.col(upto)), 1).otherwise(0)
-    taken = joined.withColumn(copies, often).filter(F.col(copies) > 0)
-    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    # the draw and its correction at once: what they add up to
+    further = (own[rate]["more"] > 0) & (draw(docs["doc_id"], seed) <= own[rate]["upto"])
+    copies = own[rate]["times"] + further.cast("long")
+    every = F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<bigint>"))
+    return joined.withColumn(copy, F.explode(every)).select(*(F.col(f"`{c}`") for c in docs.columns))
