@@ -1,7 +1,8 @@
 """Chat formatting by schema fingerprint, with DataFrame functions only.
 
-The nested field paths of a layout are hashed; the hash selects a declarative mapping that turns rows of
-that layout into canonical turns array<struct<role, text>>. Turns are written with a reversible template:
+The nested field paths of the data, of a table's schema or of each JSON record, are hashed as far as any mapping knows
+them; the hash selects a declarative mapping that turns rows of that layout into canonical turns. What no single mapping
+fits is unknown: an error for a table, a count of its own for records. Turns are written with a reversible template:
 
     ### role: text</turn>\n
 
@@ -42,25 +43,29 @@ def _messages(column: str, role: str, text: str) -> Column:
     return F.transform(F.coalesce(F.col(column), F.array()), lambda m: _turn(m[role], m[text]))
 
 
-#: Layouts: their field paths and the canonical turns of a row.
+def _pair(prompt: str, answer: str):
+    return lambda: F.array(_turn("user", F.col(prompt)), _turn("assistant", F.col(answer)))
+
+
+def _with_input() -> Column:
+    asked = F.when(F.coalesce(F.col("input"), F.lit("")) == "", F.col("instruction")).otherwise(F.concat_ws("\n", "instruction", "input"))
+    return F.array(_turn("user", asked), _turn("assistant", F.col("output")))
+
+
+#: Layouts: their field paths, and the canonical turns of a row that holds a conversation; None where a row is one turn.
 LAYOUTS: tuple[tuple[tuple[str, ...], object], ...] = (
+    (("role", "text", "turn"), None),
     (("messages[].content", "messages[].role"), lambda: _messages("messages", "role", "content")),
     (("conversations[].from", "conversations[].value"), lambda: _messages("conversations", "from", "value")),
-    (("prompt", "response"), lambda: F.array(_turn("user", F.col("prompt")), _turn("assistant", F.col("response")))),
-    (("prompt", "completion"), lambda: F.array(_turn("user", F.col("prompt")), _turn("assistant", F.col("completion")))),
-    (("instruction", "output"), lambda: F.array(_turn("user", F.col("instruction")), _turn("assistant", F.col("output")))),
-    (
-        ("input", "instruction", "output"),
-        lambda: F.array(
-            _turn("user", F.when(F.coalesce(F.col("input"), F.lit("")) == "", F.col("instruction")).otherwise(F.concat_ws("\n", "instruction", "input"))),
-            _turn("assistant", F.col("output")),
-        ),
-    ),
+    (("prompt", "response"), _pair("prompt", "response")),
+    (("prompt", "completion"), _pair("prompt", "completion")),
+    (("instruction", "output"), _pair("instruction", "output")),
+    (("input", "instruction", "output"), _with_input),
 )
 MAPPINGS = {fingerprint(list(p)): turns for p, turns in LAYOUTS}
-#: One row for each turn; grouping does what a mapping does for the others.
-BY_TURN = fingerprint(["conv_id", "turn", "role", "text"])
-FIELDS = sorted({p.split("[")[0] for known, _ in LAYOUTS for p in known})
+KNOWN = frozenset(p for known, _ in LAYOUTS for p in known)
+#: Lists of turns within a record, and the paths of their elements.
+NESTED = {f: sorted(p for p in KNOWN if p.startswith(f"{f}[]")) for f in ("messages", "conversations")}
 
 
 def _escape(text: Column, role: bool = False) -> Column:
@@ -76,38 +81,68 @@ def _unescape(text: Column) -> Column:
 
 
 def turn_rows(df: DataFrame, key: str = "conv_id") -> DataFrame:
-    """Canonical rows (key, nth, role, text) of any known layout; nth gives the order.
+    """Canonical rows (key, nth, role, text) of a table of any known layout; nth gives the order.
 
-    Rows by turn are ordered by turn (null first), then role and text, so ties have one order. Other layouts need
-    their fields among df's columns, which beside the key may hold others: the largest known layout that is there
-    counts. An unknown layout raises ValueError.
+    The hash of the schema's paths, of those that any layout knows, selects the mapping; other columns may stand
+    beside them. Rows by turn are ordered by turn (null first), then role and text, so ties have one order. Null roles
+    and texts are empty, a null list has no turns, repeated rows are turns of their own; no rows, none. A schema
+    that no mapping fits, or that holds the fields of several layouts, raises ValueError: select one's columns.
     """
-    held = {p.replace("?", "") for p in paths(df.schema)}
-    if {"turn", "role", "text"} <= held:
-        return df.select(F.col(key), F.struct("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).alias("nth"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    known = [p for p, _ in LAYOUTS if set(p) <= held]
-    if not known:
-        raise ValueError(f"no mapping for the layout {fingerprint(sorted(held))}: {sorted(held)}")
-    turns = MAPPINGS[fingerprint(list(max(known, key=lambda p: (len(p), p))))]()
-    return df.select(F.col(key), F.posexplode(turns).alias("nth", "t")).select(key, "nth", "t.role", "t.text")
+    held = sorted({p for p in paths(df.schema) if p in KNOWN and p != key})
+    mark = fingerprint(held)
+    if mark not in MAPPINGS:
+        raise ValueError(f"no mapping for the layout {mark}: {held}")
+    if (turns := MAPPINGS[mark]) is None:
+        role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
+        return df.select(F.col(key), F.struct("turn", role.alias("role"), text.alias("text")).alias("nth"), role.alias("role"), text.alias("text"))
+    return df.select(F.col(key), F.posexplode(turns()).alias("nth", "t")).select(key, "nth", "t.role", "t.text")
+
+
+_MESSAGE = "array<struct<role: string, content: string>>"
+_RECORD = f"messages {_MESSAGE}, conversations array<struct<`from`: string, value: string>>, prompt string, response string, completion string, instruction string, input string, output string"
+
+
+def record_paths(record: Column) -> Column:
+    """Sorted paths of a JSON record as far as a layout knows them: its own keys, null values included, and those of the first element of a list of turns (an empty list counts as any)."""
+    keys = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
+    held = [F.filter(keys, lambda k: k.isin(*sorted(p for p in KNOWN if "[" not in p)))]
+    for name in NESTED:
+        held.append(_nested_paths(record, keys, name))
+    return F.array_sort(F.array_distinct(F.concat(*held)))
+
+
+def _nested_paths(record: Column, keys: Column, name: str) -> Column:
+    first = F.coalesce(F.json_object_keys(F.get_json_object(record, f"$.{name}[0]")), F.array().cast("array<string>"))
+    inner = F.filter(F.transform(first, lambda k: F.concat(F.lit(f"{name}[]."), k)), lambda p: p.isin(*NESTED[name]))
+    empty = F.array_contains(keys, name) & (F.get_json_object(record, f"$.{name}") == "[]")
+    return F.when(empty, F.array(*map(F.lit, NESTED[name]))).otherwise(inner)
+
+
+def record_fingerprint(record: Column) -> Column:
+    """The layout of a JSON record as fingerprint() gives it for a table; null for what is no JSON object."""
+    return F.when(F.json_object_keys(record).isNotNull(), F.substring(F.sha2(F.array_join(record_paths(record), "\n"), 256), 1, 16))
 
 
 def mixed_json_turns(df: DataFrame, column: str, key: str) -> DataFrame:
-    """Canonical rows of JSON records whose layouts differ row by row; the row's own paths select its mapping.
+    """Canonical rows of JSON records whose layouts differ row by row; the hash of the record's own paths selects its mapping.
 
-    A record that is null, broken or of no known layout gives no rows.
+    A record that is null, broken, or of no single known layout gives no rows; layout_counts counts these.
     """
-    message = "array<struct<role: string, content: string>>"
-    schema = f"messages {message}, conversations array<struct<`from`: string, value: string>>, prompt string, response string, completion string, instruction string, input string, output string"
-    row = df.select(F.col(key), F.from_json(F.col(column), schema).alias("r")).select(key, "r.*")
-    there = F.concat_ws("\n", *(F.when(F.col(f).isNotNull(), F.lit("\n".join(sorted({p for known, _ in LAYOUTS for p in known if p.split("[")[0] == f})))) for f in FIELDS))
-    mark = F.substring(F.sha2(there, 256), 1, 16)
+    row = df.select(F.col(key), record_fingerprint(F.col(column)).alias("layout"), F.from_json(F.col(column), _RECORD).alias("r")).select(key, "layout", "r.*")
     turns = F.lit(None).cast("array<struct<role: string, text: string>>")
     for layout, make in MAPPINGS.items():
-        turns = F.when(mark == layout, make()).otherwise(turns)
+        if make is not None:
+            turns = F.when(F.col("layout") == layout, make()).otherwise(turns)
     return row.select(key, F.posexplode(turns).alias("nth", "t")).select(key, "nth", "t.role", "t.text")
 
 
+def layout_counts(df: DataFrame, column: str) -> DataFrame:
+    """layout, paths, known, n: how many records have each layout and whether mixed_json_turns reads it; layout is null for what is no JSON object."""
+    mapped = sorted(k for k, make in MAPPINGS.items() if make is not None)
+    row = df.select(record_fingerprint(F.col(column)).alias("layout"), record_paths(F.col(column)).alias("paths"))
+    return row.groupBy("layout", "paths").agg(F.count("*").alias("n")).select("layout", "paths", F.coalesce(F.col("layout").isin(mapped), F.lit(False)).alias("known"), "n")
+
+
 def formatted(rows: DataFrame, key: str = "conv_id", learn: str = "assistant") -> DataFrame:
     """key, formatted (one string), marks array<struct<start, length, loss>>: a turn's escaped text in the string, and whether it counts for the loss.
 
