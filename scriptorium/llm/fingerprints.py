@@ -9,8 +9,10 @@ aren't compared, which is what partitioning by set length rests on.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -68,18 +70,25 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-#: Rows of one range of ids, and the most ranges that the driver lays out.
-RANGE_ROWS, MAX_RANGES = 4000, 20_000
+#: Rows of one range of ids, the most ranges that the driver lays out, and the ids that it draws for each.
+RANGE_ROWS, MAX_RANGES, DRAWN = 4000, 20_000, 100
 
 
 def _ranges(docs: DataFrame) -> list[int]:
-    """Ids that split the documents into ranges of about equal size; their number is bounded."""
+    """Ids that split the documents into ranges of about equal size, from a hash sample of bounded size; their number is bounded."""
     ids = docs.select("doc_id").filter(F.col("doc_id").isNotNull())
-    n = min(MAX_RANGES, ids.count() // RANGE_ROWS)
+    rows = ids.count()
+    n = min(MAX_RANGES, rows // RANGE_ROWS)
     if n < 1:
         return []
-    cuts = ids.agg(F.percentile_approx("doc_id", [k / (n + 1) for k in range(1, n + 1)], 10 * (n + 1))).first()[0]
-    return sorted(set(cuts or []))
+    drawn = ids.distinct().filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(min(1.0, DRAWN * n / rows) * (1 << 40)))
+    found = np.sort(drawn.toArrow().column(0).to_numpy())
+    return sorted({int(found[k * len(found) // (n + 1)]) for k in range(1, n + 1)}) if len(found) else []
+
+
+def _constant(values: list, kind: str) -> Column:
+    """A long list as one literal, which the optimizer folds."""
+    return F.from_json(F.lit(json.dumps(values)), kind)
 
 
 def _range_of(value: Column, cuts: list[int]) -> Column:
@@ -90,31 +99,30 @@ def _range_of(value: Column, cuts: list[int]) -> Column:
     def below(found: Column) -> Column:
         return F.size(F.filter(found, lambda c: c < value))
 
-    lists = F.array(*(F.array(*map(F.lit, p)) for p in parts))
-    part = F.greatest(below(F.array(*(F.lit(p[0]) for p in parts))) - 1, F.lit(0))
-    return F.coalesce(part * width + below(F.element_at(lists, part + 1)), F.lit(0))
+    part = F.greatest(below(_constant([p[0] for p in parts], "array<bigint>")) - 1, F.lit(0))
+    return F.coalesce(part * width + below(F.element_at(_constant(parts, "array<array<bigint>>"), part + 1)), F.lit(0))
 
 
 def with_following(docs: DataFrame) -> DataFrame:
-    """Rows (range, copy, doc_id, text), by range in the order of ids; a row with copy = 1 ends a range: the first row of the next.
+    """Rows (range, copy, doc_id, text), a partition for each range in the order of ids; a row with copy = 1 ends a range: the first row of the next.
 
-    Texts are shuffled once. The rows copied are one for each range, whose number is bounded.
+    Texts are shuffled once, each range to a partition of its own. The rows copied are one for each range, whose number
+    is bounded; above MAX_RANGES * RANGE_ROWS rows ranges grow, and a range is sorted by Spark, which can spill. Rows
+    without an id are one range, as are rows of one id.
     """
     cuts = _ranges(docs)
     at = _range_of(F.col("doc_id"), cuts) if cuts else F.lit(0)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(at))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(at).cast("int"))
     first = {r.range: r.first for r in rows.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("k"), F.col("doc_id").alias("id"))).alias("first")).collect()}
     order = sorted(first)
-    homes: dict[int, int] = {r: order[k - 1] for k, r in enumerate(order)}  # the first range's first row ends the last range
-    copies = F.lit(None).cast("int")
-    for r in order:
-        copies = F.when((F.col("range") == r) & F.col("doc_id").eqNullSafe(F.lit(first[r].id)), homes[r]).otherwise(copies) if len(order) <= 64 else copies
-    if len(order) > 64:  # a long CASE is slow; the same as a look-up
-        pairs = [x for r in order for x in (F.lit(f"{r}:{first[r].id}"), F.lit(homes[r]))]
-        copies = F.try_element_at(F.create_map(*pairs), F.concat(F.col("range").cast("string"), F.lit(":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("None"))))
+    homes = {r: order[k - 1] for k, r in enumerate(order)}  # the first range's first row ends the last range
+    every = range(len(cuts) + 1)
+    first_id = F.element_at(_constant([first[r].id if r in first else None for r in every], "array<bigint>"), F.col("range") + 1)
+    home = F.element_at(_constant([homes.get(r) for r in every], "array<int>"), F.col("range") + 1)
+    copies = F.when(F.col("doc_id").eqNullSafe(first_id), home)
     both = F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("copy")), F.struct(copies.alias("range"), F.lit(1).alias("copy")))
     spread = rows.select("doc_id", "text", F.explode(F.filter(both, lambda x: x["range"].isNotNull())).alias("to")).select("to.range", "to.copy", "doc_id", "text")
-    return spread.repartition(max(1, len(order)), "range").sortWithinPartitions("range", "copy", "doc_id", "text")
+    return spread.repartitionById(len(cuts) + 1, "range").sortWithinPartitions("range", "copy", "doc_id", "text")
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -154,36 +162,59 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     return map_batches(with_following(docs), make, OUT)
 
 
-def length_part(n: int, threshold: float) -> int:
-    """Partition of a set length: sets in partitions that aren't equal or adjacent can't reach the threshold."""
-    return int(math.log(max(1, n)) / -math.log(threshold))
+def length_bounds(threshold: Fraction, longest: int) -> list[int]:
+    """Least set lengths of the partitions up to `longest`: sets in partitions that aren't equal or adjacent can't reach the threshold."""
+    bounds = [1]
+    while bounds[-1] <= longest:
+        bounds.append(bounds[-1] * threshold.denominator // threshold.numerator + 1)
+    return bounds
+
+
+def similar(a: frozenset[int], b: frozenset[int], threshold: Fraction) -> bool:
+    """Pruned Jaccard: whether two sets reach the threshold, in whole numbers; lengths are compared first."""
+    if min(len(a), len(b)) * threshold.denominator < max(len(a), len(b)) * threshold.numerator:
+        return False
+    both = len(a & b)
+    return both * threshold.denominator >= (len(a) + len(b) - both) * threshold.numerator
 
 
 def similar_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(fingerprint_a, fingerprint_b, likeness) of different fingerprints at `threshold` or more; prints has a column fingerprint.
 
     Equal fingerprints are one class first. A class is indexed in its length partition under the rarest hashes of
-    its set (a prefix that any partner must share), so no frequent signature gathers the corpus and no pair is lost.
-    Empty fingerprints have no partner.
+    its set (a prefix that any partner must share), so no frequent signature gathers the corpus and no pair is lost:
+    all bounds are whole numbers. Null and empty fingerprints have no partner; no rows, none. Classes that are all
+    similar to each other have a pair for each two; class_links counts them for each class.
     """
+    at_least = Fraction(str(threshold))
+    num, den = at_least.numerator, at_least.denominator
     classes = checkpoint(prints.select("fingerprint").filter("fingerprint <> ''").distinct())
+    longest = (classes.agg(F.max(F.length("fingerprint"))).first()[0] or 0) // 8
     one = F.transform(F.expr("sequence(0, length(fingerprint) div 8 - 1)"), lambda i: F.substr("fingerprint", i.cast("int") * 8 + 1, F.lit(8)))
     sigs = classes.select("fingerprint", F.explode(one).alias("sig"))
     ranked = sigs.join(sigs.groupBy("sig").agg(F.count("*").alias("n")), "sig").groupBy("fingerprint").agg(F.sort_array(F.collect_list(F.struct("n", "sig"))).alias("s"))
-    size = F.size("s")
-    part = F.floor(F.log(size.cast("double")) / -math.log(threshold)).cast("int")
-    prefix = (size - F.ceil(size * F.lit(threshold)) + 1).cast("int")
-    keys = checkpoint(ranked.select("fingerprint", size.alias("size"), part.alias("part"), F.explode(F.slice("s", F.lit(1), prefix)["sig"]).alias("sig")))
+    size = F.size("s").cast("long")
+    part = F.size(F.filter(_constant(length_bounds(at_least, longest), "array<bigint>"), lambda b: b <= size))
+    prefix = size - F.floor((size * num + (den - 1)) / den) + 1
+    keys = checkpoint(ranked.select("fingerprint", size.alias("size"), part.alias("part"), F.explode(F.slice("s", F.lit(1), prefix.cast("int"))["sig"]).alias("sig")))
     left = keys.select(F.col("fingerprint").alias("a"), F.col("size").alias("na"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), F.col("part").alias("own"))
     right = keys.select(F.col("fingerprint").alias("b"), F.col("size").alias("nb"), "sig", "part")
     near = left.join(right, ["sig", "part"]).filter((F.col("own") < F.col("part")) | (F.col("a") < F.col("b")))
-    near = near.filter((F.least("na", "nb") >= F.greatest("na", "nb") * threshold)).select("a", "b").distinct()
+    near = near.filter(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).select("a", "b").distinct()
 
     def make():
         def step(batch: pa.RecordBatch):
-            rows = [(a, b, x) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (x := jaccard(decode(a), decode(b))) >= threshold]
+            rows = [(a, b, jaccard(p, q)) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if similar(p := decode(a), q := decode(b), at_least)]
             return list(zip(*rows)) if rows else None
 
         return step
 
     return map_batches(near, make, "fingerprint_a string, fingerprint_b string, likeness double")
+
+
+def class_links(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """fingerprint, n_docs, n_links of each class of equal fingerprints: its rows, and the other classes that it is similar to."""
+    pairs = similar_pairs(prints, threshold)
+    ends = pairs.select(F.explode(F.array("fingerprint_a", "fingerprint_b")).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("n_links"))
+    own = prints.select("fingerprint").groupBy("fingerprint").agg(F.count("*").alias("n_docs"))
+    return own.join(ends, "fingerprint", "left").select("fingerprint", "n_docs", F.coalesce("n_links", F.lit(0)).alias("n_links"))
