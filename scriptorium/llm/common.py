@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -63,6 +64,22 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
+#: Keys with more than a HOT-th of the rows are hot; there are fewer than HOT of them, whatever the data.
+HOT = 1000
+
+
+def join_keyed(big: DataFrame, small: DataFrame, key: str, count: str) -> DataFrame:
+    """big joined with small, which has one row for each key and in `count` the rows of big with that key.
+
+    The hot keys' rows of small are broadcast, so that big's rows stay where they are, and the others meet by shuffle. Both
+    are read twice: give checkpoints.
+    """
+    total = small.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(small.filter(F.col(count) * HOT > total).drop(count))
+    cold = small.filter(F.col(count) * HOT <= total).drop(count)
+    return big.join(hot, key).unionByName(big.join(hot.select(key), key, "left_anti").join(cold, key))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened until df has no such column."""
     held, out = {c.lower() for c in df.columns}, []

@@ -16,18 +16,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_packing(spark, sf_dir):
+    """All documents packed into sequences of 2048 ids; null texts are one end id, repeated rows are packed one by one."""
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
 def op2_mixing(spark, sf_dir):
-    return mixing.mix_report(_table(spark, sf_dir, "documents"))
+    """Words that the mix takes of every document; a null text has none, null sources are one source, equal ids share a draw."""
+    return mixing.mix_report(_table(spark, sf_dir, "documents")).drop("drawn", "corrected")
 
 
 def op3_quality(spark, sf_dir):
+    """Base figures and verdict of every document; null and blank texts are rejected."""
     return quality.verdicts(_table(spark, sf_dir, "documents")).drop("rejected_by")
 
 
 def op4_fingerprints(spark, sf_dir):
+    """Fingerprint of every text and of its edited text; null texts are empty, equal ids go by text."""
     return fingerprints.fingerprints(_table(spark, sf_dir, "documents"))
 
 
@@ -36,6 +40,7 @@ PROBE = r"\### Assistant: </turn> ok"
 
 
 def op5_chat(spark, sf_dir):
+    """All conversations and the probe, formatted and read back; null roles and texts are empty, equal turns go by role and text."""
     table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(PROBE).alias("text")) for k, r in enumerate(("user", "assistant"))))).alias("t")).select("conv_id", "t.*")
     back = chat.read_back(chat.formatted(chat.turn_rows(table.unionByName(probe))))
@@ -46,6 +51,7 @@ def op5_chat(spark, sf_dir):
 
 
 def op6_language(spark, sf_dir):
+    """Language of every document by a model of the documents that aren't held out; `und` without letters, ties by name."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     kept = langid.held_out(docs)
     model = langid.train(docs.filter(F.col("lang").isNotNull() & ~kept))
@@ -54,23 +60,28 @@ def op6_language(spark, sf_dir):
 
 
 def op7_token_counts(spark, sf_dir):
+    """Tokens of every document by scan of flat token files; null texts have none, repeated rows are counted one by one."""
     return tokenfiles.document_counts(_table(spark, sf_dir, "documents"))
 
 
 def op8_html(spark, sf_dir):
+    """Main text of every page; null html has none, null urls are one host."""
     return htmltext.main_text(_table(spark, sf_dir, "pages"))
 
 
 def op9_simhash(spark, sf_dir):
+    """Fingerprint and component of every document; null and blank texts have fingerprint zero and are linked like others."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op10_pii(spark, sf_dir):
+    """Personal data of every document; null texts have none."""
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark, sf_dir):
+    """The five stages of corpus_pipeline over all documents."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

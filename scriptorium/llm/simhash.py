@@ -5,6 +5,12 @@ Each different fingerprint emits itself and its 64 one-bit variants, rows meet b
 verified. A variant can gather 65 different fingerprints at most, and all that meet at it are linked through
 the least of them, so neither groups nor pairs grow with the corpus. Exact copies share one fingerprint and
 are one node from the start.
+
+near_duplicates works on 64 bits of 3-word shingles and finds every link. Two bits of 64 are little for texts with a
+few words changed, so one_of_each, which keeps one document of each group, takes a longer print: BANDS independent
+SimHashes of BAND_BITS bits over a text's different words. Every band is ball-hashed as above, and what meets in any
+band is verified on the whole print. Texts whose 5-word shingles are alike to 0.8 or more meet with a probability of
+about 0.92 (measured), less similar ones more and more rarely; texts that have only common words between them don't.
 """
 
 from __future__ import annotations
@@ -14,11 +20,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import checkpoint, fresh, map_batches
+from .common import checkpoint, fresh, join_keyed, map_batches
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
+#: The longer print, and how many of its bits may differ. Unrelated texts of one language differ in a quarter of them at least.
+BANDS, BAND_BITS, WHOLE_RADIUS = 5, 48, 48
 _BLOCK = 1 << 16
 
 
@@ -39,6 +47,25 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
+def bands(text: str | None) -> list[int]:
+    """BANDS SimHashes of BAND_BITS bits over the text's different words, ASCII capitals as small letters; zeros if there are none."""
+    words = set((text or "").encode("utf-8", "surrogatepass").lower().split())
+    if not words:
+        return [0] * BANDS
+    digest = xxhash.xxh64_intdigest
+    h = np.array([digest(w, SEED) for w in words], np.uint64)
+    out = []
+    for k in range(BANDS):  # further hashes of a word are mixed from its first
+        g = (h ^ np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+        g = (g ^ (g >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        g ^= g >> np.uint64(29)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(g), _BLOCK):
+            ones += np.unpackbits(g[at : at + _BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones[:BAND_BITS] > len(g), bitorder="little").tobytes(), "little"))
+    return out
+
+
 def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
@@ -55,13 +82,36 @@ def hashed(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), make, "doc_id long, fp long")
 
 
+def _through_least(reps: DataFrame, bits: int) -> DataFrame:
+    """(a, b), different, for rows (value, rep): in each ball of one bit around a value, every rep b and the least one a. A ball has bits + 1 values at most."""
+    flips = F.array(F.lit(0).cast("long"), *(F.lit(signed(1 << k)) for k in range(bits)))
+    variants = reps.select("rep", "value", F.explode(flips).alias("flip")).select("rep", F.col("value").bitwiseXOR(F.col("flip")).alias("variant"))
+    least = variants.select(F.col("rep").alias("b"), F.min("rep").over(Window.partitionBy("variant")).alias("a"))
+    return least.filter("a <> b").select("a", "b").distinct()
+
+
 def links(nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b, linking all of `nodes` (column fp, all different) that are within RADIUS bits, each ball through its least member."""
-    flips = F.array(F.lit(0).cast("long"), *(F.lit(signed(1 << k)) for k in range(64)))
-    variants = nodes.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
-    least = variants.select("fp", F.min("fp").over(Window.partitionBy("variant")).alias("a"))
-    met = least.filter(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b")).distinct()
-    return met.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
+    """(a, b), a < b, linking all of `nodes` (column fp, all different) that are within RADIUS bits, each ball through its least member.
+
+    Two members of a ball of one bit differ in two at most, so what meets needs no further test.
+    """
+    return _through_least(nodes.select(F.col("fp").alias("value"), F.col("fp").alias("rep")), 64)
+
+
+def band_links(nodes: DataFrame) -> DataFrame:
+    """(a, b) for rows (node, bands) with different nodes: nodes that are within RADIUS bits in a band, in stars, verified on the whole print.
+
+    Nodes with one value in a band hang on the least of them, so a value that very many share gathers none of them, and
+    the values meet in balls. A pair that meets by chance, as one of 10**11 unrelated pairs does, is dropped; had it
+    been the centre of a star, its members still meet in other balls and bands.
+    """
+    items = checkpoint(nodes.select("node", F.posexplode("bands").alias("band", "bits")).select("node", F.col("bits").bitwiseOR(F.shiftleft(F.col("band").cast("long"), BAND_BITS)).alias("value")))
+    reps = checkpoint(items.groupBy("value").agg(F.min("node").alias("rep"), F.count("*").alias("n")))
+    equal = join_keyed(items, reps.filter("n > 1"), "value", "n").filter("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    met = checkpoint(equal.union(_through_least(reps, BAND_BITS)).distinct())
+    one, other = (nodes.select(F.col("node").alias(c), F.col("bands").alias(f"{c}_bands")) for c in "ab")
+    apart = F.aggregate(F.zip_with("a_bands", "b_bands", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    return met.join(one, "a").join(other, "b").filter(apart <= WHOLE_RADIUS).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -70,7 +120,8 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn: a node's neighbours are hung on the least of them until nothing
     changes, in a logarithmic number of rounds. Minima are partial aggregates and each round is a checkpoint.
     """
-    edges = checkpoint(edges.select("a", "b"))
+    # columns computed anew carry no constraints over to the copy, over which the optimizer stumbles where they name other columns
+    edges = checkpoint(edges.select(*(F.col(c).bitwiseOR(F.lit(0).cast("long")).alias(c) for c in "ab")))
     mark = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -91,45 +142,59 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for every row: the smallest doc_id that is reachable over links, the row's own included.
 
     Null and empty texts have fingerprint zero and are linked like any other. A row with null doc_id gets its
-    component's smallest id, null if there is none. Rows with equal ids are kept. Extra columns are ignored.
+    component's smallest id, null if there is none. Rows with equal ids are kept. Extra columns are ignored; no rows, none.
     """
-    return _rooted(docs).select("doc_id", "fp", "component_id")
+    own = checkpoint(hashed(docs))
+    nodes = checkpoint(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    classes = _classes(nodes, "fp", links(nodes.select("fp")))
+    return join_keyed(own, classes.select("fp", "component_id", "n"), "fp", "n").select("doc_id", "fp", "component_id")
 
 
-def _rooted(docs: DataFrame) -> DataFrame:
-    """near_duplicates with root, the component's least fingerprint: components that share an id differ in it."""
-    own = checkpoint(hashed(docs))
-    nodes = checkpoint(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = checkpoint(components(links(nodes.select("fp"))))
-    linked = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def _classes(nodes: DataFrame, node: str, edges: DataFrame) -> DataFrame:
+    """nodes (with columns least and n) with the root and the smallest id of each one's component."""
+    roots = checkpoint(components(edges)).withColumnRenamed("node", "_node")
+    linked = nodes.join(roots, nodes[node] == roots["_node"], "left").select(node, "least", "n", F.coalesce("root", node).alias("root"))
     best = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = linked.select("fp", "root").join(best, "root").select("fp", "component_id", "root")
-    return own.join(classes, "fp").select("doc_id", "fp", "component_id", "root")
+    return checkpoint(linked.join(best, "root").select(node, "n", "root", "component_id"))
 
 
-def _with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
+def _with_node(docs: DataFrame, name: str, only: bool = False) -> DataFrame:
+    """docs (or doc_id alone) with the text's bands in a column."""
     at = docs.columns.index("text")
 
     def make():
         def step(batch: pa.RecordBatch):
-            return [*batch.columns, [signed(simhash(t.as_py())) for t in batch.column(at)]]
+            return [*([batch.column(0)] if only else batch.columns), [bands(t.as_py()) for t in batch.column(at)]]
 
         return step
 
-    return map_batches(docs, make, StructType([*docs.schema.fields, StructField(name, LongType())]))
+    kept = docs.schema.fields[:1] if only else docs.schema.fields
+    return map_batches(docs, make, StructType([*kept, StructField(name, ArrayType(LongType()))]))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """A row of the smallest doc_id of each component, with all columns: where that id repeats, the one with the least text of the component's own. Rows without doc_id stay."""
-    found = checkpoint(_rooted(docs).filter("doc_id is not null"))
-    name, nth, fp, root, other = fresh(docs, "_kept_id", "_nth", "_fp", "_root", "_other_fp")
-    least = found.filter("doc_id = component_id")
-    keep = least.select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(keep.hint("shuffle_hash"), docs["doc_id"] == F.col(name))
-    if found.groupBy("doc_id").count().filter("count > 1").take(1):
-        # an id can be the smallest of several components, and some of its rows can belong to yet others
-        own = least.select(F.col("doc_id").alias(name), F.col("fp").alias(other), F.col("root").alias(root)).distinct()
-        kept = _with_fingerprint(kept, fp).join(own.hint("shuffle_hash"), [name]).filter(F.col(fp) == F.col(other))
-        kept = kept.withColumn(nth, F.row_number().over(Window.partitionBy(name, root).orderBy("text"))).filter(F.col(nth) == 1)
+    """One row of each group of near-duplicates, the one of the smallest doc_id, with all columns.
+
+    Groups are components over band_links; texts with the same words are one node, and so are texts without any. Where
+    the smallest id repeats, the row with the least text of the group's own stays. Rows without doc_id stay. No rows, none.
+    """
+    printed = checkpoint(_with_node(docs.select("doc_id", "text"), "bands", only=True)).filter("doc_id is not null").withColumn("node", F.xxhash64("bands"))
+    nodes = checkpoint(printed.groupBy("node").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    classes = _classes(nodes, "node", band_links(nodes.select("node", "bands")))
+    name, kept_node, root, own, salt, nth = fresh(docs, "_kept_id", "_kept_node", "_root", "_own", "_salt", "_nth")
+    # a component's smallest id is the least of one of its nodes; an id that repeats can be the least of several
+    least = nodes.select("node", "least").join(classes.filter("component_id is not null"), "node").filter("least = component_id")
+    keep = least.select(F.col("least").alias(name), F.col("node").alias(kept_node), F.col("root").alias(root))
+    repeated = bool(printed.groupBy("doc_id").count().filter("count > 1").take(1))
+    ids = keep.select(name).distinct().withColumn(salt, F.lit(0))
+    # rows without an id match nothing and are spread, so one pass over docs serves both
+    spread = docs.withColumn(own, F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(1024)).cast("int")).otherwise(0))
+    met = spread.join(ids.hint("shuffle_hash"), (spread["doc_id"] == ids[name]) & (spread[own] == ids[salt]), "left").filter(F.col(name).isNotNull() | F.col("doc_id").isNull())
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    return kept.select(*columns).unionByName(docs.filter("doc_id is null"))
+    if not repeated:
+        return met.select(*columns)
+    met = checkpoint(met.select(*columns))
+    again = _with_node(met.filter("doc_id is not null"), own).withColumn(own, F.xxhash64(own))
+    again = again.join(keep, (again["doc_id"] == keep[name]) & (again[own] == keep[kept_node]))
+    again = again.withColumn(nth, F.row_number().over(Window.partitionBy(name, root).orderBy("text"))).filter(F.col(nth) == 1)
+    return again.select(*columns).unionByName(met.filter("doc_id is null"))

@@ -122,6 +122,10 @@ def test_mixing(odd, small):
         want = brute_targets(sizes)
         got = mixing.mix_report(df).collect()
         assert Counter((r.doc_id, r.size) for r in got) == Counter((d, len(W.findall(t or ""))) for d, t, *_ in rows)
+        for r in got:  # the draw at the fraction, from the hash of the id, and a correction of one copy at most
+            rate = r.target / r.source_size if r.source_size else 0
+            u = int(hashlib.md5(f"mix-1:{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:15], 16) / 2**60
+            assert r.drawn == int(rate) + (u < rate - int(rate)) and r.taken == r.size * (r.drawn + r.corrected) and abs(r.corrected) <= 1
         by_size = {v: k for k, v in sizes.items()}
         taken, goal = Counter(), {}
         for r in got:
@@ -216,6 +220,20 @@ def test_similar_pairs(spark, small):
     sets = [(t, fingerprints.decode(t)) for t in texts]
     want = {(a, b): x for (a, p), (b, q) in itertools.combinations(sets, 2) if (x := fingerprints.jaccard(p, q)) >= 0.5}
     assert got == want and want
+    links = Counter(x for pair in want for x in pair)
+    copies = Counter(r[0] for r in prints.collect())
+    assert {r.fingerprint: (r.n_docs, r.n_links) for r in fingerprints.class_links(prints, 0.5).collect()} == {f: (n, links[f]) for f, n in copies.items()}
+    assert fingerprints.similar_pairs(prints.limit(0)).count() == 0
+
+
+def test_similar_pairs_at_the_threshold(spark):
+    """Sets that just reach a threshold which is no binary fraction."""
+    for t, small_set, large_set in ((0.55, 55, 100), (0.8, 80, 100), (0.7, 7, 10), (0.29, 29, 100), (0.9, 9, 10)):
+        sets = [frozenset(range(small_set)), frozenset(range(large_set)), frozenset(range(1, small_set))]
+        df = spark.createDataFrame([(fingerprints.encode(x),) for x in sets] + [("",), (None,)], "fingerprint string")
+        got = {frozenset(r[:2]) for r in fingerprints.similar_pairs(df, t).collect()}
+        want = {frozenset((fingerprints.encode(a), fingerprints.encode(b))) for a, b in itertools.combinations(sets, 2) if len(a & b) * 100 >= round(t * 100) * len(a | b)}
+        assert got == want and frozenset(map(fingerprints.encode, sets[:2])) in got
 
 
 def test_chat(spark):
@@ -245,6 +263,27 @@ def test_chat_layouts(spark):
     assert [tuple(r) for r in got] == [(k, *t) for k in (0, 1, 5) for t in one]
 
 
+def test_chat_fingerprints_select(spark):
+    """Tables and records of one layout have one hash, by which alone the mapping is found; several layouts at once are none."""
+    by_turn = spark.createDataFrame([(1, 2, "user", "b", "x"), (1, 1, "user", "a", "x")], "conv_id int, turn int, role string, text string, other string")
+    assert chat.MAPPINGS[chat.fingerprint(["turn", "role", "text"])] is None
+    assert [r.text for r in chat.turn_rows(by_turn).orderBy("nth").collect()] == ["a", "b"]
+    both = spark.createDataFrame([(1, "q", "a", "b")], "id int, prompt string, response string, completion string")
+    with pytest.raises(ValueError):
+        chat.turn_rows(both, "id")
+    assert len(chat.turn_rows(both.drop("completion"), "id").collect()) == 2
+    js = ['{"prompt":"q","response":null,"id":3}', '{"messages":[{"role":"user","content":"q","name":"n"}],"prompt":"p"}', '{"messages":[{"role":"user","content":"q"}]}', '{"messages":[]}', '{"x":1}', "[1]", None, ""]
+    df = spark.createDataFrame(list(enumerate(js)), "id int, j string")
+    got = [tuple(r) for r in chat.mixed_json_turns(df, "j", "id").orderBy("id", "nth").collect()]
+    assert got == [(0, 0, "user", "q"), (0, 1, "assistant", ""), (2, 0, "user", "q")]
+    counts = {tuple(r.paths) if r.layout else None: (r.known, r.n) for r in chat.layout_counts(df, "j").collect()}
+    messages = ("messages[].content", "messages[].role")
+    assert counts == {("prompt", "response"): (True, 1), (*messages, "prompt"): (False, 1), messages: (True, 2), (): (False, 1), None: (False, 3)}
+    for paths, _ in chat.LAYOUTS[1:]:
+        record = "{" + ",".join(f'"{p}":"v"' if "[" not in p else f'"{p.split("[")[0]}":[{{' + ",".join(f'"{q.split(".")[1]}":"v"' for q in paths) + "}]" for p in ({p.split("[")[0]: p for p in paths}.values())) + "}"
+        assert spark.createDataFrame([(record,)], "j string").select(chat.record_fingerprint(queries.F.col("j"))).first()[0] == chat.fingerprint(list(paths))
+
+
 def test_chat_query_has_the_probe(spark):
     rows = {r.conv_id: r for r in queries.op5_chat(spark, SF).collect()}
     want = f"user\n{queries.PROBE}\nassistant\n{queries.PROBE}\n"
@@ -355,10 +394,76 @@ def test_simhash(odd, small):
                 least[find(p)] = min(least.get(find(p), r.doc_id), r.doc_id)
         want = Counter((r.doc_id, simhash.signed(p), least.get(find(p))) for r, p in zip(rows, prints))
         assert Counter(map(tuple, simhash.near_duplicates(df).collect())) == want
+    assert simhash.near_duplicates(odd.limit(0)).count() == 0
+
+
+def brute_groups(rows):
+    """Groups of one_of_each by comparing all pairs of prints, which are made here bit by bit."""
+
+    def print_of(text):
+        words = {re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in W.findall(text or "")}
+        hashes, m = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words], (1 << 64) - 1
+        out = []
+        for band in range(5):
+            mixed = []
+            for h in hashes:
+                g = (h ^ band) * 0x9E3779B97F4A7C15 & m
+                g = (g ^ g >> 32) * 0x94D049BB133111EB & m
+                mixed.append(g ^ g >> 29)
+            out.append(sum(1 << k for k in range(48) if 2 * sum(g >> k & 1 for g in mixed) > len(mixed)))
+        return tuple(out)
+
+    prints = [print_of(text) for text in rows]
+    root = {p: p for p in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(root, 2):
+        apart = [(x ^ y).bit_count() for x, y in zip(a, b)]
+        if min(apart) <= 2 and sum(apart) <= 48:
+            root[find(a)] = find(b)
+    return [find(p) for p in prints]
+
+
+def test_one_of_each(odd, small):
+    for df, rows in zip((odd, small), both(odd, small)):
+        groups = brute_groups([r.text for r in rows])
+        least = {}
+        for r, g in zip(rows, groups):
+            if r.doc_id is not None:
+                least[g] = min(least.get(g, r.doc_id), r.doc_id)
         kept = simhash.one_of_each(df)
         assert kept.columns == df.columns
-        assert Counter(r.doc_id for r in kept.collect()) == Counter([*set(least.values()), *(None for r in rows if r.doc_id is None)])
-    assert simhash.near_duplicates(odd.limit(0)).count() == 0
+        assert Counter(r.doc_id for r in kept.collect()) == Counter([*least.values(), *(None for r in rows if r.doc_id is None)])
+    assert simhash.one_of_each(odd.limit(0)).count() == 0
+
+
+def test_one_of_each_recall(spark):
+    """Copies with words changed so that their 5-word shingles are alike to 0.8 or more: nine of ten go, and no other document."""
+    import random
+
+    rng = random.Random(3)
+
+    def shingles(words):
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) > 600").dropDuplicates(["text"])
+    kept = {r.doc_id: r.text for r in simhash.one_of_each(docs).collect()}
+    copies = []
+    for doc_id, text in kept.items():
+        words = text.split()
+        for _ in range(max(1, len(words) // 60)):
+            words[rng.randrange(len(words))] = rng.choice(("entirely", "other", "words", "than", "before"))
+        a, b = shingles(text.split()), shingles(words)
+        if len(a & b) >= 0.8 * len(a | b):
+            copies.append((doc_id + 1_000_000, " ".join(words), doc_id))
+    both_ = spark.createDataFrame([(d, t) for d, t in kept.items()] + [c[:2] for c in copies], "doc_id long, text string")
+    got = {r.doc_id for r in simhash.one_of_each(both_).collect()}
+    assert len(copies) > 100 and len(set(kept) - got) <= 0.01 * len(kept)  # a copy can stand between two documents that are alike to less than 0.8
+    assert sum(d not in got for d, *_ in copies) >= 0.9 * len(copies)
 
 
 def test_links_and_components(spark):
@@ -423,7 +528,10 @@ def test_pipeline(spark, small):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "personal_data", "source_mix", "sequences"]
     docs = small
     good = [r for r in docs.collect() if quality.first_rejection(quality.Figures(r.text), quality.RULES) is None]
-    kept = {r.component_id for r in simhash.near_duplicates(spark.createDataFrame(good, docs.schema)).collect()}
+    groups, least = brute_groups([r.text for r in good]), {}
+    for r, g in zip(good, groups):
+        least[g] = min(least.get(g, r.doc_id), r.doc_id)
+    kept = set(least.values())
     clean = [(r.doc_id, pii.redacted(r.text), r.lang, r.source, 0) for r in good if r.doc_id in kept]
     taken = {r.doc_id: r.taken // r.size for r in mixing.mix_report(spark.createDataFrame(clean, docs.schema)).collect() if r.size}
     got = corpus_pipeline.run(spark, SF).collect()
