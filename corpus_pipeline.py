@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm import mixing, packing, pii, quality, simhash
+from scriptorium.llm.common import checkpoint
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +48,17 @@ STAGES = [
 ORACLE_SQL = None
 
 
+#: Stages whose successor reads their rows more than once: they are written to the shared folder, not computed again.
+KEPT = ("quality_rules", "near_dedup", "personal_data")
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over all documents, one after the other: a row for each piece of a document, with its place in a sequence.
+
+    Null and blank texts go in the first stage, rows without doc_id stay where a stage needs ids; no documents, no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        docs = checkpoint(docs) if name in KEPT else docs
     return docs
