@@ -153,9 +153,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _classes(nodes: DataFrame, node: str, edges: DataFrame) -> DataFrame:
     """nodes (with columns least and n) with the root and the smallest id of each one's component."""
     roots = checkpoint(components(edges)).withColumnRenamed("node", "_node")
-    linked = nodes.join(roots, nodes[node] == roots["_node"], "left").select(node, "least", "n", F.coalesce("root", node).alias("root"))
-    best = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return checkpoint(linked.join(best, "root").select(node, "n", "root", "component_id"))
+    linked = checkpoint(nodes.join(roots, nodes[node] == roots["_node"], "left").select(node, "least", "n", F.coalesce("root", node).alias("root")))
+    best = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    return checkpoint(join_keyed(linked, best, "root", "members").select(node, "n", "root", "component_id"))
 
 
 def _with_node(docs: DataFrame, name: str, only: bool = False) -> DataFrame:
