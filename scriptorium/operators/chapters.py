@@ -10,9 +10,13 @@ from ..plans.session import once
 from .text import strip, word_count
 
 WORDS_A_MINUTE = 200.0
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+CANDIDATES = "array<struct<start: bigint, confidence: double, title: string>>"
+#: Title case: each run of cased letters is a capital and then small ones, and there is one at least.
+TITLE = r"^[^\p{Lu}\p{Lt}\p{Ll}]*[\p{Lu}\p{Lt}]\p{Ll}*([^\p{Lu}\p{Lt}\p{Ll}]+[\p{Lu}\p{Lt}]\p{Ll}*)*[^\p{Lu}\p{Lt}\p{Ll}]*$"
 
 
-def _measured(df: DataFrame, confidence: float | None = None) -> DataFrame:
+def measured(df: DataFrame, confidence: float | None = None) -> DataFrame:
     df = once(df.drop("word_count"), "word_count", word_count(F.col("content")))
     df = df.withColumn("estimated_duration", F.round(F.col("word_count") / WORDS_A_MINUTE, 6))
     return df if confidence is None else df.withColumn("confidence", F.lit(confidence))
@@ -31,7 +35,7 @@ def by_pattern(df: DataFrame, pattern, text: str, key: str, group: int = 1, fall
     pairs = F.arrays_zip(F.col("_titles").alias("t"), F.expr("slice(_parts, 2, size(_titles))").alias("c"))
     whole = F.array(F.struct(F.lit(fallback).alias("t"), F.col("_t").alias("c"))) if fallback else F.array().cast("array<struct<t: string, c: string>>")
     spans = found.select(key, F.posexplode(F.when(F.size("_titles") > 0, F.transform(pairs, lambda p: F.struct(strip(p["t"]).alias("t"), strip(p["c"]).alias("c")))).otherwise(whole)).alias("k", "p"))
-    return _measured(spans.select(key, (F.col("k") + 1).cast("long").alias("chapter_num"), F.col("p.t").alias("title"), F.col("p.c").alias("content")).filter("content <> ''"))
+    return measured(spans.select(key, (F.col("k") + 1).cast("long").alias("chapter_num"), F.col("p.t").alias("title"), F.col("p.c").alias("content")).filter("content <> ''"))
 
 
 def by_marker(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -47,6 +51,23 @@ def heading_pattern(text):
     return chosen
 
 
+def segment(df: DataFrame, text: str, key: str) -> DataFrame:
+    """Legacy segmentation with confidence: markers (1.0), else the first heading pattern that occurs (0.8), else the whole text as "Full Text" (1.0).
+
+    Bodies that are blank are dropped and keep their number; where all are, the whole text counts.
+    """
+    marked = F.regexp_count(F.col(text), F.lit(R.MARKER)) > 0
+    chosen = df.withColumn("_m", marked).withColumn("_p", F.when(F.col("_m"), R.MARKER).otherwise(F.coalesce(heading_pattern(F.col(text)), F.lit(r"(?!)"))))
+    chosen = once(chosen, "_t", F.col(text))
+    titles = F.when(F.col("_m"), F.regexp_extract_all("_t", F.lit(R.MARKER), F.lit(1))).otherwise(F.regexp_extract_all("_t", F.col("_p"), F.lit(0)))
+    found = once(chosen, "_f", F.struct(titles.alias("titles"), F.split("_t", F.col("_p"), -1).alias("parts")))
+    pairs = F.arrays_zip(F.col("_f.titles").alias("t"), F.expr("slice(_f.parts, 2, size(_f.titles))").alias("c"))
+    numbered = F.transform(pairs, lambda p, i: F.struct((i + 1).cast("long").alias("n"), strip(p["t"]).alias("t"), strip(p["c"]).alias("c"), F.when(F.col("_m"), 1.0).otherwise(0.8).alias("q")))
+    kept = once(found.select(key, "_m", "_t", F.filter(numbered, lambda x: x["c"] != "").alias("_n")), "_s", F.when(F.size("_n") > 0, F.col("_n")).otherwise(F.array(F.struct(F.lit(1).cast("long").alias("n"), F.lit("Full Text").alias("t"), F.col("_t").alias("c"), F.lit(1.0).alias("q")))))
+    rows = kept.select(key, F.explode("_s").alias("s")).select(key, F.col("s.n").alias("chapter_num"), F.col("s.t").alias("title"), F.col("s.c").alias("content"), F.col("s.q").alias("confidence"))
+    return measured(rows)
+
+
 def by_headings(df: DataFrame, text: str, key: str) -> DataFrame:
     """Segmentation by the first heading pattern that occurs; the whole match is the title. One plan, the pattern a column."""
     with_pattern = df.withColumn("_p", F.coalesce(heading_pattern(F.col(text)), F.lit(r"(?!)")))
@@ -56,16 +77,23 @@ def by_headings(df: DataFrame, text: str, key: str) -> DataFrame:
 def by_toc(df: DataFrame, toc: DataFrame, text: str, key: str) -> DataFrame:
     """Chapters of the titles in toc (key, pos, title): from a title's first occurrence to the next title's first after it; no match starts at 0.
 
-    Matching ignores ASCII case; entries whose body is blank are dropped and keep their position.
+    Matching ignores ASCII case. An entry with a value in a column content brings its own text. Entries whose body is
+    blank are dropped and keep their position.
     """
+
+    def low(c: str):
+        return F.translate(F.col(c), UPPER, LOWER)  # one character for one, so positions hold
+
     order = Window.partitionBy(key).orderBy("pos")
     entries = toc.withColumn("_next", F.lead("title").over(order))
-    both = entries.join(df.select(key, F.col(text).alias("_t")), key).withColumn("_low", F.lower("_t"))
-    start = F.when(F.instr(F.col("_low"), F.lower("title")) > 0, F.instr(F.col("_low"), F.lower("title")) - 1 + F.length("title")).otherwise(0)
+    both = entries.join(df.select(key, F.col(text).alias("_t")), key).withColumn("_low", low("_t"))
+    start = F.when(F.instr(F.col("_low"), low("title")) > 0, F.instr(F.col("_low"), low("title")) - 1 + F.length("title")).otherwise(0)
     both = both.withColumn("_rest", F.substr("_t", start + 1))
-    end = F.when(F.col("_next").isNotNull(), F.instr(F.lower("_rest"), F.lower("_next"))).otherwise(0)
+    end = F.when(F.col("_next").isNotNull(), F.instr(low("_rest"), low("_next"))).otherwise(0)
     body = F.when(end > 0, F.substr("_rest", F.lit(1), end - 1)).otherwise(F.col("_rest"))
-    return _measured(both.select(key, F.col("pos").cast("long").alias("chapter_num"), "title", strip(body).alias("content")).filter("content <> ''"), 1.0)
+    if "content" in toc.columns:
+        body = F.coalesce("content", body)
+    return measured(both.select(key, F.col("pos").cast("long").alias("chapter_num"), "title", strip(body).alias("content")).filter("content <> ''"), 1.0)
 
 
 def keep_long(df: DataFrame, min_words: int = 100) -> DataFrame:
@@ -81,7 +109,7 @@ def split_long(df: DataFrame, max_words: int = 5000) -> DataFrame:
     parts = parts.select("*", F.posexplode("_p").alias("_k", "_c"))
     title = F.when(F.size("_p") > 1, F.concat("title", F.lit(" - Part "), (F.col("_k") + 1).cast("string"))).otherwise(F.col("title"))
     out = parts.withColumn("title", title).withColumn("content", F.col("_c")).withColumn("part", (F.col("_k") + 1).cast("long")).drop("_w", "_p", "_k", "_c")
-    return _measured(out)
+    return measured(out)
 
 
 def renumber(df: DataFrame, key: str) -> DataFrame:
@@ -89,30 +117,41 @@ def renumber(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("chapter_num", F.row_number().over(order).cast("long"))
 
 
+#: Fixed value: the head of a table of contents.
+HEADER = "Table of Contents\n=================\n\n"
+
+
 def contents_table(df: DataFrame, key: str) -> DataFrame:
-    """(key, toc): three lines for each chapter, in order."""
-    line = F.format_string("Chapter %d: %s\n  Words: %d\n  Estimated duration: %.1f minutes", "chapter_num", "title", "word_count", "estimated_duration")
+    """(key, toc): three lines for each chapter, in order, under HEADER; a fixed format."""
+    line = F.format_string("Chapter %d: %s\n  Words: %d\n  Estimated duration: %.1f minutes\n\n", "chapter_num", "title", "word_count", "estimated_duration")
     rows = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("chapter_num", line.alias("l")))).alias("l"))
-    return rows.select(key, F.array_join(F.col("l.l"), "\n").alias("toc"))
+    return rows.select(key, F.concat(F.lit(HEADER), F.array_join(F.col("l.l"), "")).alias("toc"))
+
+
+def is_title(text):
+    return text.rlike("(?s)" + TITLE)
+
+
+def is_upper(text):
+    """Capitals and no other cased letter."""
+    return text.rlike(r"\p{Lu}") & ~text.rlike(r"[\p{Ll}\p{Lt}]")
 
 
 def heading_confidence(title):
     """0.5, more for chapter words, digits, few words and title case; at most 1."""
     low = F.lower(title)
     score = F.lit(0.5) + F.when(low.contains("chapter"), 0.3).otherwise(0.0) + F.when(low.contains("part") | low.contains("section"), 0.2).otherwise(0.0)
-    score = score + F.when(title.rlike("[0-9]"), 0.1).otherwise(0.0) + F.when(word_count(title) <= 5, 0.1).otherwise(0.0)
-    score = score + F.when(title.rlike(r"^[^a-zA-Z]*[A-Z][a-z]*([^a-zA-Z]+[A-Z][a-z]*)*[^a-zA-Z]*$"), 0.1).otherwise(0.0)
+    score = score + F.when(title.rlike(r"\p{Nd}"), 0.1).otherwise(0.0) + F.when(word_count(title) <= 5, 0.1).otherwise(0.0)
+    score = score + F.when(is_title(title), 0.1).otherwise(0.0)
     return F.round(F.least(F.lit(1.0), score), 6)
 
 
 def nms(candidates, near: int = 100, least: float = 0.6):
     """Greedy filter of an array of (start, confidence, title) in order of start: of two closer than `near`, the more confident stays."""
-    kind = "array<struct<start: bigint, confidence: double, title: string>>"
-
     def step(kept, c):
         close = F.filter(kept, lambda k: F.abs(c["start"] - k["start"]) < near)
         first = F.get(close, F.lit(0))
         replaced = F.concat(F.filter(kept, lambda k: k != first), F.array(c))
         return F.when(c["confidence"] < least, kept).when(F.size(close) == 0, F.concat(kept, F.array(c))).when(c["confidence"] > first["confidence"], replaced).otherwise(kept)
 
-    return F.aggregate(candidates, F.array().cast(kind), step)
+    return F.aggregate(candidates, F.array().cast(CANDIDATES), step)

@@ -63,14 +63,3 @@ def simple_chunks(text: Column, limit: int = 4000) -> Column:
         return F.when(over, _state(s, held)).otherwise(_state(F.concat(acc["cur"], s, F.lit(". ")), acc["out"]))
 
     return F.aggregate(F.split(text, r"\. ", -1), _empty(), step, lambda a: F.when(strip(a["cur"]) != "", F.concat(a["out"], F.array(strip(a["cur"])))).otherwise(a["out"]))
-
-
-def recursive_chunks(text: Column, limit: int = 4000) -> Column:
-    """Paragraphs, packed greedily up to `limit`; own definition of the splitter that the reference takes from a library."""
-    pieces = F.flatten(F.transform(F.split(text, r"\n\n", -1), lambda p: sentence_chunks(p, limit, False)))
-
-    def step(acc, s):
-        over = F.length(acc["cur"]) + F.length(s) + 2 > limit
-        return F.when(acc["cur"] == "", _state(s, acc["out"])).when(over, _state(s, F.concat(acc["out"], F.array(acc["cur"])))).otherwise(_state(F.concat(acc["cur"], F.lit("\n\n"), s), acc["out"]))
-
-    return F.aggregate(pieces, _empty(), step, lambda a: F.when(a["cur"] != "", F.concat(a["out"], F.array(a["cur"]))).otherwise(a["out"]))

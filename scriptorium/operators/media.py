@@ -19,26 +19,52 @@ def cache_misses(images: DataFrame, cache: DataFrame, key: str = "cache_key") ->
     return images.join(cache, key, "left_anti")
 
 
-def integrate(texts: DataFrame, descriptions: DataFrame, key: str, text: str = "text", least: float = 0.5) -> DataFrame:
-    """Puts descriptions (image_name, description, confidence, seq) in place of their placeholders.
+#: The spellings of a placeholder, in whole texts and in chapters.
+SPELLINGS = ("[IMAGE: Image of %s]", "[IMAGE: %s]", "![%s]", "![Image of %s]")
+CHAPTER_SPELLINGS = SPELLINGS[:2]
+_NAMES = r"!?\[(?:IMAGE: )?(?:Image of )?([^\[\]]+)\]"
+#: Bytes of names and descriptions up to which they go to every task as one map.
+MAP_BYTES = 4_000_000
 
-    Placeholders are found in the text and joined by name; of equal names the last (highest seq) counts. Replacement
-    is a fold over the few placeholders of a text. Texts without any keep theirs.
+
+def best_descriptions(descriptions: DataFrame, least: float = 0.5) -> DataFrame:
+    """image_name, description: of equal names the last (highest seq) above the confidence counts."""
+    return descriptions.filter(F.col("confidence") > least).groupBy("image_name").agg(F.max_by("description", "seq").alias("description"))
+
+
+def integrate(texts: DataFrame, descriptions: DataFrame, key: str, text: str = "text", least: float = 0.5, spellings: tuple[str, ...] = SPELLINGS) -> DataFrame:
+    """Puts descriptions (image_name, description, confidence, seq) in place of their placeholders, in any of the spellings.
+
+    A text's bracketed names are looked up in a map of all descriptions while that is small, so texts are read once
+    and stay where they are; beyond that names and descriptions meet by a join, for which key must tell texts
+    apart. Replacement is a fold over the few names of a text. Texts without any keep theirs.
     """
-    best = descriptions.filter(F.col("confidence") > least).groupBy("image_name").agg(F.max_by("description", "seq").alias("description"))
-    names = F.regexp_extract_all(F.col(text), F.lit(r"\[IMAGE: (?:Image of )?([^\]]+)\]"), F.lit(1))
-    found = texts.select(key, F.explode(F.array_distinct(names)).alias("image_name"))
-    pairs = found.join(best, "image_name").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("image_name", "description"))).alias("_pairs"))
-    joined = texts.join(pairs, key, "left")
+    best = best_descriptions(descriptions, least)
+    names = F.array_sort(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(_NAMES), F.lit(1))))
 
     def put(t: Column, p: Column) -> Column:
         new = F.concat(F.lit("[IMAGE DESCRIPTION: "), p["description"], F.lit("]"))
-        for shape in ("[IMAGE: Image of %s]", "[IMAGE: %s]", "![%s]", "![Image of %s]"):
+        for shape in spellings:
             a, b = shape.split("%s")
             t = F.replace(t, F.concat(F.lit(a), p["image_name"], F.lit(b)), new)
         return t
 
-    return joined.withColumn(text, F.when(F.col("_pairs").isNull(), F.col(text)).otherwise(F.aggregate("_pairs", F.col(text), put))).drop("_pairs")
+    size = best.agg(F.sum(F.octet_length("image_name") + F.octet_length("description"))).first()[0] or 0
+    if size <= MAP_BYTES:
+        known = best.agg(F.map_from_entries(F.collect_list(F.struct("image_name", "description"))).alias("_known"))  # one row
+        looked = texts.join(F.broadcast(known))
+        found = F.filter(F.transform(names, lambda n: F.struct(n.alias("image_name"), F.try_element_at("_known", n).alias("description"))), lambda p: p["description"].isNotNull())
+        return looked.withColumn(text, F.aggregate(found, F.col(text), put)).drop("_known")
+    found = texts.select(key, F.explode(names).alias("image_name"))
+    pairs = found.join(best, "image_name").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("image_name", "description"))).alias("_pairs"))
+    return texts.join(pairs, key, "left").withColumn(text, F.when(F.col("_pairs").isNull(), F.col(text)).otherwise(F.aggregate("_pairs", F.col(text), put))).drop("_pairs")
+
+
+def integrate_chapters(chapters: DataFrame, descriptions: DataFrame, key: str, least: float = 0.5) -> DataFrame:
+    """Chapters with descriptions in place of the two spellings that chapters have; words and duration follow."""
+    from .chapters import measured
+
+    return measured(integrate(chapters, descriptions, key, "content", least, CHAPTER_SPELLINGS).drop("estimated_duration"))
 
 
 def clean_description(text: Column, limit: int) -> Column:

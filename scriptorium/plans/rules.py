@@ -47,11 +47,11 @@ def quoted(text: str) -> str:
     return " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in text.split("\n")).join("()" if "\n" in text else ("", ""))
 
 
-# Cleaning rules and pauses, in the order in which they apply.
+# Cleaning rules, headings and lowerings, in the order in which they apply. \p{Nd} are the decimal digits of all scripts.
 REMOVE = (
-    Rule(r"\[?[0-9]+\]"),
-    Rule(r"^Page [0-9]+.*$", multiline=True),
-    Rule(r"^[<S>]*Chapter [0-9]+[<S>]*$", multiline=True),
+    Rule(r"\[?\p{Nd}+\]"),
+    Rule(r"^Page \p{Nd}+.*$", multiline=True),
+    Rule(r"^[<S>]*Chapter \p{Nd}+[<S>]*$", multiline=True),
     Rule(r"<[^>]+>"),
     Rule(r"[<S>]{3,}", "  "),
 )
@@ -91,17 +91,17 @@ PAUSES = (
 CLEAN = REMOVE + TRANSFORM + CHARACTERS + SPACING + PAUSES
 MARKER = r"\[CHAPTER_START: ([^\]]+)\]"
 HEADINGS = (
-    r"^Chapter[<S>]+[0-9]+", r"^Chapter[<S>]+[IVX]+", r"^CHAPTER[<S>]+[0-9]+", r"^#{1,3}[<S>]+Chapter", r"^#{1,3}[<S>]+[0-9]+[\.<S>]+",
-    r"^[0-9]+\.[<S>]*[A-Z]", r"^#{1,3}[<S>]+[A-Z][^#\n]*$", r"^[A-Z][A-Z<S>]{3,}$", r"^Part[<S>]+[IVX0-9]+", r"^Section[<S>]+[IVX0-9]+",
+    r"^Chapter[<S>]+\p{Nd}+", r"^Chapter[<S>]+[IVX]+", r"^CHAPTER[<S>]+\p{Nd}+", r"^#{1,3}[<S>]+Chapter", r"^#{1,3}[<S>]+\p{Nd}+[\.<S>]+",
+    r"^\p{Nd}+\.[<S>]*[A-Z]", r"^#{1,3}[<S>]+[A-Z][^#\n]*$", r"^[A-Z][A-Z<S>]{3,}$", r"^Part[<S>]+[IVX\p{Nd}]+", r"^Section[<S>]+[IVX\p{Nd}]+",
 )
 MODERN = (
     Rule(r"https?://[^<S>]+", "URL"),
     Rule(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "email address"),
     Rule(r"\+[0-9][0-9 ()-]{7,}[0-9]", "phone number"),
-    Rule(r"\$([0-9]+)", "\\1 dollars"),
-    Rule(r"€([0-9]+)", "\\1 euros"),
-    Rule(r"£([0-9]+)", "\\1 pounds"),
-    Rule(r"([0-9]+)%", "\\1 percent"),
+    Rule(r"\$(\p{Nd}+)", "\\1 dollars"),
+    Rule(r"€(\p{Nd}+)", "\\1 euros"),
+    Rule(r"£(\p{Nd}+)", "\\1 pounds"),
+    Rule(r"(\p{Nd}+)%", "\\1 percent"),
     Rule(r"[<Z>]&[<Z>]", " and "),
     Rule("—", " -- ", literal=True),
     Rule("–", " - ", literal=True),

@@ -3,18 +3,33 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import weakref
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_SHIPPED: weakref.WeakSet = weakref.WeakSet()
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def reachable(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package from where the driver has it, if it isn't installed."""
-    env = spark.sparkContext.environment
+    """Lets Python workers import this package if it isn't installed: from where the driver has it, and on a cluster from a copy that Spark ships to every executor, once."""
+    sc = spark.sparkContext
+    env = sc.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH")]))
+    if not sc.master.startswith("local") and sc not in _SHIPPED:
+        _SHIPPED.add(sc)
+        archive = os.path.join(tempfile.mkdtemp(prefix="package-"), "scriptorium.zip")  # on the driver, which serves it
+        with zipfile.ZipFile(archive, "w") as z:
+            for folder, _, names in os.walk(os.path.join(ROOT, "scriptorium")):
+                for name in names:
+                    if name.endswith(".py"):
+                        path = os.path.join(folder, name)
+                        z.write(path, os.path.relpath(path, ROOT))
+        sc.addPyFile(archive)
     return spark
 
 

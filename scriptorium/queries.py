@@ -10,8 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import splitters
 from .operators import chapters as C
-from .operators import chunking, media, progress
+from .operators import chunking, media, modern, progress
 from .operators import text as T
 from .plans import rules as R
 from .plans.session import once
@@ -178,11 +179,22 @@ def segment_by_pattern(spark, sf_dir):
     return C.by_headings(books(spark, sf_dir), "raw", "book_id")
 
 
+def _low(expr: str) -> str:
+    return f"translate({expr}, '{C.UPPER}', '{C.LOWER}')"
+
+
 _TOC = "SELECT CAST(doc_id // 5 AS BIGINT) AS book_id, doc_id % 5 + 1 AS pos, 'Chapter ' || CAST(doc_id % 5 + 1 AS VARCHAR) || ': Part, ' || CAST(doc_id AS VARCHAR) AS title FROM documents"
-_TOC_SQL = f"""WITH e AS (SELECT *, lead(title) OVER (PARTITION BY book_id ORDER BY pos) AS nx FROM ({_TOC})),
- b AS (SELECT e.*, raw, CASE WHEN strpos(lower(raw), lower(title)) > 0 THEN strpos(lower(raw), lower(title)) - 1 + length(title) ELSE 0 END AS st FROM e JOIN ({BOOKS}) USING (book_id)),
+def _toc_sql(toc: str, src: str) -> str:
+    """Chapters of src (book_id, raw) by the titles in toc (book_id, pos, title)."""
+    at, after = f"strpos({_low('raw')}, {_low('title')})", f"strpos({_low('rest')}, {_low('nx')})"
+    body = duck_strip(f"CASE WHEN nx IS NOT NULL AND {after} > 0 THEN substr(rest, 1, CAST({after} - 1 AS BIGINT)) ELSE rest END")
+    return f"""WITH e AS (SELECT *, lead(title) OVER (PARTITION BY book_id ORDER BY pos) AS nx FROM ({toc})),
+ b AS (SELECT e.*, raw, CASE WHEN {at} > 0 THEN {at} - 1 + length(title) ELSE 0 END AS st FROM e JOIN ({src}) USING (book_id)),
  r AS (SELECT *, substr(raw, CAST(st + 1 AS BIGINT)) AS rest FROM b)
- SELECT *, CAST(1 AS DOUBLE) AS confidence FROM ({_measured_sql(f"SELECT book_id, CAST(pos AS BIGINT) AS chapter_num, title, {duck_strip('CASE WHEN nx IS NOT NULL AND strpos(lower(rest), lower(nx)) > 0 THEN substr(rest, 1, CAST(strpos(lower(rest), lower(nx)) - 1 AS BIGINT)) ELSE rest END')} AS content FROM r")})"""
+ SELECT *, CAST(1 AS DOUBLE) AS confidence FROM ({_measured_sql(f"SELECT book_id, CAST(pos AS BIGINT) AS chapter_num, title, {body} AS content FROM r")})"""
+
+
+_TOC_SQL = _toc_sql(_TOC, BOOKS)
 
 
 @query(_TOC_SQL)
@@ -210,7 +222,7 @@ def renumber_chapters(spark, sf_dir):
     return C.renumber(C.keep_long(C.split_long(chapters(spark, sf_dir), 200), 20), "book_id").select("book_id", "chapter_num", "title", "part")
 
 
-@query(f"SELECT book_id, string_agg('Chapter ' || CAST(chapter_num AS VARCHAR) || ': ' || title || {NL} || '  Words: ' || CAST(word_count AS VARCHAR) || {NL} || '  Estimated duration: ' || printf('%.1f', CAST(round(CAST(word_count AS DECIMAL(18,6)) / 200, 1) AS DOUBLE)) || ' minutes', {NL} ORDER BY chapter_num) AS toc FROM ({CHAPTERS}) GROUP BY book_id")
+@query(f"SELECT book_id, {R.quoted(C.HEADER)} || string_agg('Chapter ' || CAST(chapter_num AS VARCHAR) || ': ' || title || {NL} || '  Words: ' || CAST(word_count AS VARCHAR) || {NL} || '  Estimated duration: ' || printf('%.1f', CAST(round(CAST(word_count AS DECIMAL(18,6)) / 200, 1) AS DOUBLE)) || ' minutes' || {NL} || {NL}, '' ORDER BY chapter_num) AS toc FROM ({CHAPTERS}) GROUP BY book_id")
 def chapter_toc(spark, sf_dir):
     rounded = chapters(spark, sf_dir).withColumn("estimated_duration", F.round(F.col("word_count").cast("decimal(18,6)") / 200, 1).cast("double"))
     return C.contents_table(rounded, "book_id")
@@ -232,26 +244,33 @@ def chunk_ids(spark, sf_dir):
 
 
 @query(f"""SELECT doc_id, CAST(round(least(1.0, 0.5 + c + p + g + f), 6) AS DOUBLE) AS confidence FROM (SELECT doc_id,
- CASE WHEN contains(lower(t), 'chapter') THEN 0.3 ELSE 0.0 END AS c, CASE WHEN contains(lower(t), 'part') OR contains(lower(t), 'section') THEN 0.2 ELSE 0.0 END AS p, CASE WHEN regexp_matches(t, '[0-9]') THEN 0.1 ELSE 0.0 END AS g,
- (CASE WHEN {wc('t')} <= 5 THEN 0.1 ELSE 0.0 END) + (CASE WHEN regexp_matches(t, '^[^a-zA-Z]*[A-Z][a-z]*([^a-zA-Z]+[A-Z][a-z]*)*[^a-zA-Z]*$') THEN 0.1 ELSE 0.0 END) AS f FROM (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents))""")
+ CASE WHEN contains(lower(t), 'chapter') THEN 0.3 ELSE 0.0 END AS c, CASE WHEN contains(lower(t), 'part') OR contains(lower(t), 'section') THEN 0.2 ELSE 0.0 END AS p, CASE WHEN regexp_matches(t, '\\p{{Nd}}') THEN 0.1 ELSE 0.0 END AS g,
+ (CASE WHEN {wc('t')} <= 5 THEN 0.1 ELSE 0.0 END) + (CASE WHEN regexp_matches(t, '{C.TITLE}') THEN 0.1 ELSE 0.0 END) AS f FROM (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents))""")
 def heading_confidence(spark, sf_dir):
     first = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1)[0].alias("t"))
     return first.select("doc_id", C.heading_confidence(F.col("t")).alias("confidence"))
 
 
-@query(f"""SELECT doc_id, CAST(strpos(text, t) - 1 AS BIGINT) AS start, t AS title, CAST(0.6 AS DOUBLE) AS confidence FROM (SELECT doc_id, text, {duck_strip('ps[i]')} AS t, ps[i + 1] AS nx FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ps FROM documents))) WHERE t <> '' AND {wc('t')} <= 10 AND {wc('nx')} > 50""")
+@query(f"""SELECT book_id, CAST(strpos(raw, t) - 1 AS BIGINT) AS start, t AS title, CAST(0.6 AS DOUBLE) AS confidence FROM (SELECT book_id, raw, {duck_strip('ps[i]')} AS t, ps[i + 1] AS nx FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT book_id, raw, string_split(raw, chr(10) || chr(10)) AS ps FROM ({BOOKS})))) WHERE t <> '' AND {wc('t')} <= 10 AND {wc('nx')} > 50""")
 def heading_candidates(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", "\n", -1).alias("ps"))
-    rows = lines.select("doc_id", "text", "ps", F.posexplode("ps").alias("k", "p")).select("doc_id", "text", T.strip(F.col("p")).alias("t"), F.get("ps", F.col("k") + 1).alias("nx"))
-    rows = rows.filter((F.col("t") != "") & (T.word_count(F.col("t")) <= 10) & (T.word_count(F.col("nx")) > 50))
-    return rows.select("doc_id", (F.expr("locate(t, text)") - 1).cast("long").alias("start"), F.col("t").alias("title"), F.lit(0.6).alias("confidence"))
+    return modern.structural_candidates(books(spark, sf_dir), "raw", "book_id").drop("method")
+
 
+_EVENT_LISTS = """SELECT user_id, list({'start': CAST(event_id % 997 AS BIGINT), 'confidence': CAST(round(0.5 + (event_id % 6) / 10.0, 1) AS DOUBLE), 'title': CAST(event_id AS VARCHAR)} ORDER BY event_id % 997, round(0.5 + (event_id % 6) / 10.0, 1), CAST(event_id AS VARCHAR)) AS l FROM events GROUP BY user_id"""
 
-@query("""WITH c AS (SELECT user_id, list({'start': CAST(event_id % 997 AS BIGINT), 'confidence': CAST(round(0.5 + (event_id % 6) / 10.0, 1) AS DOUBLE), 'title': CAST(event_id AS VARCHAR)} ORDER BY event_id % 997, round(0.5 + (event_id % 6) / 10.0, 1), CAST(event_id AS VARCHAR)) AS l FROM events WHERE user_id % 4 = 0 GROUP BY user_id)
- SELECT user_id, CAST(len(list_filter(l, lambda x: x.confidence >= 0.6)) AS BIGINT) AS candidates FROM c""")
+
+def nms_sql(listed: str) -> str:
+    """DuckDB expression: what the greedy filter leaves of a list of structs (start, confidence, title)."""
+    none = "CAST([] AS STRUCT(start BIGINT, confidence DOUBLE, title VARCHAR)[])"
+    first = "list_filter(a.k, lambda e: abs(e.start - x.c.start) < 100)[1]"
+    step = f"CASE WHEN x.c.confidence < 0.6 THEN a WHEN {first} IS NULL THEN {{'c': a.c, 'k': list_append(a.k, x.c)}} WHEN x.c.confidence > ({first}).confidence THEN {{'c': a.c, 'k': list_append(list_filter(a.k, lambda e: e <> {first}), x.c)}} ELSE a END"
+    none_c = "CAST(NULL AS STRUCT(start BIGINT, confidence DOUBLE, title VARCHAR))"
+    return f"list_reduce(list_prepend({{'c': {none_c}, 'k': {none}}}, list_transform({listed}, lambda c: {{'c': c, 'k': {none}}})), lambda a, x: {step}).k"
+
+
+@query(f"SELECT user_id, CAST(len(list_filter(l, lambda x: x.confidence >= 0.6)) AS BIGINT) AS candidates FROM ({_EVENT_LISTS})")
 def heading_nms_input(spark, sf_dir):
-    rows = _candidates(spark, sf_dir).filter("user_id % 4 = 0")  # as its SQL
-    return rows.select("user_id", F.size(F.filter("l", lambda x: x["confidence"] >= 0.6)).cast("long").alias("candidates"))
+    return _candidates(spark, sf_dir).select("user_id", F.size(F.filter("l", lambda x: x["confidence"] >= 0.6)).cast("long").alias("candidates"))
 
 
 def _candidates(spark, sf_dir):
@@ -259,9 +278,8 @@ def _candidates(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(c)).alias("l"))
 
 
-@query()
+@query(f"SELECT user_id, k.start AS start, k.confidence AS confidence, k.title AS title FROM (SELECT user_id, unnest({nms_sql('l')}) AS k FROM ({_EVENT_LISTS}))")
 def heading_nms(spark, sf_dir):
-    """A fold with removals; tested against a Python loop."""
     return _candidates(spark, sf_dir).select("user_id", F.explode(C.nms(F.col("l"))).alias("k")).select("user_id", "k.start", "k.confidence", "k.title")
 
 
@@ -318,9 +336,9 @@ def resume_antijoin(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
 
 
-@query("SELECT coalesce(b.k, o.k) AS k, coalesce(o.v, b.v) AS v FROM (SELECT doc_id AS k, lang AS v FROM documents WHERE doc_id % 3 <> 0) b FULL OUTER JOIN (SELECT doc_id AS k, CAST(quality AS VARCHAR) AS v FROM labels) o ON b.k = o.k")
+@query("SELECT coalesce(b.k, o.k) AS k, coalesce(o.v, b.v) AS v FROM (SELECT doc_id AS k, lang AS v FROM documents) b FULL OUTER JOIN (SELECT doc_id AS k, CAST(quality AS VARCHAR) AS v FROM labels) o ON b.k = o.k")
 def config_merge(spark, sf_dir):
-    base = table(spark, sf_dir, "documents").filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("k"), F.col("lang").alias("v"))
+    base = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), F.col("lang").alias("v"))
     over = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("k"), F.col("quality").cast("string").alias("w"))
     return base.join(over, "k", "full").select("k", F.coalesce("w", "v").alias("v"))
 
@@ -380,8 +398,9 @@ def chunk_simple_4000(spark, sf_dir):
 
 @query()
 def chunk_recursive_4000(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.recursive_chunks(F.col("text"))).alias("k", "chunk"))
-    return rows.select("doc_id", F.format_string("recursive_%03d", "k").alias("id"), "chunk")
+    """The recursive splitter has no SQL form; tests hold it against its rules."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(splitters.recursive_chunks(F.col("text"))).alias("k", "chunk"))
+    return rows.select("doc_id", F.format_string("recursive_%03d", "k").alias("id"), "chunk", T.word_count(F.col("chunk")).alias("word_count"))
 
 
 _W = wc("text")
@@ -442,16 +461,31 @@ def image_cache_misses(spark, sf_dir):
 _DESC = "SELECT 'page_' || CAST(doc_id % 50 AS VARCHAR) || '.png' AS image_name, 'seen ' || CAST(doc_id AS VARCHAR) AS description, (doc_id % 10) / 10.0 AS confidence, doc_id AS seq FROM documents WHERE doc_id % 2 = 1"
 
 
-@query(f"""WITH d AS (SELECT image_name, max_by(description, seq) AS description FROM ({_DESC}) WHERE confidence > 0.5 GROUP BY image_name)
- SELECT doc_id, CASE WHEN d.description IS NULL THEN t ELSE replace(replace(t, '[IMAGE: Image of ' || d.image_name || ']', '[IMAGE DESCRIPTION: ' || d.description || ']'), '[IMAGE: ' || d.image_name || ']', '[IMAGE DESCRIPTION: ' || d.description || ']') END AS text
- FROM (SELECT doc_id, {cleaned('raw')} AS t, 'page_' || CAST(doc_id % 50 AS VARCHAR) || '.png' AS image_name FROM ({MARKUP})) LEFT JOIN d USING (image_name)""")
+_PLACED = "' [IMAGE: ' || image_name || '] ![' || image_name || '] ![Image of ' || image_name || ']'"
+
+
+def _described(expr: str, spellings) -> str:
+    for shape in spellings:
+        a, b = shape.split("%s")
+        expr = f"replace({expr}, '{a}' || d.image_name || '{b}', '[IMAGE DESCRIPTION: ' || d.description || ']')"
+    return expr
+
+
+_BEST = f"SELECT image_name, max_by(description, seq) AS description FROM ({_DESC}) WHERE confidence > 0.5 GROUP BY image_name"
+
+
+@query(f"""WITH d AS ({_BEST}) SELECT doc_id, CASE WHEN d.description IS NULL THEN t ELSE {_described('t', media.SPELLINGS)} END AS text
+ FROM (SELECT doc_id, image_name, c || {_PLACED} AS t FROM (SELECT doc_id, {cleaned('raw')} AS c, 'page_' || CAST(doc_id % 50 AS VARCHAR) || '.png' AS image_name FROM ({MARKUP}))) LEFT JOIN d USING (image_name)""")
 def image_integrate(spark, sf_dir):
-    desc = table(spark, sf_dir, "documents").filter("doc_id % 2 = 1").selectExpr("'page_' || CAST(doc_id % 50 AS STRING) || '.png' AS image_name", "'seen ' || CAST(doc_id AS STRING) AS description", "(doc_id % 10) / 10.0 AS confidence", "doc_id AS seq")
-    texts = once(markup(spark, sf_dir), "text", T.clean(F.col("raw"))).select("doc_id", "text")
-    return media.integrate(texts, desc, "doc_id").select("doc_id", "text")
+    texts = once(markup(spark, sf_dir), "c", T.clean(F.col("raw"))).selectExpr("doc_id", "'page_' || CAST(doc_id % 50 AS STRING) || '.png' AS image_name", "c").selectExpr("doc_id", f"c || {_PLACED} AS text")
+    return media.integrate(texts, _descriptions(spark, sf_dir), "doc_id").select("doc_id", "text")
 
 
-_D0 = "regexp_replace(substr(text, 1, 300), '^[\"'']+|[\"'']+$', '', 'g')"
+def _descriptions(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter("doc_id % 2 = 1").selectExpr("'page_' || CAST(doc_id % 50 AS STRING) || '.png' AS image_name", "'seen ' || CAST(doc_id AS STRING) AS description", "(doc_id % 10) / 10.0 AS confidence", "doc_id AS seq")
+
+
+_D0 = "regexp_replace(text, '^[\"'']+|[\"'']+$', '', 'g')"
 
 
 @query(f"""WITH a AS (SELECT doc_id, {_D0} AS t FROM documents), b AS (SELECT doc_id, CASE WHEN t <> '' AND NOT regexp_matches(t, '[.!?]$') THEN t || '.' ELSE t END AS t FROM a),
@@ -459,13 +493,12 @@ _D0 = "regexp_replace(substr(text, 1, 300), '^[\"'']+|[\"'']+$', '', 'g')"
  d AS (SELECT *, regexp_replace(list_reduce(list_prepend({{'t': '', 'go': true}}, list_transform(string_split(t, '.'), lambda s: {{'t': s, 'go': true}})), lambda acc, s: CASE WHEN acc.go AND length(acc.t) + length(s.t) + 1 <= 150 THEN {{'t': acc.t || s.t || '.', 'go': true}} ELSE {{'t': acc.t, 'go': false}} END).t, '[.]+$', '') AS cut FROM c)
  SELECT doc_id, CASE WHEN length(t) > 150 THEN CASE WHEN cut <> '' AND NOT regexp_matches(cut, '[.!?]$') THEN cut || '.' ELSE cut END ELSE t END AS description FROM d""")
 def description_truncate(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", media.clean_description(F.substring("text", 1, 300), 150).alias("description"))
+    return table(spark, sf_dir, "documents").select("doc_id", media.clean_description(F.col("text"), 150).alias("description"))
 
 
-@query("SELECT doc_id, round(greatest(0.0, least(1.0, CASE WHEN contains(lower(t), 'error') OR contains(lower(t), 'unavailable') THEN 0.1 WHEN length(t) < 20 THEN 0.6 ELSE 0.8 END - CASE WHEN doc_id % 2 = 0 THEN 0.1 ELSE 0.0 END)), 6)::DOUBLE AS confidence FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'An ERROR came' ELSE substr(text, 1, CAST(doc_id % 40 AS BIGINT)) END AS t FROM documents)")
+@query("SELECT doc_id, round(greatest(0.0, least(1.0, CASE WHEN contains(lower(t), 'error') OR contains(lower(t), 'unavailable') THEN 0.1 WHEN length(t) < 20 THEN 0.6 ELSE 0.8 END - CASE WHEN doc_id % 2 = 0 THEN 0.1 ELSE 0.0 END)), 6)::DOUBLE AS confidence FROM (SELECT doc_id, text AS t FROM documents)")
 def description_confidence(spark, sf_dir):
-    t = F.when(F.col("doc_id") % 3 == 0, "An ERROR came").otherwise(F.expr("substr(text, 1, int(doc_id % 40))"))
-    return table(spark, sf_dir, "documents").select("doc_id", media.description_confidence(t, F.col("doc_id") % 2 == 0).alias("confidence"))
+    return table(spark, sf_dir, "documents").select("doc_id", media.description_confidence(F.col("text"), F.col("doc_id") % 2 == 0).alias("confidence"))
 
 
 @query("SELECT doc_id, CAST(floor(w * least(1.0, 1024 / greatest(w, h))) AS BIGINT) AS width, CAST(floor(h * least(1.0, 1024 / greatest(w, h))) AS BIGINT) AS height FROM (SELECT doc_id, doc_id % 3000 + 1 AS w, n_chars % 2500 + 1 AS h FROM documents)")
@@ -483,8 +516,8 @@ def image_report(spark, sf_dir):
 @query("SELECT event_id, CAST(epoch(ts) AS BIGINT) < (SELECT CAST(max(epoch(ts)) AS BIGINT) FROM events) - 7 * 86400 AS expired FROM events")
 def cache_expiry(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s"))
-    newest = e.agg(F.max("s").alias("newest"))  # one row
-    return e.join(F.broadcast(newest)).select("event_id", (F.col("s") < F.col("newest") - 7 * 86400).alias("expired"))
+    newest = e.agg(F.max("s")).scalar()
+    return e.select("event_id", (F.col("s") < newest - 7 * 86400).alias("expired"))
 
 
 # ---- audio ------------------------------------------------------------------------------------------------------
@@ -625,3 +658,6 @@ def progress_bar(spark, sf_dir):
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def daily_events(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
+
+
+from . import queries_books, queries_jobs  # noqa: E402, F401  (they register theirs)

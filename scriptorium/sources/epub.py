@@ -13,7 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BOOK = "path string, title string, author string, language string, content string, chapters array<struct<title: string, content: string, word_count: bigint>>, images array<string>, error string"
+IMAGE = "struct<file_path: string, alt_text: string, position: bigint, format: string>"
+METADATA = "title string, author string, authors array<string>, publisher string, publication_date string, language string, identifier string, description string, subjects array<string>, original_format string, file_size long"
+BOOK = f"path string, {METADATA}, content string, chapters array<struct<title: string, content: string, word_count: bigint>>, images array<string>, image_info array<{IMAGE}>, error string"
+COLUMNS = [c.split()[0] for c in ("path", *METADATA.split(", "), "content", "chapters", "images", "image_info", "error")]
 
 
 class _Text(HTMLParser):
@@ -21,13 +24,15 @@ class _Text(HTMLParser):
 
     def __init__(self):
         super().__init__()
-        self.out, self.skip, self.heading, self.title = [], 0, False, ""
+        self.out, self.skip, self.heading, self.title, self.alts = [], 0, False, "", {}
 
     def handle_starttag(self, tag, attrs):
         self.skip += tag in ("script", "style", "head")
         self.heading = tag in ("h1", "h2") or self.heading
         if tag in self.BLOCKS:
             self.out.append("\n")
+        if tag == "img" and dict(attrs).get("src"):
+            self.alts[posixpath.basename(dict(attrs)["src"])] = dict(attrs).get("alt") or ""
 
     def handle_endtag(self, tag):
         self.skip -= tag in ("script", "style", "head")
@@ -44,24 +49,38 @@ class _Text(HTMLParser):
 
 
 def parse(data: bytes) -> dict:
-    """Title, author, language, chapters (in spine order) and image names of one EPUB file."""
+    """Metadata, chapters (in spine order) and images (in manifest order, with their alternative texts) of one EPUB file.
+
+    authors are all creators, author the first; identifier prefers an ISBN.
+    """
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         strip = lambda root: [setattr(e, "tag", e.tag.rpartition("}")[2]) for e in root.iter()] and root
         opf = strip(ElementTree.fromstring(z.read("META-INF/container.xml"))).find(".//rootfile").get("full-path")
         package = strip(ElementTree.fromstring(z.read(opf)))
         items = {i.get("id"): i for i in package.iter("item")}
         text = lambda tag: next((e.text for e in package.iter(tag) if e.text), None)
-        chapters = []
+        every = lambda tag: [e.text.strip() for e in package.iter(tag) if e.text and e.text.strip()]
+        chapters, alts = [], {}
         for ref in package.iter("itemref"):
             if (item := items.get(ref.get("idref"))) is None:
                 continue
             page = _Text()
             page.feed(z.read(posixpath.normpath(posixpath.join(posixpath.dirname(opf), item.get("href")))).decode("utf-8", "replace"))
+            alts.update(page.alts)
             body = re.sub(r"\n{2,}", "\n\n", "".join(page.out)).strip()
             if body:
                 chapters.append({"title": page.title or f"Chapter {len(chapters) + 1}", "content": body, "word_count": len(body.split())})
-        images = [i.get("href") for i in items.values() if (i.get("media-type") or "").startswith("image/")]
-        return {"title": text("title"), "author": text("creator"), "language": text("language"), "content": "\n\n".join(c["content"] for c in chapters), "chapters": chapters, "images": images, "error": None}
+        images = [i for i in items.values() if (i.get("media-type") or "").startswith("image/")]
+        info = [
+            {"file_path": posixpath.normpath(posixpath.join(posixpath.dirname(opf), i.get("href"))), "alt_text": alts.get(posixpath.basename(i.get("href")), ""), "position": k, "format": i.get("media-type").split("/", 1)[1]}
+            for k, i in enumerate(images)
+        ]
+        identifiers = every("identifier")
+        return {
+            "title": text("title"), "author": text("creator"), "authors": every("creator"), "publisher": text("publisher"), "publication_date": text("date"), "language": text("language"),
+            "identifier": next((x for x in identifiers if "isbn" in x.lower() or re.fullmatch(r"[\d-]{9,16}[\dXx]", x)), next(iter(identifiers), None)), "description": text("description"), "subjects": every("subject"),
+            "original_format": "epub", "file_size": len(data), "content": "\n\n".join(c["content"] for c in chapters), "chapters": chapters, "images": [i.get("href") for i in images], "image_info": info, "error": None,
+        }
 
 
 def read_epub(spark: SparkSession, path: str) -> DataFrame:
@@ -74,12 +93,23 @@ def read_epub(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     rows.append({"path": p, **parse(bytes(data))})
                 except Exception as e:  # a broken book is a row, not a failed job
-                    rows.append({"path": p, "chapters": [], "images": [], "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=["path", "title", "author", "language", "content", "chapters", "images", "error"], dtype=object)
+                    rows.append({"path": p, "authors": [], "subjects": [], "original_format": "epub", "file_size": len(data), "chapters": [], "images": [], "image_info": [], "error": f"{type(e).__name__}: {e}"})
+            yield pd.DataFrame(rows, columns=COLUMNS, dtype=object)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, BOOK)
 
 
+def validate(books: DataFrame, least_bytes: int = 1024) -> DataFrame:
+    """(path, issues) of books as read_epub gives them, files that don't exist included as rows without file_size."""
+    size = F.col("file_size")
+    found = F.array_compact(F.array(
+        F.when(size.isNull(), "file does not exist"), F.when(~F.lower("path").endswith(".epub"), "not an .epub"), F.when(size == 0, "empty").when(size < least_bytes, "too small"),
+        F.when(F.col("error").isNotNull(), F.concat(F.lit("parse error: "), "error")), F.when(F.col("error").isNull() & size.isNotNull() & (F.coalesce("title", F.lit("")) == ""), "no title"),
+        F.when(F.col("error").isNull() & size.isNotNull() & (F.coalesce("content", F.lit("")) == ""), "no text"),
+    ))
+    return books.select("path", found.alias("issues"))
+
+
 def expand(listing: DataFrame, path: str = "path") -> DataFrame:
     """Different .epub paths of a listing, in order."""
     return listing.filter(F.lower(F.col(path)).endswith(".epub")).select(path).distinct().orderBy(path)

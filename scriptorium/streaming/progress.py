@@ -9,16 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATS = "pipeline string, total_items long, completed_items long, errors long, warnings long"
-STATE = "total long, completed long, errors long, warnings long, ts timestamp, event_id long"
+STATS = "pipeline string, total_items long, completed_items long, errors long, warnings long, late long"
+STATE = "total long, completed long, errors long, warnings long, late long, ts timestamp, event_id long"
 
 
 def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
-    total, done, errors, warnings, ts, last = state.get if state.exists else (0, 0, 0, 0, pd.Timestamp(0), -1)
+    total, done, errors, warnings, late, ts, last = state.get if state.exists else (0, 0, 0, 0, 0, pd.Timestamp(0), -1)
     rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
     for r in rows.itertuples():
         if (r.ts, r.event_id) <= (ts, last):
-            continue  # older than what the state holds: its place in the order is past
+            late += 1  # older than what the state holds: its place in the order is past, so it is counted apart
+            continue
         if r.event_type == "start":
             total = int(r.items)
         elif r.event_type == "progress":
@@ -28,12 +29,12 @@ def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState):
         errors += r.event_type == "error"
         warnings += r.event_type == "warning"
         ts, last = r.ts, int(r.event_id)
-    state.update((total, done, int(errors), int(warnings), ts, last))
-    yield pd.DataFrame([(key[0], total, done, errors, warnings)], columns=["pipeline", "total_items", "completed_items", "errors", "warnings"])
+    state.update((total, done, int(errors), int(warnings), late, ts, last))
+    yield pd.DataFrame([(key[0], total, done, errors, warnings, late)], columns=["pipeline", "total_items", "completed_items", "errors", "warnings", "late"])
 
 
 def fold_stream(events: DataFrame) -> DataFrame:
-    """Streaming counterpart of operators.progress.fold; write it with output mode update."""
+    """Streaming counterpart of operators.progress.fold, with a count of events that came too late for it; write it with output mode update."""
     return events.groupBy("pipeline").applyInPandasWithState(_step, STATS, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
