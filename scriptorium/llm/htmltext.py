@@ -31,7 +31,9 @@ NOISE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer foot "
     "sidebar side aside widget related recommended share sharing social comment comments disqus reply replies cookie cookies consent notice notices gdpr popup modal overlay newsletter subscribe "
     "subscription signup login form search pagination pager toolbar skip copyright legal "
-    "site-header site-footer page-footer site-nav site-navigation main-nav main-navigation main-menu nav-menu cookie-banner cookie-notice cookie-consent skip-link related-posts comment-list comments-area share-buttons".split()
+    "site-header site-footer page-footer site-nav site-navigation main-nav main-navigation main-menu nav-menu cookie-banner cookie-notice cookie-consent skip-link related-posts comment-list comments-area share-buttons "
+    "left-sidebar right-sidebar left-nav right-nav top-nav side-nav primary-nav secondary-nav site-menu top-menu mobile-menu article-footer post-footer entry-footer user-comments reader-comments post-comments "
+    "article-comments comment-form comment-respond post-navigation privacy-notice gdpr-banner".split()
 )
 NOISE_HEADS = frozenset("sidebar advert adverts advertisement cookie cookies newsletter comments breadcrumb breadcrumbs navbar navigation pagination disqus masthead footer".split())
 #: First and second parts of boilerplate names whose first part alone says too little.

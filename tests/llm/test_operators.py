@@ -213,6 +213,26 @@ def test_fingerprints(odd, small, monkeypatch):
     assert fingerprints.decode(fingerprints.encode(frozenset([1, 2**32 - 1]))) == {1, 2**32 - 1}
 
 
+def brute_signatures(text, chain=3):
+    """Anchor by anchor: its chain of the next content words; hashes of all."""
+    words = re.findall(r"\w+", text.lower())
+    found = set()
+    for k, w in enumerate(words):
+        if w in fingerprints.ANCHORS:
+            after = [x for x in words[k + 1 :] if x not in fingerprints.ANCHORS][:chain]
+            if len(after) == chain:
+                found.add(" ".join([w, *after]))
+    if not found:
+        found = {" ".join(words[k : k + chain]) for k in range(len(words)) if k + chain <= len(words)} or ({" ".join(words)} if words else set())
+    return frozenset(xxhash.xxh32_intdigest(x) for x in found)
+
+
+def test_signatures(small):
+    texts = [r.text for r in small.filter("length(text) < 3000").limit(80).collect()]
+    for text in [*texts, "", "the", "the of and", "one two", "one two three four", "the cat sat on the mat today", "!!", "The The A b c d", "été de la Nuit une fois ici"]:
+        assert fingerprints.signatures(text) == brute_signatures(text), text[:50]
+
+
 def test_similar_pairs(spark, small):
     prints = fingerprints.fingerprints(small).select("fingerprint")
     got = {(r[0], r[1]) if r[0] < r[1] else (r[1], r[0]): r[2] for r in fingerprints.similar_pairs(prints, 0.5).collect()}
@@ -310,6 +330,47 @@ def test_language(spark, odd):
     assert {r.lang_pred for r in langid.identify(odd, langid.train(odd.limit(0))).collect()} == {"und"}
 
 
+def brute_language(train_rows, texts):
+    """Naive Bayes over hashed n-grams, letter by letter; (language, score) of each text."""
+    import math
+
+    m = 0xFFFFFFFF
+
+    def buckets(text):
+        low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text)
+        low = " " + re.sub(" +", " ", low).strip(" ") + " " if low.strip(" ") else " "
+        for at in range(len(low)):
+            h = 0
+            for n in (1, 2, 3):
+                if at + n > len(low):
+                    break
+                h = (h * 0x01000193 & m) ^ (ord(low[at + n - 1]) * 0x9E3779B1 & m) ^ n
+                yield ((h ^ h >> 15) * 0x85EBCA6B & m) >> 7 & 32767
+
+    counts = defaultdict(Counter)
+    for text, lang in train_rows:
+        counts[lang].update(buckets(text or ""))
+    out = []
+    for text in texts:
+        if not any(map(str.isalpha, text or "")):
+            out.append(("und", 0.0))
+            continue
+        score = {lang: sum(math.log((c[b] + 0.5) / (sum(c.values()) + 0.5 * 32768)) for b in buckets(text)) for lang, c in counts.items()}
+        best = max(sorted(score), key=score.get)
+        out.append((best, 1 / sum(math.exp(x - score[best]) for x in score.values())))
+    return out
+
+
+def test_language_against_brute_force(spark, odd, small):
+    docs = small.filter("length(text) < 1500").select("doc_id", "text", "lang").limit(40).unionByName(odd.select("doc_id", "text", "lang"))
+    rows = docs.collect()
+    learned = [(r.text, r.lang) for r in rows if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    model = langid.train(spark.createDataFrame([(k, *x) for k, x in enumerate(learned)], "doc_id long, text string, lang string"))
+    want = Counter((r.doc_id, lang, round(x, 3)) for r, (lang, x) in zip(rows, brute_language(learned, [r.text for r in rows])))
+    got = langid.identify(spark.createDataFrame(rows, docs.schema), model).collect()
+    assert Counter((r.doc_id, r.lang_pred, round(r.score, 3)) for r in got) == want
+
+
 def test_language_blocks(monkeypatch):
     text = "Ärger über the words " * 50
     whole = Counter(langid.grams(langid.letters(text)).tolist())
@@ -522,21 +583,108 @@ def test_disguises(text, span):
         assert span[1] not in pii.redacted(text)
 
 
+def brute_kept(text):
+    """The corpus rules, by regular expressions alone."""
+    words, lines = W.findall(text), [x for x in text.split("\n") if W.search(x)]
+    chars, dup = sum(map(len, words)), [x for k, x in enumerate(lines) if x in lines[:k]]
+    size = lambda xs: sum(len(x.strip(" \t\n\x0b\x0c\r").encode()) for x in xs)
+    bad_lines = 10 * len(dup) > 3 * len(lines) and 10 * size(dup) > 3 * size(lines)
+    return not (
+        len(words) < 10 or 100 * brute_repeat(words) > 20 * len(words) or 10 * len(re.findall(r"[#*$%&|<>]", text)) > len(words) or not 2 * len(words) <= chars <= 12 * len(words) or bad_lines
+        or len(re.findall("[A-Z]", text)) > len(re.findall("[a-z]", text))
+    )
+
+
+def brute_redacted(text):
+    """Base spans only: the small table has no disguises, which the test looks at too."""
+    out, at, end = [], 0, -1
+    for start, kind, stop in sorted((a, ("email", "ip", "card", "phone").index(k), b) for k, a, b in brute_pii(text)):
+        if start < end:
+            end = at = max(end, stop)
+            continue
+        out.append(text[at:start] + ("<EMAIL>", "<IP>", "<CARD>", "<PHONE>")[kind])
+        at = end = stop
+    return "".join(out) + text[at:]
+
+
+def brute_mix(rows):
+    """{doc_id: copies} of rows (doc_id, text, source)."""
+    sizes = Counter()
+    for _, text, source in rows:
+        sizes[source] += len(W.findall(text))
+    out = {}
+    for source, target in brute_targets(sizes).items():
+        times = int(target / sizes[source]) if sizes[source] else 0
+        more, before, taken = target - times * sizes[source], 0, True
+        own = sorted((int(hashlib.md5(f"mix-1:{d}".encode()).hexdigest()[:15], 16), d, len(W.findall(t))) for d, t, s in rows if s == source)
+        for _, d, n in own:
+            taken = taken and before + n / 2 <= more and more > 0
+            before += n
+            out[d] = times + taken
+    return out
+
+
 def test_pipeline(spark, small):
+    """Against a version of all stages that shares no function with the operators."""
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "personal_data", "source_mix", "sequences"]
-    docs = small
-    good = [r for r in docs.collect() if quality.first_rejection(quality.Figures(r.text), quality.RULES) is None]
+    good = [r for r in small.collect() if brute_kept(r.text)]
     groups, least = brute_groups([r.text for r in good]), {}
     for r, g in zip(good, groups):
         least[g] = min(least.get(g, r.doc_id), r.doc_id)
-    kept = set(least.values())
-    clean = [(r.doc_id, pii.redacted(r.text), r.lang, r.source, 0) for r in good if r.doc_id in kept]
-    taken = {r.doc_id: r.taken // r.size for r in mixing.mix_report(spark.createDataFrame(clean, docs.schema)).collect() if r.size}
+    clean = [(r.doc_id, brute_redacted(r.text), r.source) for r in good if r.doc_id in set(least.values())]
+    assert {r.doc_id: r.text for r in pii.redact(small).collect() if r.doc_id in {d for d, *_ in clean}} == {d: t for d, t, _ in clean}
+    tok, want = Tokenizer.from_file(vocabulary()), Counter()
+    copies = brute_mix(clean)
+    for d, text, _ in clean:
+        ids = [*tok.encode(text, add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 2048):
+            piece = ids[k : k + 2048]
+            want[d, k // 2048, len(piece), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in piece))] += copies[d]
     got = corpus_pipeline.run(spark, SF).collect()
-    assert Counter(r.doc_id for r in got if r.piece == 0) == Counter({d: n for d, n in taken.items() if n})
-    assert all(r.offset + r.length <= 2048 for r in got)
+    assert Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in got) == +want
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert all(a + n == b for x in bins.values() for (a, n), (b, _) in itertools.pairwise(sorted(x)))
+    assert sorted(2048 - sum(n for _, n in x) for x in bins.values()) == brute_best_fit([r.length for r in got], 2048)
+
+
+def test_pipeline_with_awkward_rows(spark, odd, tmp_path):
+    """Nulls, empty and repeated rows, extra columns with clashing names, and an empty table go through all stages."""
+    import corpus_pipeline
+
+    more = odd.union(odd.filter("doc_id = 4")).withColumn("node", queries.F.lit("x")).withColumn("bands", queries.F.lit(1)).withColumn("ids", queries.F.lit(2)).withColumn("_own", queries.F.lit(3))
+    more.write.parquet(str(tmp_path / "some/documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "some")).collect()
+    kept = {r.doc_id for r in got}
+    assert kept <= {3, 4, None, 9, 10} and {None} <= kept and 4 not in kept  # 4 repeats 3; the others have too few words
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert all(a + n == b for x in bins.values() for (a, n), (b, _) in itertools.pairwise(sorted(x)))
+    more.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    docs = more
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == more.columns, name
+
+
+def test_language_of_nothing(spark, odd):
+    model = langid.train(odd.filter("lang is not null"))
+    assert langid.identify(odd.limit(0), model).count() == 0
+    assert langid.letters("😀a𝐀𐐀").tolist() == [32, 97, 0x1D400, 0x10428, 32]  # letters of all planes, no emoji
+
+
+def test_languages_beyond_the_bound(spark, monkeypatch):
+    """The most frequent languages are learned, ties by name; rows of others teach nothing."""
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    rows = [(k, "some words", lang) for k, lang in enumerate(["c", "c", "b", "a", "d"])]
+    assert langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))[0] == ["a", "c"]
 
 
 def test_token_files_with_control_strings(spark):
