@@ -11,6 +11,11 @@ def cache_key(image: Column, context: Column) -> Column:
     return F.concat(F.substring(F.md5(image.cast("binary")), 1, 16), F.lit("_"), F.substring(F.md5(context.cast("binary")), 1, 8))
 
 
+def inline(image: Column) -> Column:
+    """Bytes as base64, as model interfaces take them."""
+    return F.base64(image)
+
+
 def cache_hits(images: DataFrame, cache: DataFrame, key: str = "cache_key") -> DataFrame:
     return images.join(cache, key, "left_semi")
 

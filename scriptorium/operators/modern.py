@@ -92,6 +92,13 @@ def process(df: DataFrame, text: str, key: str, mode: str = "legacy", toc: DataF
     return modern(cleaned, "_cleaned", key, toc) if toc is not None else legacy(cleaned, "_cleaned", key)
 
 
+def clean_only(text: Column, mode: str = "legacy") -> Column:
+    """The cleaned text without chapters: normalised in mode modern, else by the rules. An unknown mode raises ValueError."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode: {mode}")
+    return normalise(text) if mode == "modern" else clean(text)
+
+
 def smart(chapters: DataFrame, chunks: Column) -> DataFrame:
     """Legacy chapters with the fields that only modern ones have: no summary, topics or entities, and chunks."""
     none = F.array().cast("array<string>")

@@ -33,6 +33,16 @@ def reachable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes (as Spark estimates them) up to which a table counts as small: it may lie in one row group and so be one core's work.
+SMALL_BYTES = 256 << 20
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A small table dealt over all cores by its keys, for long chains of expressions; a larger one has many row groups and stays where it is."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys) if size <= SMALL_BYTES else df
+
+
 def once(df: DataFrame, name: str, column: Column) -> DataFrame:
     """df with a column that is computed once for each row, however often it is used.
 

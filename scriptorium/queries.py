@@ -15,7 +15,7 @@ from .operators import chapters as C
 from .operators import chunking, media, modern, progress
 from .operators import text as T
 from .plans import rules as R
-from .plans.session import once
+from .plans.session import once, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for long chains of expressions, on all cores."""
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def wc(expr: str) -> str:
     return f"CAST(len(regexp_extract_all({expr}, '[^{Z}]+')) AS BIGINT)"
 
@@ -59,7 +64,7 @@ BOOKS = f"SELECT book_id, string_agg(raw, chr(10) || chr(10) ORDER BY chapter_nu
 
 def markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = " || ".join(_SPARK.get(p, p) for p in _PIECES)
-    return table(spark, sf_dir, "documents").selectExpr("doc_id div 5 AS book_id", "doc_id % 5 + 1 AS chapter_num", "doc_id", f"{raw} AS raw")
+    return documents(spark, sf_dir).selectExpr("doc_id div 5 AS book_id", "doc_id % 5 + 1 AS chapter_num", "doc_id", f"{raw} AS raw")
 
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +86,7 @@ def clean_text(spark, sf_dir):
 
 @query(f"SELECT doc_id, {cleaned('text')} AS cleaned FROM documents")
 def clean_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.clean(F.col("text")).alias("cleaned"))
+    return documents(spark, sf_dir).select("doc_id", T.clean(F.col("text")).alias("cleaned"))
 
 
 def _stats_sql() -> str:
@@ -371,7 +376,7 @@ def _packer_sql(limit: int) -> str:
 
 def _packed(limit: int) -> None:
     def run(spark, sf_dir):
-        rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.sentence_chunks(F.col("text"), limit)).alias("k", "chunk"))
+        rows = documents(spark, sf_dir).select("doc_id", F.posexplode(chunking.sentence_chunks(F.col("text"), limit)).alias("k", "chunk"))
         return rows.select("doc_id", (F.col("k") + 1).cast("long").alias("part"), "chunk")
 
     run.__name__ = f"chunk_sentences_{limit}"
@@ -392,14 +397,14 @@ def _simple_sql() -> str:
 
 @query(_simple_sql())
 def chunk_simple_4000(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.simple_chunks(F.col("text"))).alias("k", "chunk"))
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(chunking.simple_chunks(F.col("text"))).alias("k", "chunk"))
     return rows.select("doc_id", F.format_string("simple_%03d", "k").alias("id"), "chunk", T.word_count(F.col("chunk")).alias("word_count"))
 
 
 @query()
 def chunk_recursive_4000(spark, sf_dir):
     """The recursive splitter has no SQL form; tests hold it against its rules."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(splitters.recursive_chunks(F.col("text"))).alias("k", "chunk"))
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(splitters.recursive_chunks(F.col("text"))).alias("k", "chunk"))
     return rows.select("doc_id", F.format_string("recursive_%03d", "k").alias("id"), "chunk", T.word_count(F.col("chunk")).alias("word_count"))
 
 
@@ -426,7 +431,7 @@ def topics_topk(spark, sf_dir):
     """The five most common longer words of each document, ties by first occurrence; words stand in for noun phrases."""
     from pyspark.sql import Window
 
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"[^{Z}.,]+"), F.lit(0))).alias("pos", "word"))
+    words = documents(spark, sf_dir).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(f"[^{Z}.,]+"), F.lit(0))).alias("pos", "word"))
     counted = words.withColumn("word", F.lower("word")).filter(F.length("word") > 3).groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")).cast("long")
     return counted.withColumn("rank", rank).filter("rank <= 5").select("doc_id", "rank", "word", "n")
@@ -573,11 +578,11 @@ _MODES = {"legacy": cleaned("raw"), "modern": R.apply_duck("raw", R.MODERN), "hy
 
 @query(f"WITH l AS (SELECT doc_id, raw, {cleaned('raw')} AS c FROM ({MARKUP})) SELECT mode, count(*) AS texts, CAST(sum({wc('t')}) AS BIGINT) AS words, CAST(sum(length(t)) AS BIGINT) AS chars FROM (SELECT 'legacy' AS mode, c AS t FROM l UNION ALL SELECT 'modern', {_MODES['modern']} FROM l UNION ALL SELECT 'hybrid', {_MODES['hybrid']} FROM l) GROUP BY mode")
 def mode_benchmark(spark, sf_dir):
-    m = markup(spark, sf_dir)
-    legacy = once(m, "t", T.clean(F.col("raw"))).select("t")
-    modes = {"legacy": legacy, "modern": once(m, "t", T.normalise(F.col("raw"))).select("t"), "hybrid": once(legacy.withColumnRenamed("t", "c"), "t", T.clean(F.col("c"))).select("t")}
-    parts = [df.select(F.lit(k).alias("mode"), T.word_count(F.col("t")).alias("w"), F.length("t").alias("n")) for k, df in modes.items()]
-    return parts[0].union(parts[1]).union(parts[2]).groupBy("mode").agg(F.count("*").alias("texts"), F.sum("w").alias("words"), F.sum("n").cast("long").alias("chars"))
+    """Each text is cleaned once for legacy and once more for hybrid, and normalised once, all in one pass."""
+    legacy = once(markup(spark, sf_dir), "c", T.clean(F.col("raw")))
+    texts = once(once(legacy, "h", T.clean(F.col("c"))), "m", T.normalise(F.col("raw")))
+    modes = F.array(*(F.struct(F.lit(k).alias("mode"), T.word_count(F.col(c)).alias("w"), F.length(c).alias("n")) for k, c in (("legacy", "c"), ("modern", "m"), ("hybrid", "h"))))
+    return texts.select(F.explode(modes).alias("x")).groupBy("x.mode").agg(F.count("*").alias("texts"), F.sum("x.w").alias("words"), F.sum("x.n").cast("long").alias("chars"))
 
 
 _MESSAGES = "['Rate limit hit', 'HTTP 429', 'Quota exceeded', 'Unauthorized', 'Voice x not found', 'timeout', 'Invalid API key']"

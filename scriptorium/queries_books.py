@@ -257,3 +257,15 @@ def processing_report(spark, sf_dir):
 @query(f"SELECT CAST(sum(original_length) AS BIGINT) AS original_length, CAST(sum(cleaned_length) AS BIGINT) AS cleaned_length, CAST(sum(characters_removed) AS BIGINT) AS characters_removed, round(sum(cleaned_length) / sum(original_length), 6) AS compression_ratio, CAST(sum(patterns_applied) AS BIGINT) AS patterns_applied, CAST(sum(transformations_made) AS BIGINT) AS transformations_made FROM ({_stats_sql()})")
 def cleaning_totals(spark, sf_dir):
     return reports.cleaning_totals(clean_stats(spark, sf_dir))
+
+
+@query(f"SELECT 'legacy' AS mode, doc_id, {cleaned('raw')} AS cleaned FROM ({MARKUP}) UNION ALL SELECT 'modern', doc_id, {R.apply_duck('raw', R.MODERN)} FROM ({MARKUP})")
+def clean_by_mode(spark, sf_dir):
+    raw = once(once(markup(spark, sf_dir), "l", modern.clean_only(F.col("raw"), "legacy")), "m", modern.clean_only(F.col("raw"), "modern"))
+    return raw.select("doc_id", F.explode(F.array(*(F.struct(F.lit(mode).alias("mode"), F.col(c).alias("cleaned")) for mode, c in (("legacy", "l"), ("modern", "m"))))).alias("x")).select("x.mode", "doc_id", "x.cleaned")
+
+
+@query("SELECT doc_id, base64(encode(text)) AS data, text = decode(from_base64(base64(encode(text)))) AS same FROM documents")
+def inline_images(spark, sf_dir):
+    data = media.inline(F.encode("text", "utf-8"))
+    return table(spark, sf_dir, "documents").select("doc_id", data.alias("data"), (F.decode(F.unbase64(data), "utf-8") == F.col("text")).alias("same"))

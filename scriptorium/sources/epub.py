@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,3 +114,21 @@ def validate(books: DataFrame, least_bytes: int = 1024) -> DataFrame:
 def expand(listing: DataFrame, path: str = "path") -> DataFrame:
     """Different .epub paths of a listing, in order."""
     return listing.filter(F.lower(F.col(path)).endswith(".epub")).select(path).distinct().orderBy(path)
+
+
+def expand_patterns(spark: SparkSession, patterns: list[str]) -> tuple[DataFrame, list[str]]:
+    """Books that patterns name, each once and in order, and the patterns that name none: an .epub file, a glob with * or ?, or a folder of .epub files."""
+    found, left = [], []
+    for pattern in patterns:
+        folder = not re.search(r"[*?]|\.epub$", pattern, re.I)
+        reader = spark.read.format("binaryFile")
+        try:
+            listed = (reader.option("pathGlobFilter", "*.{epub,EPUB,Epub}") if folder else reader).load(pattern).select("path")
+        except AnalysisException:  # nothing there
+            left.append(pattern)
+            continue
+        found.append(listed)
+    every = found[0] if found else spark.createDataFrame([], "path string")
+    for df in found[1:]:
+        every = every.union(df)
+    return expand(every), left

@@ -13,7 +13,7 @@ from scriptorium.operators import chapters, media, modern, progress, repair, rep
 from scriptorium.operators import text as T
 from scriptorium.plans import rules as R
 from scriptorium.sinks import files
-from scriptorium.sources import catalogue, epub
+from scriptorium.sources import catalogue, epub, media_files
 from scriptorium.streaming import events as live
 from scriptorium.streaming import progress as streaming
 
@@ -211,6 +211,33 @@ def test_catalogues(spark):
     assert images.dominant_color(spark.createDataFrame([(1, [3, 1, 3, 1, 9])], "id int, p array<int>"), "id", "p").first()[1:] == (1, 2)
 
 
+def test_image_and_audio_files(spark, tmp_path):
+    import struct
+
+    (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 30, 20) + b"\0" * 5)
+    (tmp_path / "b.gif").write_bytes(b"GIF89a" + struct.pack("<HH", 5, 7))
+    (tmp_path / "c.jpg").write_bytes(b"\xff\xd8\xff\xe0" + struct.pack(">H", 4) + b"xx" + b"\xff\xc0" + struct.pack(">HBHH", 17, 8, 9, 9) + b"\0" * 9)
+    (tmp_path / "d.png").write_bytes(b"no")
+    got = {r.path[-5:]: (r.format, r.width, r.height, r.mode) for r in media_files.read_images(spark, str(tmp_path)).collect()}
+    assert got == {"a.png": ("PNG", 30, 20, "wide"), "b.gif": ("GIF", 5, 7, "tall"), "c.jpg": ("JPEG", 9, 9, "square"), "d.png": (None, None, None, None)}
+    (tmp_path / "wav").mkdir()
+    (tmp_path / "wav/a.wav").write_bytes(files.wav([0.0, 0.5, -1.0], 8000))
+    (tmp_path / "wav/b.wav").write_bytes(b"no")
+    rows = {r.path[-5:]: r for r in media_files.read_audio(spark, str(tmp_path / "wav")).collect()}
+    assert rows["a.wav"].rate == 8000 and rows["a.wav"].samples == pytest.approx([0.0, 0.5, -1.0], abs=1e-4) and rows["b.wav"].error and rows["b.wav"].samples == []
+
+
+def test_patterns(spark, tmp_path):
+    for name in ("a.epub", "b.EPUB", "c.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub/d.epub").write_bytes(b"x")
+    found, left = epub.expand_patterns(spark, [str(tmp_path / "*.epub"), str(tmp_path / "a.epub"), str(tmp_path / "sub"), str(tmp_path / "gone.epub"), str(tmp_path / "b.EPUB")])
+    assert [r.path.rsplit("/", 1)[1] for r in found.collect()] == ["a.epub", "b.EPUB", "d.epub"] and left == [str(tmp_path / "gone.epub")]
+    none, left = epub.expand_patterns(spark, [str(tmp_path / "x?.epub")])
+    assert none.count() == 0 and len(left) == 1
+
+
 def test_report(spark):
     book_ = F.array(F.struct(F.lit("title").alias("key"), F.lit("B").alias("value")), F.struct(F.lit("author").alias("key"), F.lit(None).cast("string").alias("value")))
     parts = F.array(F.struct(F.lit(1).alias("n"), F.lit("One").alias("title"), F.lit(1234).alias("words"), F.lit(6.17).alias("minutes")))
