@@ -12,8 +12,8 @@ def cache_key(image: Column, context: Column) -> Column:
 
 
 def inline(image: Column) -> Column:
-    """Bytes as base64, as model interfaces take them."""
-    return F.base64(image)
+    """Bytes as base64 in one line, as model interfaces take them."""
+    return F.replace(F.base64(image), F.lit("\r\n"), F.lit(""))
 
 
 def cache_hits(images: DataFrame, cache: DataFrame, key: str = "cache_key") -> DataFrame:

@@ -39,7 +39,7 @@ SMALL_BYTES = 256 << 20
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """A small table dealt over all cores by its keys, for long chains of expressions; a larger one has many row groups and stays where it is."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys) if size <= SMALL_BYTES else df
 
 
