@@ -107,15 +107,23 @@ def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list | pa.RecordBatch | None]], schema: str | StructType, gather: int = 0) -> DataFrame:
+#: What frees the caches that a worker keeps from task to task; a worker may next serve an operator that has no use for them.
+CACHES: list[Callable[[], None]] = []
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list | pa.RecordBatch | None]], schema: str | StructType, gather: int = 0, caches: bool = False) -> DataFrame:
     """One pass over Arrow batches, of `gather` bytes or more if given: make() runs once in each task, what it returns turns a batch into columns.
 
-    Sets the session's rows of an Arrow batch, see small_batches.
+    A worker's caches are freed first, unless they serve this operator. Sets the session's rows of an Arrow batch, see small_batches.
     """
     small_batches(reachable(df.sparkSession))
     arrow = to_arrow_schema(struct(schema))
 
     def run(batches):
+        if not caches:
+            for free in CACHES:
+                free()
+            pa.default_memory_pool().release_unused()
         step = make()
         for batch in gathered(batches, gather) if gather else batches:
             if batch.num_rows:

@@ -118,7 +118,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokeniz
 
         return step
 
-    return map_batches(docs.select("doc_id", "text"), make, PIECES + ", ids binary" * keep_ids, gather=AT_ONCE)
+    return map_batches(docs.select("doc_id", "text"), make, PIECES + ", ids binary" * keep_ids, gather=AT_ONCE, caches=True)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:

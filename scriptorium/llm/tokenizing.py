@@ -18,10 +18,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import CACHES
+
 #: Words that a worker remembers, in each of two generations; when the newer is full it becomes the older.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Bytes of texts whose words are looked up together, for memory; a longer text is cut at white space.
-AT_ONCE = 8 << 20
+AT_ONCE = 6 << 20
 DEFAULT_VOCABULARY = "word_bpe_49k.json"
 _PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII, without the apostrophe, which can start a contraction
 #: The pre-tokenizer that the word-by-word way holds for; texts of other vocabularies are encoded whole.
@@ -166,7 +168,10 @@ class WordTokenizer:
         return out
 
 
-@lru_cache(2)
+@lru_cache(1)
 def worker_tokenizer(path: str | None = None, plain: bool = False) -> WordTokenizer:
     """One for each Python worker, so that words stay known from task to task."""
     return WordTokenizer(path, plain=plain)
+
+
+CACHES.append(worker_tokenizer.cache_clear)
