@@ -56,8 +56,7 @@ def integrate(texts: DataFrame, descriptions: DataFrame, key: str, text: str = "
 
     size = best.agg(F.sum(F.octet_length("image_name") + F.octet_length("description"))).first()[0] or 0
     if size <= MAP_BYTES:
-        known = best.agg(F.map_from_entries(F.collect_list(F.struct("image_name", "description"))).alias("_known"))  # one row
-        looked = texts.join(F.broadcast(known))
+        looked = texts.withColumn("_known", best.agg(F.map_from_entries(F.collect_list(F.struct("image_name", "description")))).scalar())
         found = F.filter(F.transform(names, lambda n: F.struct(n.alias("image_name"), F.try_element_at("_known", n).alias("description"))), lambda p: p["description"].isNotNull())
         return looked.withColumn(text, F.aggregate(found, F.col(text), put)).drop("_known")
     found = texts.select(key, F.explode(names).alias("image_name"))

@@ -41,8 +41,8 @@ def is_shutdown(pipeline: str = "pipeline", kind: str = "event_type", action: st
 def before_shutdown(events: DataFrame, ts: str = "ts", event_id: str = "event_id") -> DataFrame:
     """The events before the first shutdown event; what was queued after it is lost. All, if there is none."""
     at = F.struct(ts, event_id)
-    first = events.filter(is_shutdown()).agg(F.min(at).alias("_stop"))  # one row
-    return events.join(F.broadcast(first)).filter(F.col("_stop").isNull() | (at < F.col("_stop"))).drop("_stop")
+    stop = events.filter(is_shutdown()).agg(F.min(at)).scalar()
+    return events.filter(stop.isNull() | (at < stop))
 
 
 def fan_out(stream: DataFrame, subscribers: Iterable[Callable[[DataFrame, int], None]], failed: Callable[[Exception], None] = print) -> DataStreamWriter:
