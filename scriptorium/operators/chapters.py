@@ -101,15 +101,20 @@ def keep_long(df: DataFrame, min_words: int = 100) -> DataFrame:
 
 
 def split_long(df: DataFrame, max_words: int = 5000) -> DataFrame:
-    """Chapters above max_words in windows of words, titled `t - Part k`; others keep title and text. Adds part (from 1)."""
+    """Chapters above max_words in windows of words, titled `t - Part k`; others keep title, text and count. Adds part (from 1)."""
     words = F.regexp_extract_all(F.col("content"), F.lit(f"[^{R.STRIP}]+"), F.lit(0))
-    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("_w") / max_words) - 1, F.lit(0))), lambda i: F.array_join(F.slice("_w", (i * max_words + 1).cast("int"), F.lit(max_words)), " "))
+
+    def window(i):
+        return F.struct(F.array_join(F.slice("_w", (i * max_words + 1).cast("int"), F.lit(max_words)), " ").alias("c"), F.least(F.lit(max_words), F.size("_w") - i * max_words).cast("long").alias("n"))
+
     long = F.col("word_count") > max_words
-    parts = once(df, "_w", F.when(long, words)).withColumn("_p", F.when(long, windows).otherwise(F.array("content")))
+    last = F.greatest(F.ceil(F.size("_w") / max_words) - 1, F.lit(0))
+    whole = F.array(F.struct(F.col("content").alias("c"), F.col("word_count").cast("long").alias("n")))
+    parts = once(df, "_w", F.when(long, words)).withColumn("_p", F.when(long, F.transform(F.sequence(F.lit(0), last), window)).otherwise(whole))
     parts = parts.select("*", F.posexplode("_p").alias("_k", "_c"))
     title = F.when(F.size("_p") > 1, F.concat("title", F.lit(" - Part "), (F.col("_k") + 1).cast("string"))).otherwise(F.col("title"))
-    out = parts.withColumn("title", title).withColumn("content", F.col("_c")).withColumn("part", (F.col("_k") + 1).cast("long")).drop("_w", "_p", "_k", "_c")
-    return measured(out)
+    out = parts.withColumn("title", title).withColumn("content", F.col("_c.c")).withColumn("word_count", F.col("_c.n")).withColumn("part", (F.col("_k") + 1).cast("long")).drop("_w", "_p", "_k", "_c")
+    return out.withColumn("estimated_duration", F.round(F.col("word_count") / WORDS_A_MINUTE, 6))
 
 
 def renumber(df: DataFrame, key: str) -> DataFrame:

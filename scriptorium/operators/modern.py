@@ -31,7 +31,9 @@ def sentence_candidates(df: DataFrame, text: str, key: str) -> DataFrame:
 def structural_candidates(df: DataFrame, text: str, key: str) -> DataFrame:
     """(key, start, method 1, title, confidence 0.6) of paragraphs of at most ten words before one of more than fifty; start is the title's first occurrence."""
     paragraphs = df.select(key, F.col(text).alias("_t"), F.split(text, "\n\n", -1).alias("_ps"))
-    rows = paragraphs.select(key, "_t", "_ps", F.posexplode("_ps").alias("_k", "_p")).select(key, "_t", strip(F.col("_p")).alias("title"), F.get("_ps", F.col("_k") + 1).alias("_next"))
+    # the last paragraph has none after it, and a text without blank lines has no other: most texts end here
+    rows = paragraphs.filter(F.size("_ps") > 1).select(key, "_t", F.explode(F.arrays_zip(F.expr("slice(_ps, 1, size(_ps) - 1)").alias("p"), F.expr("slice(_ps, 2, size(_ps))").alias("n"))).alias("x"))
+    rows = rows.select(key, "_t", strip(F.col("x.p")).alias("title"), F.col("x.n").alias("_next"))
     rows = rows.filter((F.col("title") != "") & (word_count(F.col("title")) <= 10) & (word_count(F.col("_next")) > 50))
     return rows.select(key, (F.expr("locate(title, _t)") - 1).cast("long").alias("start"), F.lit(1).alias("method"), "title", F.lit(0.6).alias("confidence"))
 
