@@ -6,6 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def authors(author: Column, listed: Column) -> Column:
+    """The listed authors, or the one author where none is listed; none at all without that one, as the reference has it."""
+    none = F.array().cast("array<string>")
+    return F.when(F.coalesce(author, F.lit("")) == "", none).when(F.coalesce(F.size(listed), F.lit(0)) > 0, listed).otherwise(F.array(author))
+
+
+def book_metadata(title: Column, author: Column, listed: Column, publisher: Column, date: Column, language: Column, isbn: Column, description: Column, tags: Column, size: Column) -> Column:
+    """A book's metadata under the names that results have."""
+    subjects = F.coalesce(tags, F.array().cast("array<string>"))
+    return F.struct(
+        title.alias("title"), author.alias("author"), authors(author, listed).alias("authors"), publisher.alias("publisher"), date.cast("string").alias("publication_date"), language.alias("language"),
+        isbn.alias("identifier"), description.alias("description"), subjects.alias("subjects"), F.lit("epub").alias("original_format"), size.alias("file_size"),
+    )
+
+
 def document_json(metadata: Column, text: Column, chapters: Column, images: Column) -> Column:
     """A whole result as one JSON string; null fields are left out."""
     return F.to_json(F.struct(metadata.alias("metadata"), text.alias("text"), chapters.alias("chapters"), images.alias("images")))

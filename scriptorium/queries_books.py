@@ -269,3 +269,14 @@ def clean_by_mode(spark, sf_dir):
 def inline_images(spark, sf_dir):
     data = media.inline(F.encode("text", "utf-8"))
     return table(spark, sf_dir, "documents").select("doc_id", data.alias("data"), (F.decode(F.unbase64(data), "utf-8") == F.col("text")).alias("same"))
+
+
+_AUTHOR = "CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE source END"
+
+
+@query(f"SELECT doc_id, {_json_text("{'title': lang || ' ' || CAST(doc_id AS VARCHAR), 'author': a, 'authors': CASE WHEN coalesce(a, '') = '' THEN [] WHEN len(l) > 0 THEN l ELSE [a] END, 'language': lang, 'subjects': [source], 'original_format': 'epub', 'file_size': n_chars}")} AS metadata FROM (SELECT *, coalesce({_AUTHOR}, 'nobody') AS a, CASE doc_id % 3 WHEN 0 THEN CAST([] AS VARCHAR[]) ELSE [source, 'x'] END AS l FROM documents)")
+def book_metadata_json(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").withColumn("a", F.coalesce(F.expr(_AUTHOR), F.lit("nobody"))).withColumn("l", F.when(F.col("doc_id") % 3 != 0, F.array("source", F.lit("x"))).otherwise(F.array().cast("array<string>")))
+    none = F.lit(None).cast("string")
+    fields = reports.book_metadata(F.concat_ws(" ", "lang", F.col("doc_id").cast("string")), F.col("a"), F.col("l"), none, none, F.col("lang"), none, none, F.array("source"), F.col("n_chars"))
+    return rows.select("doc_id", F.to_json(fields).alias("metadata"))
