@@ -41,4 +41,23 @@ WITH probe AS (SELECT -7 AS conv_id, turn, role, '\### Assistant: </turn> ok' AS
   CAST(sum(14 + length(replace(replace(replace(replace(role, '\', '\b'), '<', '\l'), '#', '\h'), ':', '\c')) + length({_TEXT})) AS BIGINT) AS formatted_chars FROM turns GROUP BY conv_id)
 SELECT CAST(conv_id AS BIGINT) AS conv_id, n_turns, turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars FROM said"""
 
-ORACLES = {"op2_mixing": MIXING, "op3_quality": QUALITY, "op5_chat": CHAT}
+EXACT = """
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ groups AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(x.t) AS text_sha256 FROM texts x JOIN groups g ON x.t = g.t"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SEARCH = rf"""
+WITH words AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+ postings AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+ lengths AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM postings GROUP BY doc_id),
+ corpus AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS length FROM lengths),
+ asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)),
+ weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM postings, corpus WHERE term IN (SELECT term FROM asked) GROUP BY term, n_docs),
+ impacts AS (SELECT p.doc_id, p.term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // length))) AS impact
+  FROM postings p JOIN weights w ON p.term = w.term JOIN lengths l ON p.doc_id = l.doc_id, corpus),
+ scores AS (SELECT item_id, doc_id, CAST(sum(impact) AS BIGINT) AS score FROM asked a JOIN impacts i ON a.term = i.term GROUP BY item_id, doc_id),
+ ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50"""
+
+ORACLES = {"op2_mixing": MIXING, "op3_quality": QUALITY, "op5_chat": CHAT, "op11_exact": EXACT, "op12_search": SEARCH}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, htmltext, langid, mixing, packing, pii, quality, simhash, tokenfiles
+from . import chat, contentsort, fingerprints, htmltext, langid, lexical, mixing, packing, pii, quality, simhash, tokenfiles, whitening
 from .oracles import ORACLES  # noqa: F401
 
 
@@ -80,6 +80,21 @@ def op10_pii(spark, sf_dir):
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
+def op11_exact(spark, sf_dir):
+    """Every document with the largest doc_id of its equals; null texts are empty ones, of repeated ids one is kept."""
+    return contentsort.exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op12_search(spark, sf_dir):
+    """The 50 best documents of each benchmark item; items without terms have none, equal scores go by doc_id."""
+    return lexical.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_whitening(spark, sf_dir):
+    """First four whitened components of every embedding; rows with null or non-finite entries go, repeated vectors count once in the fit."""
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark, sf_dir):
     """The five stages of corpus_pipeline over all documents."""
     import corpus_pipeline
@@ -88,6 +103,6 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_mixing, op3_quality, op4_fingerprints, op5_chat, op6_language, op7_token_counts, op8_html, op9_simhash, op10_pii, pipeline)
+    f.__name__: f for f in (op1_packing, op2_mixing, op3_quality, op4_fingerprints, op5_chat, op6_language, op7_token_counts, op8_html, op9_simhash, op10_pii, op11_exact, op12_search, op13_whitening, pipeline)
 }
 
