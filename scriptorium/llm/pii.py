@@ -62,7 +62,7 @@ def base_spans(text: str) -> list[Span]:
     found: list[Span] = [("email", a, b) for a, b in emails(text)] if "@" in text else []
     if not _DIGIT.search(text):
         return found
-    found += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    found += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(n := p.lstrip("0")) <= 3 and int(n or "0") <= 255 for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 12 and 12 <= len(d := _digits(m[0])) <= 19 and luhn(d):
             found.append(("card", m.start(), m.end()))
@@ -408,7 +408,12 @@ def redacted(text: str) -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """All rows with their columns, personal data replaced in text; n_chars, where there is one, follows. Null texts stay null."""
+    """All rows with their columns, personal data replaced in text; n_chars, where there is one, follows.
+
+    Null texts stay null, empty ones empty. Spans that overlap or touch the same characters go as one stretch, under the kind
+    that starts first (then in the order of KINDS). Texts and numbers of any length are read whole; equal rows are
+    redacted one by one; no rows, none.
+    """
     at = docs.columns.index("text")
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 

@@ -583,6 +583,24 @@ def test_disguises(text, span):
         assert span[1] not in pii.redacted(text)
 
 
+NUMBERS = ["0" * 5000 + ".1.2.3", "1.2.3." + "0" * 4999 + "255", "1.2.3." + "0" * 5000 + "256", "9" * 5000 + ".1.1.1", "1.1.1.1." + "7" * 5000, "4" * 5000, "4304 1587 9348 3661 " + "0" * 5000, "+" + "1" * 5000, "+1 (" + "2" * 5000 + ")", "a" * 5000 + "@" + "5" * 5000 + ".de", "one " * 5000 + "dot two", "０" * 5000 + ".１.２.３"]
+
+
+def test_pii_of_very_long_numbers(spark):
+    """Each kind with figures beyond what int() converts: in each kind the result is a span or none, never an error."""
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(list(enumerate(NUMBERS)), "doc_id long, text string")).collect()}
+    assert [got[k].n_ip for k in range(len(NUMBERS))] == [1, 1, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0]
+    assert [got[k].n_email for k in (8, 9)] == [0, 1] and {got[k].n_card + got[k].n_phone for k in got} == {0}
+    assert got[11].spans == "ip:0:5006"
+    texts = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(list(enumerate(NUMBERS)), "doc_id long, text string")).collect()}
+    assert texts[0] == texts[1] == "<IP>" and texts[3] == NUMBERS[3] and texts[9] == "<EMAIL>"
+
+
+def test_pii_of_a_text_of_30_million_characters():
+    text = "see 0012.0.0.1 or a.b@c.de and 4304 1587 9348 3661 " + "word " * 3_000_000 + "0" * 15_000_000 + ".1.2.3"
+    assert [s[0] for s in pii.ordered(pii.base_spans(text))] == ["ip", "email", "card", "ip"] and pii.redacted(text).count("<IP>") == 2
+
+
 def brute_kept(text):
     """The corpus rules, by regular expressions alone."""
     words, lines = W.findall(text), [x for x in text.split("\n") if W.search(x)]
