@@ -1,9 +1,11 @@
 """Main text of web pages by consensus host paths.
 
-Every page's containers are scored by the text they hold that isn't linked or boilerplate. The best
-container, widened until it leaves no such text out, gives a path, generalised to tags and classes: the page's
-vote, cast as the path's hash. Votes are counted for each host in Spark, and every page is extracted again with the
-winning path that holds most text on it. A page whose own best container holds more than any of them uses that.
+Every page's containers are scored by the text they hold that isn't linked or boilerplate. The best one, the page's
+lead, votes for its path, generalised to tags and classes and cast as a hash; what stands beside it, up to the
+container that leaves no text out, votes too, as a part of a page with that lead. Votes are counted for each host in Spark: leads
+that several pages have win, and a part belongs to the article if enough of the lead's pages have it, with texts of their
+own. Every page is extracted again with the winning lead that has most votes, and its parts: unnamed blocks that few pages
+have, or that say the same everywhere, go. Only a page on which the winners hold next to nothing speaks for itself.
 """
 
 from __future__ import annotations
@@ -258,13 +260,23 @@ def _scores(root: Node, order: list[Node], inside: dict[int, int]) -> list[tuple
     return [(s, nodes[k]) for k, s in own.items()]
 
 
-def _best(root: Node) -> tuple[Node | None, dict[int, int]]:
+@dataclass
+class Own:
+    """What a page says by itself: its container with the highest score (lead), the lowest one around it that leaves no text out (whole), and the unlinked characters in each node."""
+
+    lead: Node | None
+    whole: Node | None
+    inside: dict[int, int]
+
+
+def survey(root: Node) -> Own:
+    """An article or main around the lead that holds half of the page's text or more is the outer limit, and lead and whole are one then."""
     order = list(_walk(root))
     inside = _unlinked(order)
     found = _scores(root, order, inside)
     top = max((s for s, _ in found), default=0.0)
     if top <= 0:
-        return None, inside
+        return Own(None, None, inside)
     node = next(n for s, n in found if s == top)
     above = [node]
     while above[-1].parent is not None:
@@ -272,25 +284,129 @@ def _best(root: Node) -> tuple[Node | None, dict[int, int]]:
     if marked := [n for n in above if n.tag in ("article", "main") and 2 * inside[id(n)] >= inside[id(root)]]:
         above = above[: above.index(marked[-1]) + 1]
     most = inside[id(above[-1])]
-    return next(n for n in above if inside[id(n)] == most), inside
+    whole = next(n for n in above if inside[id(n)] == most)
+    return Own(whole if marked else node, whole, inside)
 
 
 def best(root: Node) -> Node | None:
-    """The container with the highest score, or the lowest one around it that leaves no text out; none if nothing has text.
+    """The container with the highest score, or the lowest one around it that leaves no text out; none if nothing has text."""
+    return survey(root).whole
+
+
+#: Step of what stands loose in a container: texts and inline elements, which are one part.
+_LOOSE = "#text"
+
+
+def beside(own: Own) -> dict[int, list]:
+    """The parts of whole that stand beside lead: nodes and texts by the key of their path."""
+    parts: dict[int, list] = {}
+    node = own.lead
+    while node is not own.whole:
+        at, inner, node = node.parent.key, node, node.parent
+        for c in node.children:
+            if isinstance(c, str) or (c.tag in INLINE and not c.noise):
+                if c.strip() if isinstance(c, str) else blocks(c):
+                    parts.setdefault(_next(at, _LOOSE), []).append(c)
+            elif c is not inner and not c.noise and blocks(c):
+                parts.setdefault(_next(at, c.step), []).append(c)
+    return parts
+
+
+def ballot(root: Node) -> list[tuple[int, int | None, int, int]]:
+    """A page's votes (lead, part, page, text): one for its lead, without a part, and one for each part beside it; page and text are hashes of what they hold."""
+    own = survey(root)
+    if own.lead is None:
+        return []
+    digest = lambda text: xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    lead, page = own.lead.key, digest("\n".join(blocks(own.whole)))
+    out: list[tuple[int, int | None, int, int]] = [(lead, None, page, page)]
+    for key, held in beside(own).items():
+        out.append((lead, key, page, digest("\n".join(_SPACE.sub(" ", c).strip() if isinstance(c, str) else "\n".join(blocks(c)) for c in held))))
+    return out
+
+
+def _chosen(leads: list[Node], parts: frozenset) -> list[str]:
+    """Blocks of the leads, and of what stands beside them on paths in `parts`, in page order."""
+    out, line, ends = [], [], {id(n) for n in leads}
+    above = set()
+    for node in leads:
+        while node.parent is not None and id(node.parent) not in above:
+            node = node.parent
+            above.add(id(node))
+
+    def end() -> None:
+        if line and (text := _SPACE.sub(" ", "".join(line)).strip()):
+            out.append(text)
+        line.clear()
+
+    top = leads[0]
+    while top.parent is not None:
+        top = top.parent
+    if id(top) in ends:
+        return blocks(top)
+    stack = [(iter(top.children), 0)]
+    while stack:
+        items, key = stack[-1]
+        for c in items:
+            if isinstance(c, str):
+                if _next(key, _LOOSE) in parts:
+                    line.append(c)
+                continue
+            if id(c) in above or id(c) in ends:
+                end()
+                if id(c) in ends:
+                    out += blocks(c)
+                    continue
+                stack.append((iter(c.children), _next(key, c.step)))
+                break
+            if c.noise:
+                continue
+            if c.tag in INLINE:
+                if _next(key, _LOOSE) in parts:
+                    line.append(" " if c.tag == "br" else "\n".join(blocks(c)) if not _plain(c) else _plain(c))
+                continue
+            end()
+            if _next(key, c.step) in parts:
+                out += blocks(c)
+        else:
+            end()
+            stack.pop()
+    end()
+    return out
+
+
+def _plain(node: Node) -> str:
+    """All text of an inline element that holds no block, spaces as they are; empty if it does."""
+    out, stack = [], [node]
+    while stack:
+        c = stack.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif c.tag == "br":
+            out.append(" ")
+        elif not c.noise:
+            if c.tag not in INLINE:
+                return ""
+            stack.extend(reversed(c.children))
+    return "".join(out)
 
-    An article or main around it that holds half of the page's text or more is the outer limit.
-    """
-    return _best(root)[0]
+
+#: What a winning lead must hold of the text of the page's own lead to decide over it; with less it is a teaser there.
+LEAST_OF_OWN = 0.2
+#: A lead wins with so many pages. With JUDGED different pages or more, a part beside it belongs to the article if PART_SHARE of
+#: them have it and its texts are not the same over and over: more than REPEATED of its pages have one of their own.
+LEAST_VOTES, JUDGED, PART_SHARE, REPEATED = 2, 4, 0.25, 0.25
 
 
 def extract(root: Node, winning) -> str:
-    """Text of the containers on the winning path that holds most of it on this page, or of the page's own best if that holds more.
+    """Text of the winning lead with most votes that holds LEAST_OF_OWN of the page's own lead, with its parts; else what the page says by itself.
 
-    winning has paths or their keys, those with more votes first, which decides between equals; a dict from key to
-    place does too. Characters count as in scores, twice in article and main.
+    winning has paths or their keys, those with more votes first; a dict from key to (place, parts) does too, where
+    parts are the keys of what belongs to the article beside the lead, or None where too few pages were seen to judge: then a page
+    whose own lead it is keeps all.
     """
-    own, inside = _best(root)
-    place = winning if isinstance(winning, dict) else {k if isinstance(k, int) else path_key(k): n for n, k in reversed(list(enumerate(winning)))}
+    own = survey(root)
+    place = winning if isinstance(winning, dict) else {k if isinstance(k, int) else path_key(k): (n, frozenset()) for n, k in reversed(list(enumerate(winning)))}
     found: dict[int, list[Node]] = {}
     if place:
         stack = [(root, 0)]
@@ -299,14 +415,18 @@ def extract(root: Node, winning) -> str:
             if (node.tag in CONTAINERS or node is root) and key in place:
                 found.setdefault(key, []).append(node)
             stack.extend((c, _next(key, c.step)) for c in reversed(node.children) if isinstance(c, Node) and not c.noise)
-    hits = [found[k] for k in sorted(found, key=place.__getitem__)] + ([[own]] if own else [])
-    hits.sort(key=lambda nodes: -sum(_bonus(n) * inside[id(n)] for n in nodes))
-    return next((text for nodes in hits if (text := "\n".join(b for n in nodes for b in blocks(n)))), "")
+    least = LEAST_OF_OWN * own.inside[id(own.lead)] if own.lead else 0
+    for key in sorted(found, key=lambda k: place[k][0]):
+        leads, parts = found[key], place[key][1]
+        if sum(own.inside[id(n)] for n in leads) < least or (own.lead and not sum(own.inside[id(n)] for n in leads)):
+            continue
+        held = blocks(own.whole) if parts is None and own.lead in leads else _chosen(leads, parts or frozenset())
+        if held:
+            return "\n".join(held)
+    return "\n".join(blocks(own.whole)) if own.whole else ""
 
 
-#: A path wins with two votes or more and this share of its host's, so a host has 10,000 winning paths at most.
-LEAST_SHARE = 1e-4
-#: Bytes of all hosts' winning paths up to which every worker holds them all. Beyond it pages meet their host's paths
+#: Bytes of all hosts' winning leads up to which every worker holds them all. Beyond it pages meet their host's leads
 #: by a join, in which a host with more than a HOT-th of all pages (there are fewer than HOT of these) is dealt into parts of that size.
 BROADCAST_BYTES, HOT = 8_000_000, 10_000
 _HOST = r"^(?i)\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
@@ -316,37 +436,55 @@ def signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _places(keys) -> dict[int, int]:
-    return {k % (1 << 64): n for n, k in enumerate(keys or ())}
+def _places(leads) -> dict[int, tuple[int, frozenset | None]]:
+    return {r["lead"] % (1 << 64): (n, None if r["parts"] is None else frozenset(k % (1 << 64) for k in r["parts"])) for n, r in enumerate(leads or ())}
 
 
-def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """page_id, url, text, n_chars of every row: the article's blocks in page order, joined by a newline; empty if there is none.
+def winners(pages: DataFrame) -> DataFrame:
+    """host, all (its votes), leads for rows (host, html): a host's winning leads, those with most votes first, with the parts that belong to them.
 
-    Null or empty html is an empty page, a null or odd url belongs to the host ''. Rows with equal ids are extracted
-    one by one, extra columns are ignored; no pages, no rows. Votes are counted with partial sums, so a hot host
-    gathers no pages; equal votes go by the path's hash.
+    Different pages count, by the hash of their text, so copies of a page have one voice. Counts are partial aggregates; those of
+    different texts are HyperLogLog sketches, the same whenever they are made.
     """
-    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1))
-    hosted = pages.select("page_id", "url", "html", host.alias("host"))
 
     def vote():
         def step(batch: pa.RecordBatch):
             rows = []
             for name, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if (own := best(parse(page.as_py() or ""))) is not None:
-                    rows.append((name, signed(own.key)))
+                rows += [(name, signed(lead), None if part is None else signed(part), signed(seen), signed(text)) for lead, part, seen, text in ballot(parse(page.as_py() or ""))]
             return list(zip(*rows)) if rows else None
 
         return step
 
-    votes = checkpoint(map_batches(hosted.select("host", "html"), vote, "host string, path long").groupBy("host", "path").agg(F.count("*").alias("votes")))
-    total = votes.groupBy("host").agg(F.sum("votes").alias("all"))
-    won = votes.filter("votes > 1").join(total, "host").filter(F.col("votes") >= F.col("all") * LEAST_SHARE)
-    won = checkpoint(won.groupBy("host", "all").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("n"), "path"))).alias("p")).select("host", "all", F.col("p.path").alias("paths")))
+    votes = map_batches(pages.select("host", "html"), vote, "host string, lead long, part long, page long, text long")
+    counted = checkpoint(votes.groupBy("host", "lead", "part").agg(F.count("*").alias("votes"), F.approx_count_distinct("page").alias("n_pages"), F.approx_count_distinct("text").alias("n_texts")))
+    leads = counted.filter("part is null").select("host", "lead", "votes", "n_pages")
+    with_lead = counted.filter("part is not null").join(leads.select("host", "lead", F.col("n_pages").alias("lead_pages")), ["host", "lead"])
+    kept = with_lead.filter((F.col("n_pages") >= PART_SHARE * F.col("lead_pages")) & (F.col("n_texts") > REPEATED * F.col("n_pages")))
+    parts = kept.groupBy("host", "lead").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    none = F.array().cast("array<bigint>")
+    judged = leads.filter(F.col("votes") >= LEAST_VOTES).join(parts, ["host", "lead"], "left")
+    judged = judged.withColumn("parts", F.when(F.col("n_pages") >= JUDGED, F.coalesce("parts", none)))
+    total = leads.groupBy("host").agg(F.sum("votes").alias("all"))
+    listed = judged.groupBy("host").agg(F.sort_array(F.collect_list(F.struct((-F.col("n_pages")).alias("n"), (-F.col("votes")).alias("v"), "lead", "parts"))).alias("leads"))
+    return total.join(listed, "host", "left")
+
+
+def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """page_id, url, text, n_chars of every row: the article's blocks in page order, joined by a newline; empty if there is none.
+
+    Null or empty html is an empty page, a null or odd url belongs to the host ''. Rows with equal ids are extracted
+    one by one, extra columns are ignored; no pages, no rows. Votes are counted with partial sums, so a hot host
+    gathers no pages; equal votes go by the path's hash.
+    """
+    host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1))
+    hosted = pages.select("page_id", "url", "html", host.alias("host"))
+    won = checkpoint(winners(hosted))
+    total = won.select("host", "all")
+    won = won.filter(F.col("leads").isNotNull())
     schema = "page_id long, url string, text string, n_chars long"
-    if (won.agg(F.sum(F.length("host") + 16 * F.size("paths"))).first()[0] or 0) <= broadcast_bytes:
-        known = pages.sparkSession.sparkContext.broadcast({r.host: _places(r.paths) for r in won.collect()})
+    if (won.agg(F.sum(F.length("host") + F.aggregate("leads", F.lit(0), lambda n, x: n + 100 + 40 * F.greatest(F.size(x["parts"]), F.lit(0))))).first()[0] or 0) <= broadcast_bytes:
+        known = pages.sparkSession.sparkContext.broadcast({r.host: _places(r.leads) for r in won.collect()})
 
         def again():
             places = known.value
@@ -365,7 +503,7 @@ def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataF
     spread = won.withColumn("part", F.explode(F.sequence(F.lit(0), F.when(F.col("all") > one, parts - 1).otherwise(0)).cast("array<bigint>")))
 
     def joined_again():
-        held: dict[str, dict[int, int]] = {}
+        held: dict[str, dict] = {}
 
         def step(batch: pa.RecordBatch):
             texts = []
@@ -379,4 +517,4 @@ def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataF
         return step
 
     met = dealt.join(spread, ["host", "part"], "left")
-    return map_batches(met.select("page_id", "url", "html", "host", "paths"), joined_again, schema)
+    return map_batches(met.select("page_id", "url", "html", "host", "leads"), joined_again, schema)

@@ -865,20 +865,80 @@ def test_html_keeps_formulas_and_labels():
 
 
 def test_html_pages_of_rare_layouts(spark):
-    """Five layouts of one host, the rarer ones too; votes that tie; a layout that one page has; an empty table."""
+    """Five layouts of one host, the rarer ones too; votes that tie; a layout that one page has; an empty table. A block that says the same on all pages goes by the votes."""
     text = "The words of this article go on for a while and then they end. "
-    pages = [(f"<body><div class=box-{'abcde'[k % 5]}><p>{text * (k % 3 + 1)}</p></div><div class=box-x><p>blurb</p></div>" if k % 5 else f"<body><article><p>{text * (k % 3 + 1)}</p></article>") for k in range(40)]
-    pages.append(f"<body><section class=odd><p>{text}</p></section>")
+    own = lambda k: f"{text * (k % 3 + 1)}Number {k}."
+    pages = [(f"<body><div class=box-{'abcde'[k % 5]}><p>{own(k)}</p></div><div class=box-x><p>blurb</p></div>" if k % 5 else f"<body><article><p>{own(k)}</p></article>") for k in range(40)]
+    pages.append(f"<body><section class=odd><p>{text}</p></section><div class=box-x><p>blurb</p></div>")
     df = spark.createDataFrame([(k, "https://h.example/x", p, 1) for k, p in enumerate(pages)], "page_id long, url string, html string, path int")
     for size in (0, 10**6):
         got = {r.page_id: r.text for r in htmltext.main_text(df, broadcast_bytes=size).collect()}
-        assert len(got) == 41 and got[40] == text.strip()
+        assert len(got) == 41 and got[40] == text.strip() + "\nblurb"  # no other page votes with this one
         for k in range(40):
-            want = (text * (k % 3 + 1)).strip()
-            assert got[k] == (want if k % 5 == 0 else want + "\nblurb")
+            assert got[k] == own(k)
+            alone = htmltext.extract(htmltext.parse(pages[k]), {})
+            assert alone == (own(k) if k % 5 == 0 else own(k) + "\nblurb")
         assert htmltext.main_text(df.limit(0), broadcast_bytes=size).count() == 0
 
 
+def hosts_for_votes():
+    """(host, html, text of the article) of planted hosts whose pages can't be told from boilerplate one by one."""
+    out = []
+    for k in range(24):
+        body, more = f"Article {k} " + "tells a story of some length. " * (2 + k % 5), f"The second part of article {k}."
+        # a promotion of its own words on every eighth page, and one that is longer than the article on two of them
+        promo = f"<div class=box><p>{('Buy number %d now. ' % k) * (8 if k % 16 == 0 else 2)}</p></div>" if k % 8 == 0 else ""
+        out.append(("promo.example", f"<body><div class=post><p>{body}</p></div>{promo}", body.strip()))
+        # a second part on most pages, headline in a container of its own, loose words between, the same imprint everywhere
+        second = f"<div class=more><p>{more}</p></div>" if k % 4 else ""
+        html = f"<body><div class=wrap><div class=title><h1>Head {k}</h1></div><div class=entry><p>{body}</p></div>By <b>Ann {k}</b>, today{second}</div><div class=box><p>All rights are ours.</p></div>"
+        out.append(("parts.example", html, f"Head {k}\n{body.strip()}\nBy Ann {k}, today" + (f"\n{more}" if k % 4 else "")))
+        # two containers on the winning path
+        out.append(("twice.example", f"<body><div class=post><p>{body}</p></div>" + (f"<div class=post><p>{more}</p></div>" if k % 2 else ""), body.strip() + (f"\n{more}" if k % 2 else "")))
+    # copies of one page have one voice: the promotion on them is no part of the article by their number
+    copy = "<body><div class=post><p>Copied words of an article.</p></div><div class=box><p>Buy this copy.</p></div>"
+    out += [("promo.example", copy, "Copied words of an article.")] * 200
+    return out
+
+
+def test_html_by_votes(spark):
+    planted = hosts_for_votes()
+    df = spark.createDataFrame([(k, f"https://{h}/{k}", page) for k, (h, page, _) in enumerate(planted)], "page_id long, url string, html string").repartition(4)
+    for size in (0, 10**6):
+        got = {r.page_id: r.text for r in htmltext.main_text(df, broadcast_bytes=size).collect()}
+        assert [got[k] for k in range(len(planted))] == [text for *_, text in planted]
+    alone = [htmltext.extract(htmltext.parse(page), {}) for _, page, _ in planted]
+    assert sum(a != text for a, (*_, text) in zip(alone, planted)) >= 27  # what the votes change
+
+
+def brute_votes(pages):
+    """Ballots counted with dictionaries: for each host its winning leads in order, with their parts."""
+    leads, parts = defaultdict(lambda: [0, set()]), defaultdict(lambda: [set(), set()])
+    for host, page in pages:
+        for lead, part, seen, text in htmltext.ballot(htmltext.parse(page)):
+            if part is None:
+                leads[host, lead][0] += 1
+                leads[host, lead][1].add(seen)
+            else:
+                parts[host, lead, part][0].add(seen)
+                parts[host, lead, part][1].add(text)
+    out = defaultdict(list)
+    for (host, lead), (votes, seen) in leads.items():
+        if votes >= 2:
+            mine = frozenset(p for (h, at, p), (s, t) in parts.items() if (h, at) == (host, lead) and 4 * len(s) >= len(seen) and 4 * len(t) > len(s))
+            out[host].append((-len(seen), -votes, htmltext.signed(lead), lead, mine if len(seen) >= 4 else None))
+    return {h: {lead: (n, mine) for n, (*_, lead, mine) in enumerate(sorted(rows, key=lambda r: r[:3]))} for h, rows in out.items()}
+
+
+def test_html_votes_against_brute_force(spark):
+    """Vote and extraction over a whole table and the planted hosts, with nothing of Spark."""
+    table = [(re.search("//([^/]*)", r.url)[1].lower(), r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()] + [(h, page) for h, page, _ in hosts_for_votes()]
+    df = spark.createDataFrame([(k, f"http://{h}/", page) for k, (h, page) in enumerate(table)], "page_id long, url string, html string").repartition(3)
+    won = brute_votes(table)
+    got = {r.page_id: r.text for r in htmltext.main_text(df).collect()}
+    assert [got[k] for k in range(len(table))] == [htmltext.extract(htmltext.parse(page), won.get(h, {})) for h, page in table]
+
+
 def test_html_keeps_all_parts():
     long, short = "The words of the article go on. " * 9, "An intro of some words."
     for page in (
