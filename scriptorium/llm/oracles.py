@@ -5,7 +5,7 @@ from __future__ import annotations
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 MIXING = rf"""
-WITH sized AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS draw FROM documents),
+WITH sized AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS draw, CAST('0x' || substr(md5('mix-1-again:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place FROM documents),
  totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
  weighed AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS weight FROM totals),
  ratios AS (SELECT *, row_number() OVER (ORDER BY 3 * source_size / weight, source) AS nth FROM weighed),
@@ -13,12 +13,14 @@ WITH sized AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, CAST
  chosen AS (SELECT coalesce(min_by(level, nth) FILTER (WHERE 3 * source_size > weight * level), 0) AS level FROM levels),
  goals AS (SELECT source, source_size, least(weight * level, CAST(3 * source_size AS DOUBLE)) AS target FROM weighed, chosen),
  rates AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS times FROM goals),
- wanted AS (SELECT *, target - times * source_size AS more FROM rates),
- drawn AS (SELECT source, draw, CAST(sum(size) AS BIGINT) AS words FROM sized GROUP BY source, draw),
- placed AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY draw) - words / 2 AS middle FROM drawn),
- ends AS (SELECT p.source, max(draw) AS upto FROM placed p JOIN wanted w ON p.source IS NOT DISTINCT FROM w.source WHERE middle <= more GROUP BY p.source)
-SELECT s.doc_id, s.size, w.source_size, w.target, s.size * (w.times + CASE WHEN w.more > 0 AND s.draw <= coalesce(e.upto, -1) THEN 1 ELSE 0 END) AS taken
-FROM sized s JOIN wanted w ON s.source IS NOT DISTINCT FROM w.source LEFT JOIN ends e ON s.source IS NOT DISTINCT FROM e.source"""
+ wanted AS (SELECT *, target - times * source_size AS more, CASE WHEN source_size > 0 THEN (target - times * source_size) / source_size ELSE 0.0 END * 1152921504606846976.0 AS chance FROM rates),
+ drawn AS (SELECT s.doc_id, s.source, size, place, source_size, target, times, more, draw < chance AS hit FROM sized s JOIN wanted w ON s.source IS NOT DISTINCT FROM w.source),
+ needs AS (SELECT source, more - coalesce(sum(size) FILTER (WHERE hit), 0) AS need FROM drawn GROUP BY source, more),
+ places AS (SELECT d.source, place, need, CAST(sum(size) AS BIGINT) AS words FROM drawn d JOIN needs n ON d.source IS NOT DISTINCT FROM n.source WHERE hit = (need < 0) AND size <= abs(need) GROUP BY d.source, place, need),
+ cum AS (SELECT *, sum(words) OVER (PARTITION BY source ORDER BY place) - words / 2 AS middle FROM places),
+ ends AS (SELECT source, need, max(place) AS upto FROM cum WHERE middle <= abs(need) GROUP BY source, need)
+SELECT d.doc_id, d.size, d.source_size, d.target, d.size * (times + CASE WHEN e.upto IS NOT NULL AND size <= abs(e.need) AND hit = (e.need < 0) AND place <= e.upto THEN 1 - CAST(hit AS BIGINT) ELSE CAST(hit AS BIGINT) END) AS taken
+FROM drawn d LEFT JOIN ends e ON d.source IS NOT DISTINCT FROM e.source"""
 
 QUALITY = rf"""
 WITH words AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS l, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
