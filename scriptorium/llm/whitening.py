@@ -26,6 +26,8 @@ from .common import CACHES, checkpoint, gathered, small_batches
 SCALE, COMPONENTS = 256, 4
 #: Columns of a tile, rows of a row-block, and dimensions that the driver's D x D matrix is made for.
 TILE, BLOCK_ROWS, MAX_DIMENSIONS = 32, 512, 4096
+#: Rows from which on a pair of tiles is worth another task; each one hands on a tile of sums.
+SALT_ROWS = 8192
 #: Components whose eigenvalue is below this share of the greatest are flat: nothing to scale.
 FLAT = 1e-12
 
@@ -142,7 +144,7 @@ def covariance(fit: DataFrame, n: int, sums: np.ndarray, tile: int = TILE) -> np
     width = len(sums)
     pairs = -(-width // tile) * (-(-width // tile) + 1) // 2
     partitions = int(fit.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = max(1, -(-4 * partitions // pairs))
+    salts = max(1, min(-(-4 * partitions // pairs), -(-n // SALT_ROWS)))
     mean = np.array([int(s) / n for s in sums])
 
     def run(batches):
@@ -206,12 +208,12 @@ def _identity_error(fit: DataFrame, model: Whitening) -> float:
 
 def fit(x: DataFrame, components: int = COMPONENTS, tile: int = TILE) -> Whitening | None:
     """The whitening of rows (cells, width) of `integral`; None without rows. Vectors that are shorter than the longest count as zero in what they lack."""
-    width = x.agg(F.max("width")).first()[0]
+    width, least = x.agg(F.max("width"), F.min("width")).first()
     if width is None:
         return None
     if width > MAX_DIMENSIONS:
         raise ValueError(f"{width} dimensions; the driver's matrix is made for {MAX_DIMENSIONS}")
-    listed = checkpoint(x.select("cells").distinct()) if x.filter(F.col("width") < width).isEmpty() else checkpoint(_padded(x, width).distinct())
+    listed = checkpoint((x.select("cells") if least == width else _padded(x, width)).distinct())
     n, sums = _sums(listed, width)
     v = covariance(listed, n, sums, tile)
     e, vectors = np.linalg.eigh(v)

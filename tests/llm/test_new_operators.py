@@ -155,7 +155,7 @@ def test_whitening(spark):
     check_whitening(whitening.whitened(twice).collect(), brute_whitening([(r.vec_id, r.embedding) for r in twice.collect()]))
 
 
-def test_covariance_tiles(spark):
+def test_covariance_tiles(spark, monkeypatch):
     """Tiles that don't divide the dimensions, several row-blocks, entries beyond two bytes."""
     rng = np.random.default_rng(5)
     x = rng.integers(-900, 900, (1300, 11))
@@ -164,7 +164,8 @@ def test_covariance_tiles(spark):
     centred = x - x.sum(axis=0) / len(x)
     n, sums = whitening._sums(df, 11)
     assert n == 1300 and list(sums) == x.sum(axis=0).tolist()
-    for tile in (3, 4, 11, 32):
+    for tile, rows in ((3, 8192), (4, 100), (11, 8192), (32, 1)):
+        monkeypatch.setattr(whitening, "SALT_ROWS", rows)
         assert np.allclose(whitening.covariance(df, n, sums, tile), centred.T @ centred / n, rtol=1e-12)
 
 
