@@ -2,7 +2,7 @@
 
 Letters are lower-cased, anything else is one space, and n-grams of one to three code points are hashed
 into a fixed number of buckets. Training sums bucket counts for each language over a bounded hash sample of
-the labelled documents; the matrix of log probabilities (buckets x languages) is broadcast, its size fixed by
+its labelled documents; the matrix of log probabilities (buckets x languages) is broadcast, its size fixed by
 the two bounds below. Scoring is a sparse product in numpy for a batch at a time: the n-grams of all its texts
 are the column indices of one sparse matrix whose rows are the texts, and that times the matrix of log
 probabilities, row by row in bounded pieces, gives all scores. A text longer than BLOCK is scored alone, in blocks.
@@ -21,8 +21,11 @@ from .common import map_batches
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-#: Bound of the sample that the model is fitted on (expected rows, by hash of the id) and of its languages.
-TRAIN_ROWS, MAX_LANGUAGES = 20_000, 500
+#: Bound of the sample that the model is fitted on: expected rows of each language, by hash of id and text. More languages than the
+#: matrix is made for (131 MB) are an error; none is left out.
+LANGUAGE_ROWS, MAX_LANGUAGES = 5_000, 1_000
+#: Hashes are compared in so many steps, far more than a table has rows.
+STEPS = 1 << 48
 #: Code points of a text that are scored at a time, for memory.
 BLOCK = 1 << 18
 #: Numbers of the dense product that are held at a time.
@@ -93,18 +96,21 @@ def has_letters(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
+def train(labelled: DataFrame, language_rows: int = LANGUAGE_ROWS, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Languages and the matrix of log probabilities, from rows (doc_id, text, lang) without null lang.
 
-    The MAX_LANGUAGES most frequent languages are learned (ties by name), rows of others are left out. Null and empty
-    texts teach nothing, repeated rows count each time, extra columns are ignored. No rows give no languages.
+    All rows of a language with language_rows or fewer teach, and about language_rows of one with more. A language that no text
+    with a letter teaches is none of the model's: it would explain best what no other has seen. More than MAX_LANGUAGES are an
+    error. Repeated rows count each time, extra columns are ignored. No rows give no languages.
     """
-    top = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    langs = sorted(r.lang for r in top)
-    share = min(1.0, train_rows / max(1, sum(r.n for r in top)))
-    some = labelled.filter(F.col("lang").isin(langs)) if len(top) == MAX_LANGUAGES else labelled
-    some = some.filter(F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(1_000_000)) < round(share * 1_000_000)) if share < 1 else some
-    place = {lang: k for k, lang in enumerate(langs)}
+    found = labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; the matrix of log probabilities isn't made for them")
+    share = {r.lang: min(1.0, language_rows / r.n) for r in found}
+    some = labelled.select("doc_id", "text", "lang")
+    if any(x < 1 for x in share.values()):
+        drawn = some.sparkSession.createDataFrame([(lang, int(x * STEPS)) for lang, x in share.items()], "lang string, below long")
+        some = some.join(F.broadcast(drawn), "lang").filter(F.pmod(F.xxhash64("doc_id", "text", F.lit("train")), F.lit(STEPS)) < F.col("below"))
 
     def make():
         def step(batch: pa.RecordBatch):
@@ -118,11 +124,15 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, smoothing: float =
         return step
 
     counts = map_batches(some.select("lang", "text"), make, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    matrix = np.full((BUCKETS, max(1, len(langs))), smoothing)
+    silent, place, matrix = set(grams(letters("")).tolist()), {}, np.full((BUCKETS, len(share)), smoothing)
+    heard = set()
     for r in counts.toLocalIterator():  # BUCKETS x MAX_LANGUAGES numbers at most
-        matrix[r.bucket, place[r.lang]] += r.n
-    matrix = np.log(matrix / matrix.sum(axis=0))
-    return langs, matrix.astype(np.float32)
+        matrix[r.bucket, place.setdefault(r.lang, len(place))] += r.n
+        if r.bucket not in silent:
+            heard.add(r.lang)
+    langs = sorted(heard)
+    matrix = matrix[:, [place[lang] for lang in langs]]
+    return langs, np.log(matrix / matrix.sum(axis=0)).astype(np.float32)
 
 
 def product(starts: np.ndarray, columns: np.ndarray, matrix: np.ndarray, piece: int = PIECE) -> np.ndarray:

@@ -724,10 +724,28 @@ def test_language_of_nothing(spark, odd):
 
 
 def test_languages_beyond_the_bound(spark, monkeypatch):
-    """The most frequent languages are learned, ties by name; rows of others teach nothing."""
-    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    """More languages than the matrix is made for are an error, never left out."""
     rows = [(k, "some words", lang) for k, lang in enumerate(["c", "c", "b", "a", "d"])]
-    assert langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))[0] == ["a", "c"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train(df)[0] == ["a", "b", "c", "d"]
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    with pytest.raises(ValueError):
+        langid.train(df)
+
+
+def test_languages_are_drawn_one_by_one(spark):
+    """A language of three rows among 4,000 of another is learned from all three; one without a text of letters is none of the model's."""
+    rows = [(k, f"the words of text {k} in this tongue", "en") for k in range(4000)] + [(5000 + k, "слова этого текста на языке", "ru") for k in range(3)]
+    rows += [(6000, "", "zz"), (6001, None, "zz"), (6002, "... 12 !", "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, matrix = langid.train(df, language_rows=50)
+    assert langs == ["en", "ru"] and matrix.shape[1] == 2
+    preds, _ = langid.score(["Привет мир как дела", "text in words", "slova"], langs, matrix)
+    assert preds[:2] == ["ru", "en"]
+    # about as many rows as asked teach the large language: its rarest n-grams tell how many
+    e_bucket = int(langid.grams(langid.letters("e"), (1,))[1])
+    p_small, p_all = (float(langid.train(df, language_rows=n)[1][e_bucket, 0]) for n in (50, 10_000))
+    assert p_small < p_all - 0.5  # with fewer rows smoothing weighs more
 
 
 def test_token_files_with_control_strings(spark):
