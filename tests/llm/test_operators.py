@@ -474,7 +474,17 @@ def brute_groups(rows):
             out.append(sum(1 << k for k in range(48) if 2 * sum(g >> k & 1 for g in mixed) > len(mixed)))
         return tuple(out)
 
-    prints = [print_of(text) for text in rows]
+    def shingles_of(text):
+        words = W.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
+
+    prints = [(print_of(text), shingles_of(text)) for text in rows]
+    sketches = {x: simhash.prints(text)[2] for (_, x), text in zip(prints, rows)}
+
+    def alike(x, y):  # near the threshold the sketch decides, whose error is another test's
+        exact = len(x & y) / len(x | y)
+        return exact if abs(exact - 0.7) > 0.15 else simhash.alike(sketches[x], sketches[y])
+
     root = {p: p for p in prints}
 
     def find(x):
@@ -482,10 +492,10 @@ def brute_groups(rows):
             x = root[x]
         return x
 
-    for a, b in itertools.combinations(root, 2):
+    for (a, x), (b, y) in itertools.combinations(root, 2):
         apart = [(x ^ y).bit_count() for x, y in zip(a, b)]
-        if min(apart) <= 2 and sum(apart) <= 48:
-            root[find(a)] = find(b)
+        if min(apart) <= 2 and sum(apart) <= 48 and alike(x, y) >= 0.7:
+            root[find((a, x))] = find((b, y))
     return [find(p) for p in prints]
 
 
@@ -527,6 +537,40 @@ def test_one_of_each_recall(spark):
     assert sum(d not in got for d, *_ in copies) >= 0.9 * len(copies)
 
 
+def test_one_of_each_of_one_vocabulary(spark):
+    """Texts with the same words in other orders (logs, forms) all stay; copies among them, exact and near, go, though the family shares its print of words."""
+    import random
+
+    rng = random.Random(11)
+    vocabulary = [f"field{k}" for k in range(60)]
+    rows = []
+    for k in range(120):
+        words = [w for _ in range(12) for w in rng.sample(vocabulary, 60)]
+        rows.append((k, " ".join(words)))
+        if k % 3 == 0:
+            changed = words[:]
+            changed[rng.randrange(len(words))] = vocabulary[0]
+            rows.append((1000 + k, " ".join(changed)))  # alike to 0.98
+        if k % 10 == 0:
+            rows.append((2000 + k, " ".join(words)))
+    assert len({tuple(simhash.prints(t)[0]) for i, t in rows if i < 1000}) == 1
+    got = sorted(r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert [i for i in got if i < 1000] == list(range(120)) and sum(i >= 1000 for i in got) <= 2
+
+
+def test_sketches():
+    def exact(a, b):
+        s = [{tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} for t in (a, b)]
+        return len(s[0] & s[1]) / len(s[0] | s[1])
+
+    short = "a b c d e f g h i j"
+    assert simhash.alike(simhash.prints(short)[2], simhash.prints(short + " k")[2]) == pytest.approx(exact(short, short + " k"))
+    long = " ".join(f"w{k}" for k in range(3000))
+    half = long.replace("w100 ", "x ").replace("w2000 ", "y ") + " z" * 1500
+    assert abs(simhash.alike(simhash.prints(long)[2], simhash.prints(half)[2]) - exact(long, half)) < 0.1
+    assert simhash.alike(b"", b"") == 1 and simhash.alike(b"", simhash.prints("a")[2]) == 0 and simhash.prints(None) == ([0] * 5, [0] * 4, b"")
+
+
 def test_links_and_components(spark):
     fps = [0, 1, 3, 7, 15, 31, 1 << 63, (1 << 63) | 3, 0xFFFF << 20, (0xFFFF << 20) ^ 0b101]
     got = {tuple(sorted((r.a, r.b))) for r in simhash.links(spark.createDataFrame([(simhash.signed(f),) for f in fps], "fp long")).collect()}
