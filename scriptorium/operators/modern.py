@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..plans import rules as R
 from ..plans.session import once
 from . import chapters as C
+from .language import with_proper_noun
 from .text import clean, normalise, strip, word_count
 
 MODES = ("legacy", "modern", "hybrid")
@@ -15,16 +16,25 @@ CANDIDATE = ("start", "method", "title", "confidence")
 
 
 def is_heading(sentence: Column) -> Column:
-    """At most ten words, in title case or capitals. The reference's proper-noun branch needs a tagger and is left out; its patterns never match."""
+    """At most ten words, in title case or capitals; the reference's patterns never match. Its proper-noun branch is sentence_candidates'."""
     return (word_count(sentence) <= 10) & (C.is_title(sentence) | C.is_upper(sentence))
 
 
-def sentence_candidates(df: DataFrame, text: str, key: str) -> DataFrame:
-    """(key, start, method 0, title, confidence) of sentences that look like headings; text is normalised, so one space parts sentences."""
+def sentence_candidates(df: DataFrame, text: str, key: str, proper: DataFrame | None = None) -> DataFrame:
+    """(key, start, method 0, title, confidence) of sentences that look like headings; text is normalised, so one space parts sentences.
+
+    With proper nouns (word), sentences of at most ten words that hold one, capitalised, are headings too; key must tell texts apart then.
+    """
     sentences = df.select(key, F.posexplode(F.split(text, "(?<=[.!?]) ", -1)).alias("_k", "title"))
     before = Window.partitionBy(key).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
     placed = sentences.withColumn("start", F.coalesce(F.sum(F.length("title") + 1).over(before), F.lit(0)).cast("long"))
-    found = placed.filter((F.col("title") != "") & is_heading(F.col("title")))
+    shaped = (F.col("title") != "") & is_heading(F.col("title"))
+    if proper is None:
+        found = placed.filter(shaped)
+    else:  # both branches read what is short; the rest of the text is gone by then
+        short = placed.filter((F.col("title") != "") & (word_count(F.col("title")) <= 10)).withColumn("_shaped", is_heading(F.col("title")))
+        named = with_proper_noun(short.filter(~F.col("_shaped")), proper, "title", key, "_k").withColumn("_named", F.lit(True))
+        found = short.join(named, [key, "_k"], "left").filter(F.col("_shaped") | F.col("_named"))
     return found.select(key, "start", F.lit(0).alias("method"), "title", C.heading_confidence(F.col("title")).alias("confidence"))
 
 
@@ -38,9 +48,9 @@ def structural_candidates(df: DataFrame, text: str, key: str) -> DataFrame:
     return rows.select(key, (F.expr("locate(title, _t)") - 1).cast("long").alias("start"), F.lit(1).alias("method"), "title", F.lit(0.6).alias("confidence"))
 
 
-def candidates(df: DataFrame, text: str, key: str) -> DataFrame:
+def candidates(df: DataFrame, text: str, key: str, proper: DataFrame | None = None) -> DataFrame:
     """Sentence and structural candidates, repeated ones too."""
-    return sentence_candidates(df, text, key).unionByName(structural_candidates(df, text, key))
+    return sentence_candidates(df, text, key, proper).unionByName(structural_candidates(df, text, key))
 
 
 def by_candidates(df: DataFrame, found: DataFrame, text: str, key: str) -> DataFrame:
@@ -65,12 +75,12 @@ def by_candidates(df: DataFrame, found: DataFrame, text: str, key: str) -> DataF
     return C.measured(listed.select(key, F.explode("_s").alias("s")).select(key, "s.*"))
 
 
-def modern(df: DataFrame, text: str, key: str, toc: DataFrame | None = None) -> DataFrame:
-    """Normalised text, then the table of contents if there is one, else candidates."""
+def modern(df: DataFrame, text: str, key: str, toc: DataFrame | None = None, proper: DataFrame | None = None) -> DataFrame:
+    """Normalised text, then the table of contents if there is one, else candidates, with those of proper nouns if these are given."""
     cleaned = once(df.select(key, F.col(text).alias("_raw")), "_text", normalise(F.col("_raw"))).select(key, "_text")
     if toc is not None:
         return C.by_toc(cleaned, toc, "_text", key)
-    return by_candidates(cleaned, candidates(cleaned, "_text", key), "_text", key)
+    return by_candidates(cleaned, candidates(cleaned, "_text", key, proper), "_text", key)
 
 
 def legacy(df: DataFrame, text: str, key: str) -> DataFrame:

@@ -665,4 +665,4 @@ def daily_events(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
 
 
-from . import queries_books, queries_jobs  # noqa: E402, F401  (they register theirs)
+from . import queries_books, queries_jobs, queries_language  # noqa: E402, F401  (they register theirs)
