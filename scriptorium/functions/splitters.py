@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.session import reachable
+
 # Separators in order, the size of a chunk and of the overlap.
 SEPARATORS = ("\n\n\n", "\n\n", "\n", ". ", " ", "")
 SIZE, OVERLAP = 4000, 200
@@ -57,6 +59,8 @@ def split(text: str, size: int = SIZE, overlap: int = OVERLAP, separators: tuple
 
 def recursive_chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """split() as a column; null texts have no chunks."""
+    if session := SparkSession.getActiveSession():
+        reachable(session)
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:

@@ -100,8 +100,8 @@ def keep_long(df: DataFrame, min_words: int = 100) -> DataFrame:
     return df.filter(F.col("word_count") >= min_words)
 
 
-def split_long(df: DataFrame, max_words: int = 5000) -> DataFrame:
-    """Chapters above max_words in windows of words, titled `t - Part k`; others keep title, text and count. Adds part (from 1)."""
+def split_long(df: DataFrame, max_words: int = 5000, parts_in: str | None = None) -> DataFrame:
+    """Chapters above max_words in windows of words, titled `t - Part k`; others keep title, text and count. Adds part (from 1), and the number of parts in a column of the name given."""
     words = F.regexp_extract_all(F.col("content"), F.lit(f"[^{R.STRIP}]+"), F.lit(0))
 
     def window(i):
@@ -113,7 +113,8 @@ def split_long(df: DataFrame, max_words: int = 5000) -> DataFrame:
     parts = once(df, "_w", F.when(long, words)).withColumn("_p", F.when(long, F.transform(F.sequence(F.lit(0), last), window)).otherwise(whole))
     parts = parts.select("*", F.posexplode("_p").alias("_k", "_c"))
     title = F.when(F.size("_p") > 1, F.concat("title", F.lit(" - Part "), (F.col("_k") + 1).cast("string"))).otherwise(F.col("title"))
-    out = parts.withColumn("title", title).withColumn("content", F.col("_c.c")).withColumn("word_count", F.col("_c.n")).withColumn("part", (F.col("_k") + 1).cast("long")).drop("_w", "_p", "_k", "_c")
+    out = parts.withColumn("title", title).withColumn("content", F.col("_c.c")).withColumn("word_count", F.col("_c.n")).withColumn("part", (F.col("_k") + 1).cast("long"))
+    out = (out.withColumn(parts_in, F.size("_p").cast("long")) if parts_in else out).drop("_w", "_p", "_k", "_c")
     return out.withColumn("estimated_duration", F.round(F.col("word_count") / WORDS_A_MINUTE, 6))
 
 
@@ -152,11 +153,18 @@ def heading_confidence(title):
 
 
 def nms(candidates, near: int = 100, least: float = 0.6):
-    """Greedy filter of an array of (start, confidence, title) in order of start: of two closer than `near`, the more confident stays."""
-    def step(kept, c):
-        close = F.filter(kept, lambda k: F.abs(c["start"] - k["start"]) < near)
-        first = F.get(close, F.lit(0))
-        replaced = F.concat(F.filter(kept, lambda k: k != first), F.array(c))
-        return F.when(c["confidence"] < least, kept).when(F.size(close) == 0, F.concat(kept, F.array(c))).when(c["confidence"] > first["confidence"], replaced).otherwise(kept)
+    """Greedy filter of an array of (start, confidence, title) in order of start: of two closer than `near`, the more confident stays.
 
-    return F.aggregate(candidates, F.array().cast(CANDIDATES), step)
+    What lies `near` or more before a candidate can't meet it or any later one, so only the rest of what is kept is looked at.
+    """
+    def step(kept, c):
+        still = F.filter(kept["last"], lambda k: c["start"] - k["start"] < near)
+        past = F.filter(kept["last"], lambda k: c["start"] - k["start"] >= near)
+        done = F.when(F.size(past) == 0, kept["done"]).otherwise(F.concat(kept["done"], past))
+        first = F.get(still, F.lit(0))
+        replaced = F.concat(F.filter(still, lambda k: k != first), F.array(c))
+        last = F.when(F.size(still) == 0, F.array(c)).when(c["confidence"] > first["confidence"], replaced).otherwise(still)
+        return F.when(c["confidence"] < least, kept).otherwise(F.struct(done.alias("done"), last.alias("last")))
+
+    none = F.array().cast(CANDIDATES)
+    return F.aggregate(candidates, F.struct(none.alias("done"), none.alias("last")), step, lambda kept: F.concat(kept["done"], kept["last"]))

@@ -37,12 +37,20 @@ def best_descriptions(descriptions: DataFrame, least: float = 0.5) -> DataFrame:
     return descriptions.filter(F.col("confidence") > least).groupBy("image_name").agg(F.max_by("description", "seq").alias("description"))
 
 
+def _buckets(best: DataFrame, n: int) -> Column:
+    """All names as one array: place h holds the (image_name, description) whose name's hash is h modulo the array's size, so a look-up doesn't depend on how many there are."""
+    size = 1 << max(0, (n - 1).bit_length())
+    held = best.groupBy(F.pmod(F.xxhash64("image_name"), F.lit(size)).alias("id")).agg(F.sort_array(F.collect_list(F.struct("image_name", "description"))).alias("b"))
+    every = best.sparkSession.range(size).join(held, "id", "left")
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("b", F.array().cast("array<struct<image_name: string, description: string>>")).alias("b")))), lambda x: x["b"])).scalar()
+
+
 def integrate(texts: DataFrame, descriptions: DataFrame, key: str, text: str = "text", least: float = 0.5, spellings: tuple[str, ...] = SPELLINGS) -> DataFrame:
     """Puts descriptions (image_name, description, confidence, seq) in place of their placeholders, in any of the spellings.
 
-    A text's bracketed names are looked up in a map of all descriptions while that is small, so texts are read once
-    and stay where they are; beyond that names and descriptions meet by a join, for which key must tell texts
-    apart. Replacement is a fold over the few names of a text. Texts without any keep theirs.
+    A text's bracketed names are looked up in a table of all descriptions by their hash while that is small, so texts are read once
+    and stay where they are; beyond that names and descriptions meet by a join. Either way gives the same for every row, with null
+    and equal keys too: a row is known by the hash of its key and text. Replacement is a fold over the few names of a text. Texts without any keep theirs.
     """
     best = best_descriptions(descriptions, least)
     names = F.array_sort(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(_NAMES), F.lit(1))))
@@ -54,14 +62,16 @@ def integrate(texts: DataFrame, descriptions: DataFrame, key: str, text: str = "
             t = F.replace(t, F.concat(F.lit(a), p["image_name"], F.lit(b)), new)
         return t
 
-    size = best.agg(F.sum(F.octet_length("image_name") + F.octet_length("description"))).first()[0] or 0
-    if size <= MAP_BYTES:
-        looked = texts.withColumn("_known", best.agg(F.map_from_entries(F.collect_list(F.struct("image_name", "description")))).scalar())
-        found = F.filter(F.transform(names, lambda n: F.struct(n.alias("image_name"), F.try_element_at("_known", n).alias("description"))), lambda p: p["description"].isNotNull())
-        return looked.withColumn(text, F.aggregate(found, F.col(text), put)).drop("_known")
-    found = texts.select(key, F.explode(names).alias("image_name"))
-    pairs = found.join(best, "image_name").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("image_name", "description"))).alias("_pairs"))
-    return texts.join(pairs, key, "left").withColumn(text, F.when(F.col("_pairs").isNull(), F.col(text)).otherwise(F.aggregate("_pairs", F.col(text), put))).drop("_pairs")
+    n, size = best.agg(F.count("*"), F.sum(F.octet_length("image_name") + F.octet_length("description"))).first()
+    if (size or 0) <= MAP_BYTES:
+        buckets = F.col("_known")
+        own = lambda name: F.filter(F.get(buckets, F.pmod(F.xxhash64(name), F.size(buckets)).cast("int")), lambda p: p["image_name"] == name)
+        looked = texts.withColumn("_known", _buckets(best, n))
+        return looked.withColumn(text, F.aggregate(F.flatten(F.transform(names, own)), F.col(text), put)).drop("_known")
+    row = F.xxhash64(key, text)
+    found = texts.select(row.alias("_row"), F.explode(names).alias("image_name")).distinct()
+    pairs = found.join(best, "image_name").groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("image_name", "description"))).alias("_pairs"))
+    return texts.withColumn("_row", row).join(pairs, "_row", "left").withColumn(text, F.when(F.col("_pairs").isNull(), F.col(text)).otherwise(F.aggregate("_pairs", F.col(text), put))).drop("_pairs", "_row")
 
 
 def integrate_chapters(chapters: DataFrame, descriptions: DataFrame, key: str, least: float = 0.5) -> DataFrame:

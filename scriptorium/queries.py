@@ -240,10 +240,8 @@ def chapter_files(spark, sf_dir):
 
 @query(f"SELECT book_id, printf('chapter_%03d_', chapter_num) || substr(replace(regexp_replace(title, '[^\\p{{L}}\\p{{N}} _-]', '', 'g'), ' ', '_'), 1, 20) || CASE WHEN n > 1 THEN printf('_part_%02d', part) ELSE '' END AS chunk_id FROM (SELECT *, count(*) OVER (PARTITION BY book_id, chapter_num) AS n FROM ({SPLIT.replace(chr(39) + ' - Part ' + chr(39), chr(39) + ' ' + chr(39))}))")
 def chunk_ids(spark, sf_dir):
-    parts = C.split_long(chapters(spark, sf_dir), 200)
+    counted = C.split_long(chapters(spark, sf_dir), 200, parts_in="n")
     title = F.replace(F.col("title"), F.lit(" - Part "), F.lit(" "))
-    n = F.col("book_id").isNotNull()
-    counted = parts.join(parts.groupBy("book_id", "chapter_num").agg(F.count("*").alias("n")), ["book_id", "chapter_num"]).filter(n)
     part = F.when(F.col("n") > 1, F.format_string("_part_%02d", "part")).otherwise("")
     return counted.select("book_id", F.concat(F.format_string("chapter_%03d_", "chapter_num"), T.slug(title), part).alias("chunk_id"))
 

@@ -14,6 +14,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.session import reachable
+
 IMAGE = "struct<file_path: string, alt_text: string, position: bigint, format: string>"
 METADATA = "title string, author string, authors array<string>, publisher string, publication_date string, language string, identifier string, description string, subjects array<string>, original_format string, file_size long"
 BOOK = f"path string, {METADATA}, content string, chapters array<struct<title: string, content: string, word_count: bigint>>, images array<string>, image_info array<{IMAGE}>, error string"
@@ -84,8 +86,9 @@ def parse(data: bytes) -> dict:
         }
 
 
-def read_epub(spark: SparkSession, path: str) -> DataFrame:
+def read_epub(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row for each file; a file that can't be read has an error and no chapters, and the others go on."""
+    reachable(spark)
 
     def run(frames):
         for frame in frames:

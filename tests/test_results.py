@@ -186,6 +186,91 @@ def test_books(spark, tmp_path, capsys):
     assert cli.convert(spark, str(tmp_path / "a.epub"), str(out), resume=True).count() == 0
 
 
+def test_books_of_one_name(spark, tmp_path, monkeypatch, capsys):
+    """Two books of one stem keep apart, the first run may resume, another folder's book of that name isn't taken for done, and the working folder doesn't matter."""
+    for folder, title in (("p", "First"), ("q", "Second")):
+        (tmp_path / folder).mkdir()
+        book(tmp_path / folder / "x.epub", title, f"{title} text of some words")
+    book(tmp_path / "p/y.epub", "Third", "third")
+    (tmp_path / "q/z.epub").write_bytes(b"no book")
+    monkeypatch.chdir(tmp_path)
+    out = tmp_path / "new"
+    pair = [f"{tmp_path}/p/x.epub", f"{tmp_path}/q/x.epub"]
+    cli.convert(spark, pair, str(out), resume=True).collect()
+    texts = {f.name: f.read_text() for f in out.glob("*.txt") if "_toc" not in f.name}
+    assert sorted(texts.values()) == ["First text of some words", "Second text of some words"] and all(n.startswith("x-") for n in texts)
+    assert {json.loads(f.read_text())["title"] for f in out.glob("*_metadata.json")} == {"First", "Second"}
+    assert cli.convert(spark, pair, str(out), resume=True).count() == 0
+    one = tmp_path / "one"
+    cli.convert(spark, pair[0], str(one)).collect()
+    assert (one / "x.txt").read_text().startswith("First")
+    assert cli.convert(spark, pair[0], str(one), resume=True).count() == 0 and cli.convert(spark, pair[1], str(one), resume=True).count() > 0
+    cli.convert(spark, f"{tmp_path}/p/y.epub", str(one), min_words=100).collect()
+    assert (one / "y.txt").read_text() == ""  # short, but not lost
+
+
+def test_batch(spark, tmp_path, monkeypatch, capsys):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        book(tmp_path / f"in/b{k}.epub", f"T{k}", f"words of book {k}")
+    (tmp_path / "in/bad.epub").write_bytes(b"no book")
+    patterns, out = [f"{tmp_path}/in", f"{tmp_path}/in/b*.epub", f"{tmp_path}/none/*.epub"], tmp_path / "out"
+    totals, unknown = cli.batch(spark, patterns, str(out), dry_run=True)
+    assert [p.rsplit("/", 1)[1] for p in totals["files"]] == ["b0.epub", "b1.epub", "b2.epub", "bad.epub"] and unknown == patterns[2:] and not out.exists()
+    totals, _ = cli.batch(spark, patterns, str(out), limit=2, min_words=1)
+    assert (totals["total_files"], totals["successful"], totals["failed"]) == (2, 2, 0) and not (out / "b2.txt").exists()
+    totals, _ = cli.batch(spark, patterns, str(out), resume=True, min_words=1)
+    assert (totals["total_files"], totals["successful"], totals["failed"], totals["skipped"]) == (4, 1, 1, 2) and (out / "b2.txt").read_text() == "words of book 2"
+    rows = [json.loads(line) for f in (out / "batch_files").glob("*.json") for line in f.read_text().splitlines()]
+    assert {(r["file"].rsplit("/", 1)[1], r["success"]) for r in rows} == {("b2.epub", True), ("bad.epub", False)} and "BadZipFile" in next(r["error"] for r in rows if not r["success"])
+    assert json.loads((out / "batch_summary.json").read_text())["batch_processing"]["total_characters_extracted"] == 15
+    assert cli.batch(spark, [f"{tmp_path}/none"], str(out))[0]["total_files"] == 0
+    assert cli.main(["version"]) == 0 and cli.VERSION in capsys.readouterr().out
+
+
+def test_models_are_made_once(spark, tmp_path):
+    from scriptorium.functions import engines
+
+    df = spark.createDataFrame([("a",), (None,), ("bb",)], "t string").repartition(1)
+    assert len(df.select(engines.speech(F.col("t"), "none").alias("s")).collect()) == 3
+    assert df.select(engines.describe(F.col("t").cast("binary"), F.col("t"), "naming").alias("d")).select("d.confidence").distinct().count() == 1
+
+
+def test_integrate_both_ways(spark, monkeypatch):
+    """A small and a large table of descriptions give the same, for rows with null, equal and hot keys too."""
+    texts = spark.createDataFrame([(None, "see [IMAGE: a.png]"), (None, "and ![b.png]"), (1, "![Image of a.png] ![a.png]"), (1, "[IMAGE: c.png]"), (2, None), (3, "none"), (3, "none")], "k long, text string").repartition(3)
+    known = spark.createDataFrame([("a.png", "a cat", 0.9, 1), ("a.png", "a dog", 0.4, 2), ("b.png", "b", 0.8, 1), *((f"n{k}", f"d{k}", 0.9, k) for k in range(300))], "image_name string, description string, confidence double, seq long")
+    want = sorted([(None, "see [IMAGE DESCRIPTION: a cat]"), (None, "and [IMAGE DESCRIPTION: b]"), (1, "[IMAGE DESCRIPTION: a cat] [IMAGE DESCRIPTION: a cat]"), (1, "[IMAGE: c.png]"), (2, None), (3, "none"), (3, "none")], key=str)
+    for most in (media.MAP_BYTES, 0):
+        monkeypatch.setattr(media, "MAP_BYTES", most)
+        assert sorted(map(tuple, media.integrate(texts, known, "k").collect()), key=str) == want
+        assert media.integrate(texts, known.limit(0), "k").count() == 7
+
+
+def test_greedy_filter_is_the_plain_one(spark):
+    """Against a version that compares each candidate with all that are kept."""
+    import random
+
+    from scriptorium.operators import chapters as C
+
+    def plain(rows):
+        kept = []
+        for c in rows:
+            if c[1] < 0.6:
+                continue
+            close = [k for k in kept if abs(c[0] - k[0]) < 100]
+            if not close:
+                kept.append(c)
+            elif c[1] > close[0][1]:
+                kept = [k for k in kept if k != close[0]] + [c]
+        return kept
+
+    rng = random.Random(4)
+    lists = [sorted((rng.randrange(3000), rng.choice((0.5, 0.6, 0.7, 0.9)), f"t{j % 3}") for j in range(n)) for n in (0, 1, 40, 200, 400)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], f"k int, c {C.CANDIDATES}")
+    assert {r.k: [tuple(c) for c in r.kept] for r in df.select("k", C.nms(F.col("c")).alias("kept")).collect()} == {k: plain(x) for k, x in enumerate(lists)}
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("x/a.txt", "é"), ("b.txt", ""), ("c.txt", None)], "name string, text string")
     assert {(r.file, r.bytes) for r in files.write_files(df, f"file://{tmp_path}", "name", "text").collect()} == {("x/a.txt", 2), ("b.txt", 0)}
