@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions import images
-from .operators import progress, reports
+from .operators import audio, automata, progress, reports
 from .operators import text as T
 from .queries import _FOLD, EVENTS, progress_events, query, table, wc
 from .sinks import files
@@ -123,8 +123,31 @@ def audio_files(spark, sf_dir):
 @query("SELECT label, CAST(count(DISTINCT vec_id) AS BIGINT) AS clips, CAST(sum(len(embedding)) AS BIGINT) AS n, round(CAST(list(embedding ORDER BY vec_id)[1][1] AS DOUBLE), 6) AS head, round(CAST(list(embedding ORDER BY vec_id)[-1][-1] AS DOUBLE), 6) AS tail FROM embeddings GROUP BY label")
 def streamed_audio(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    joined = live.joined_chunks(rows, "label", "vec_id", "embedding").join(rows.groupBy("label").agg(F.count_distinct("vec_id").alias("clips")), "label")
-    return joined.select("label", "clips", F.size("samples").cast("long").alias("n"), F.round(F.element_at("samples", 1).cast("double"), 6).alias("head"), F.round(F.element_at("samples", -1).cast("double"), 6).alias("tail"))
+    joined = audio.recording_info(audio.crossfaded(rows, "label", "vec_id", "embedding", 0), "label").join(rows.groupBy("label").agg(F.count_distinct("vec_id").alias("clips")), "label")
+    return joined.select("label", "clips", "n", F.round("head", 6).alias("head"), F.round("tail", 6).alias("tail"))
+
+
+_FADED = "list_reduce(list(CAST(embedding AS DOUBLE[]) ORDER BY vec_id), lambda a, b: a[: len(a) - 16] || list_transform(range(1, 17), lambda i: a[len(a) - 16 + i] * (1 - i / 17.0::DOUBLE) + b[i] * (i / 17.0::DOUBLE)) || b[17:])"
+
+
+@query(f"SELECT label, CAST(unnest(range(len(l))) AS BIGINT) AS pos, round(unnest(l), 6) AS sample FROM (SELECT label, {_FADED} AS l FROM embeddings GROUP BY label)")
+def clip_sequence(spark, sf_dir):
+    """The clips of each label as one recording, each fading into the next over 16 samples."""
+    frames = audio.crossfaded(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", 16, 1000)
+    return audio.samples_of(frames, "label", 1000).select("label", "pos", F.round("sample", 6).alias("sample"))
+
+
+#: Messages of engines, by the kind and number of an event.
+_MESSAGE = "CASE WHEN event_type = 'error' AND event_id % 5 = 0 THEN 'MTLCommandBuffer: commit call failed' WHEN event_type = 'error' THEN 'voice not found' WHEN event_type = 'purchase' AND event_id % 11 = 0 THEN 'Metal' ELSE event_type END"
+_GRAPHICS = " OR ".join(f"contains(message, '{p}')" for p in automata.GRAPHICS_ERRORS)
+
+
+@query(f"""SELECT event_id, engine, errors, CAST(CASE WHEN errors = 0 THEN 0 WHEN errors < 3 THEN 1 ELSE 2 END AS INTEGER) AS level FROM (SELECT event_id, engine, CAST(least(3, sum(CASE WHEN {_GRAPHICS} THEN 1 ELSE 0 END) OVER (PARTITION BY engine ORDER BY ts, event_id)) AS INTEGER) AS errors
+ FROM (SELECT event_id, ts, user_id % 7 AS engine, {_MESSAGE} AS message FROM events))""")
+def engine_degradation(spark, sf_dir):
+    """Level of each engine after every event, in blocks of days."""
+    rows = table(spark, sf_dir, "events").selectExpr("event_id", "ts", "user_id % 7 AS engine", f"{_MESSAGE} AS message").withColumn("day", F.to_date("ts")).withColumn("at", F.struct("ts", "event_id"))
+    return automata.degradation(rows, "engine", "day", "at", "message").select("event_id", "engine", "errors", "level")
 
 
 _PIXELS = "SELECT vec_id, CAST(floor(unnest(embedding) * 8) AS BIGINT) AS color FROM embeddings"
