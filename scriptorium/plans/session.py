@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import weakref
 import zipfile
 
@@ -33,6 +34,18 @@ def reachable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files between two steps, within spark.checkpoint.dir, which the driver and all executors see.
+
+    Only a local session that names no such folder gets a temporary one; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(named or tempfile.mkdtemp(prefix='scratch-')).rstrip('/')}/scriptorium-{uuid.uuid4().hex}"
+
+
 #: Bytes (as Spark estimates them) up to which a table counts as small: it may lie in one row group and so be one core's work.
 SMALL_BYTES = 256 << 20
 

@@ -8,6 +8,7 @@ from .functions import images
 from .operators import audio, automata, progress, reports
 from .operators import text as T
 from .queries import _FOLD, EVENTS, progress_events, query, table, wc
+from .plans.session import scratch
 from .sinks import files
 from .sources import catalogue
 from .streaming import events as live
@@ -167,6 +168,47 @@ def dominant_color(spark, sf_dir):
     return images.dominant_color(_pixels(spark, sf_dir), "vec_id", "pixels")
 
 
+#: A picture of every vector, a pixel for each entry: its level v as red v, green 255 - v and blue v // 2.
+_LEVELS = "list_transform(embedding, lambda x: CAST(least(255, floor(abs(x) * 16) * 16) AS BIGINT))"
+_RGB = f"SELECT vec_id, len(l) AS n, unnest(list_transform(l, lambda v: v * 65536 + (255 - v) * 256 + v // 2)) AS color FROM (SELECT vec_id, {_LEVELS} AS l FROM embeddings)"
+
+
+def _pictures(spark, sf_dir):
+    """The pictures written as PNG files in the shared folder, and read again by Spark's image source."""
+    level = lambda x: F.least(F.lit(255), F.floor(F.abs(x) * 16) * 16)
+    hexes = lambda x: F.concat(F.lpad(F.hex(level(x)), 2, "0"), F.lpad(F.hex(255 - level(x)), 2, "0"), F.lpad(F.hex(F.floor(level(x) / 2)), 2, "0"))
+    rows = table(spark, sf_dir, "embeddings").filter(F.size("embedding") > 0)
+    raw = rows.select(F.concat(F.col("vec_id").cast("string"), F.lit(".png")).alias("path"), F.size("embedding").alias("width"), F.lit(1).alias("height"), F.unhex(F.array_join(F.transform("embedding", hexes), "")).alias("rgb"))
+    folder = scratch(spark)
+    files.write_files(images.encoded(raw), folder, "path", "png").agg(F.sum("bytes")).collect()
+    read = images.read_pixels(spark, folder)
+    return read.withColumn("path", F.regexp_extract("path", r"(\d+)\.png$", 1))
+
+
+@query(f"SELECT vec_id, color, n FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, color) AS r FROM (SELECT vec_id, color, count(*) AS n FROM ({_RGB}) GROUP BY 1, 2)) WHERE r = 1")
+def picture_main_color(spark, sf_dir):
+    """Most frequent color of each decoded picture."""
+    return images.main_color(_pictures(spark, sf_dir)).select(F.col("path").cast("long").alias("vec_id"), "color", "n")
+
+
+@query(f"SELECT vec_id, color, count(*) AS n FROM ({_RGB}) GROUP BY 1, 2")
+def picture_colors(spark, sf_dir):
+    return images.colors(_pictures(spark, sf_dir)).select(F.col("path").cast("long").alias("vec_id"), "color", "n")
+
+
+_SIDES = "doc_id, text, n_chars % 700 + 1 AS w, doc_id * 37 % 600 + 1 AS h, CASE WHEN doc_id % 9 > 0 THEN doc_id * 1048573 % 16777216 END AS c"
+_SHOWN = " ".join(f"WHEN {' OR '.join(f'contains(low, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{said}'" for words, said in images.SHOWN)
+
+
+@query(f"""SELECT doc_id, CASE WHEN length(d) > 40 THEN substr(d, 1, 37) || '...' ELSE d END AS description, round(0.75 + CAST('0x' || substr(md5(CAST(w AS VARCHAR) || 'x' || CAST(h AS VARCHAR)), 1, 6) AS BIGINT) % 25 / 100.0, 6)::DOUBLE AS confidence
+ FROM (SELECT doc_id, w, h, 'A ' || CASE WHEN w > h THEN 'landscape' WHEN h > w THEN 'portrait' ELSE 'square' END || ' ' || CASE WHEN c IS NULL THEN 'colored' WHEN r > g AND r > b THEN 'reddish' WHEN g > r AND g > b THEN 'greenish' WHEN b > r AND b > g THEN 'bluish' ELSE 'neutral-toned' END || ' image' || CASE {_SHOWN} ELSE '' END AS d
+ FROM (SELECT *, c // 65536 AS r, c // 256 % 256 AS g, c % 256 AS b, lower(coalesce(text, '')) AS low FROM (SELECT {_SIDES} FROM documents)))""")
+def picture_description(spark, sf_dir):
+    """What size, color and context say of a picture, cut to 40 characters."""
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", "n_chars % 700 + 1 AS w", "doc_id * 37 % 600 + 1 AS h", "CASE WHEN doc_id % 9 > 0 THEN doc_id * 1048573 % 16777216 END AS c")
+    return rows.select("doc_id", images.plain_description(F.col("w"), F.col("h"), F.col("c"), F.col("text"), 40).alias("d")).select("doc_id", "d.*")
+
+
 # ---- progress ---------------------------------------------------------------------------------------------------
 
 _STATUS = f"""SELECT f.pipeline, f.total_items, f.completed_items, f.errors, f.warnings, round(CASE WHEN total_items > 0 THEN least(100.0, 100.0 * completed_items / total_items) ELSE 0.0 END, 6) AS percent, round(elapsed, 6) AS elapsed,
