@@ -65,7 +65,9 @@ def convert(spark: SparkSession, path: str | list[str], folder: str, form: str =
     suffix = "json" if form == "json" else "txt"
     if resume:
         books = _not_done(spark, books, folder, suffix)
-    parts = C.keep_long(C.split_long(modern.process(books.select("base", "content"), "content", "base", mode), max_words), min_words)
+    texts = books.select("base", "content")
+    found = modern.process(texts, "content", "base", mode) if mode == "legacy" else modern.with_contents(texts, "content", "base", epub.contents(books, "base"), mode)
+    parts = C.keep_long(C.split_long(found, max_words), min_words)
     chapters = C.renumber(parts, "base")
     fields = F.struct("chapter_num", "title", "content", "word_count", "estimated_duration")
     listed = chapters.groupBy("base").agg(F.sort_array(F.collect_list(fields)).alias("chapters"))

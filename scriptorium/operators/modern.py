@@ -104,6 +104,12 @@ def process(df: DataFrame, text: str, key: str, mode: str = "legacy", toc: DataF
     return modern(cleaned, "_cleaned", key, toc) if toc is not None else legacy(cleaned, "_cleaned", key)
 
 
+def with_contents(df: DataFrame, text: str, key: str, toc: DataFrame, mode: str = "modern") -> DataFrame:
+    """process() for texts of which some have contents: those with entries in toc (key, pos, title) go by them, the others as if there were none."""
+    have = toc.select(key).distinct()
+    return process(df.join(have, key, "left_semi"), text, key, mode, toc).unionByName(process(df.join(have, key, "left_anti"), text, key, mode))
+
+
 def clean_only(text: Column, mode: str = "legacy") -> Column:
     """The cleaned text without chapters: normalised in mode modern, else by the rules. An unknown mode raises ValueError."""
     if mode not in MODES:

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from ..plans.session import reachable
 
 IMAGE = "struct<file_path: string, alt_text: string, position: bigint, format: string>"
+ENTRY = "struct<title: string, href: string, place: array<int>>"
 METADATA = "title string, author string, authors array<string>, publisher string, publication_date string, language string, identifier string, description string, subjects array<string>, original_format string, file_size long"
-BOOK = f"path string, {METADATA}, content string, chapters array<struct<title: string, content: string, word_count: bigint>>, images array<string>, image_info array<{IMAGE}>, error string"
-COLUMNS = [c.split()[0] for c in ("path", *METADATA.split(", "), "content", "chapters", "images", "image_info", "error")]
+BOOK = f"path string, {METADATA}, content string, chapters array<struct<title: string, content: string, word_count: bigint>>, images array<string>, image_info array<{IMAGE}>, toc array<{ENTRY}>, error string"
+COLUMNS = [c.split()[0] for c in ("path", *METADATA.split(", "), "content", "chapters", "images", "image_info", "toc", "error")]
 
 
 class _Text(HTMLParser):
@@ -51,8 +52,55 @@ class _Text(HTMLParser):
                 self.title = data.strip()
 
 
+def _plain(root):
+    for e in root.iter():
+        e.tag = e.tag.rpartition("}")[2] if isinstance(e.tag, str) else ""
+    return root
+
+
+def _said(e) -> str:
+    return " ".join("".join(e.itertext()).split())
+
+
+def _entries(parent, child: str, title, href, within) -> list[dict]:
+    """A tree of entries as a list in reading order; place is the way down, counted from 1 at each level."""
+    out, stack = [], [(iter(enumerate(within(parent, child), 1)), [])]
+    while stack:  # without recursion: contents may nest deeply
+        for k, e in stack[-1][0]:
+            place = [*stack[-1][1], k]
+            if label := title(e):
+                out.append({"title": label, "href": href(e), "place": place})
+            stack.append((iter(enumerate(within(e, child), 1)), place))
+            break
+        else:
+            stack.pop()
+    return out
+
+
+def _contents(z: zipfile.ZipFile, package, items: dict, folder: str) -> list[dict]:
+    """Contents of a book: those of its navigation document, else of its NCX file; none if there is neither or both are broken."""
+    docs = [i for i in items.values() if "nav" in (i.get("properties") or "").split()] + [i for i in items.values() if i.get("media-type") == "application/x-dtbncx+xml"]
+    for item in docs:
+        try:
+            root = _plain(ElementTree.fromstring(z.read(posixpath.normpath(posixpath.join(folder, item.get("href"))))))
+        except (KeyError, ElementTree.ParseError):
+            continue
+        if (ncx := root.find(".//navMap")) is not None:
+            found = _entries(ncx, "navPoint", lambda e: _said(e.find("navLabel")) if e.find("navLabel") is not None else "", lambda e: (e.find("content").get("src") if e.find("content") is not None else None), lambda e, c: e.findall(c))
+        else:
+            navs = list(root.iter("nav"))
+            nav = next((n for n in navs if any(k.endswith("type") and "toc" in v.split() for k, v in n.attrib.items())), navs[0] if navs else None)
+            if nav is None:
+                continue
+            link = lambda e: e.find("a") if e.find("a") is not None else e.find("span")
+            found = _entries(nav, "li", lambda e: _said(link(e)) if link(e) is not None else "", lambda e: link(e).get("href"), lambda e, c: [x for ol in e.findall("ol") for x in ol.findall(c)])
+        if found:
+            return found
+    return []
+
+
 def parse(data: bytes) -> dict:
-    """Metadata, chapters (in spine order) and images (in manifest order, with their alternative texts) of one EPUB file.
+    """Metadata, chapters (in spine order), images (in manifest order, with their alternative texts) and contents of one EPUB file.
 
     authors are all creators, author the first; identifier prefers an ISBN.
     """
@@ -82,7 +130,7 @@ def parse(data: bytes) -> dict:
         return {
             "title": text("title"), "author": text("creator"), "authors": every("creator"), "publisher": text("publisher"), "publication_date": text("date"), "language": text("language"),
             "identifier": next((x for x in identifiers if "isbn" in x.lower() or re.fullmatch(r"[\d-]{9,16}[\dXx]", x)), next(iter(identifiers), None)), "description": text("description"), "subjects": every("subject"),
-            "original_format": "epub", "file_size": len(data), "content": "\n\n".join(c["content"] for c in chapters), "chapters": chapters, "images": [i.get("href") for i in images], "image_info": info, "error": None,
+            "original_format": "epub", "file_size": len(data), "content": "\n\n".join(c["content"] for c in chapters), "chapters": chapters, "images": [i.get("href") for i in images], "image_info": info, "toc": _contents(z, package, items, posixpath.dirname(opf)), "error": None,
         }
 
 
@@ -97,12 +145,38 @@ def read_epub(spark: SparkSession, path: str | list[str]) -> DataFrame:
                 try:
                     rows.append({"path": p, **parse(bytes(data))})
                 except Exception as e:  # a broken book is a row, not a failed job
-                    rows.append({"path": p, "authors": [], "subjects": [], "original_format": "epub", "file_size": len(data), "chapters": [], "images": [], "image_info": [], "error": f"{type(e).__name__}: {e}"})
+                    rows.append({"path": p, "authors": [], "subjects": [], "original_format": "epub", "file_size": len(data), "chapters": [], "images": [], "image_info": [], "toc": [], "error": f"{type(e).__name__}: {e}"})
             yield pd.DataFrame(rows, columns=COLUMNS, dtype=object)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, BOOK)
 
 
+def contents(books: DataFrame, key: str = "path") -> DataFrame:
+    """(key, pos, level, place, title, href) of books' contents, nested levels flattened in reading order; pos from 1, place the way down. Books without contents have no rows."""
+    rows = books.select(key, F.posexplode("toc").alias("_k", "_e"))
+    return rows.select(key, (F.col("_k") + 1).cast("long").alias("pos"), F.size("_e.place").alias("level"), F.array_join(F.transform("_e.place", lambda x: x.cast("string")), ".").alias("place"), F.col("_e.title").alias("title"), F.col("_e.href").alias("href"))
+
+
+def image_bytes(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, file_path, content) of all images that books list and hold; books that can't be read have none."""
+    reachable(spark)
+
+    def run(frames):
+        for frame in frames:
+            for p, data in zip(frame["path"], frame["content"]):
+                rows = []
+                try:
+                    listed = [i["file_path"] for i in parse(bytes(data))["image_info"]]
+                    with zipfile.ZipFile(io.BytesIO(bytes(data))) as z:
+                        names = set(z.namelist())
+                        rows = [(p, f, z.read(f)) for f in listed if f in names]
+                except Exception:  # its error is read_epub's to tell
+                    rows = []
+                yield pd.DataFrame(rows, columns=["path", "file_path", "content"], dtype=object)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, file_path string, content binary")
+
+
 def validate(books: DataFrame, least_bytes: int = 1024) -> DataFrame:
     """(path, issues) of books as read_epub gives them, files that don't exist included as rows without file_size."""
     size = F.col("file_size")
