@@ -6,6 +6,9 @@ import json
 import re
 from collections.abc import Mapping
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..plans.rules import Rule
 
 # What settings may be, by section.
@@ -35,6 +38,28 @@ def problems(settings: dict) -> list[str]:
     return found + (["max_jobs must be at least 1"] if settings.get("max_jobs", 1) < 1 else [])
 
 
+def _unless(allowed: Column, name: str) -> Column:
+    return F.when(~allowed, name)
+
+
+def invalid(columns: Mapping[str, Column]) -> Column:
+    """problems() for rows of settings: the names of those that aren't allowed, in the order of SECTIONS. columns has the names that problems() knows; nulls are allowed."""
+    own = {name: path for keys in SECTIONS.values() for path, name in keys.items()}
+    order = [name for keys in SECTIONS.values() for name in keys.values()]
+    found = []
+    for name in sorted(columns, key=order.index):
+        c = columns[name]
+        if name in RANGES:
+            found.append(_unless(c.between(*RANGES[name]), own[name]))
+        elif name in CHOICES:
+            found.append(_unless(c.isin(*CHOICES[name]), own[name]))
+        elif name == "max_words":
+            found.append(_unless(c >= columns["min_words"], own[name]))
+        else:
+            found.append(_unless(c >= 1, own[name]))
+    return F.array_compact(F.array(*found))
+
+
 def flat(settings: Mapping) -> dict:
     """The values that problems() knows, out of their sections."""
     return {name: settings[s][k] for s, keys in SECTIONS.items() for k, name in keys.items() if k in (settings.get(s) or {})}

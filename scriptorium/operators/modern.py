@@ -104,6 +104,15 @@ def process(df: DataFrame, text: str, key: str, mode: str = "legacy", toc: DataF
     return modern(cleaned, "_cleaned", key, toc) if toc is not None else legacy(cleaned, "_cleaned", key)
 
 
+def all_modes(df: DataFrame, text: str, key: str) -> DataFrame:
+    """process() in every mode, without a table of contents, with a column mode. legacy and hybrid share their cleaning and are cut in one pass."""
+    first = once(df.select(key, F.col(text).alias("_raw")), "_l", clean(F.col("_raw"))).select(key, "_l")
+    both = once(first, "_h", clean(F.col("_l"))).select(F.explode(F.array(F.struct(F.lit("legacy").alias("mode"), F.col(key).alias("k"), F.col("_l").alias("t")), F.struct(F.lit("hybrid").alias("mode"), F.col(key).alias("k"), F.col("_h").alias("t")))).alias("_x"))
+    cut = C.segment(both.select(F.struct("_x.mode", "_x.k").alias("_key"), F.col("_x.t").alias("_text")), "_text", "_key")
+    old = cut.select(F.col("_key.mode").alias("mode"), F.col("_key.k").alias(key), *(c for c in cut.columns if c != "_key"))
+    return old.unionByName(modern(df, text, key).withColumn("mode", F.lit("modern")))
+
+
 def with_contents(df: DataFrame, text: str, key: str, toc: DataFrame, mode: str = "modern") -> DataFrame:
     """process() for texts of which some have contents: those with entries in toc (key, pos, title) go by them, the others as if there were none."""
     have = toc.select(key).distinct()

@@ -16,6 +16,7 @@ from .operators import chunking, media, modern, progress
 from .operators import text as T
 from .plans import rules as R
 from .plans.session import once, spread
+from .sources import epub
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -246,12 +247,13 @@ def chunk_ids(spark, sf_dir):
     return counted.select("book_id", F.concat(F.format_string("chapter_%03d_", "chapter_num"), T.slug(title), part).alias("chunk_id"))
 
 
-@query(f"""SELECT doc_id, CAST(round(least(1.0, 0.5 + c + p + g + f), 6) AS DOUBLE) AS confidence FROM (SELECT doc_id,
+@query(f"""SELECT doc_id, line, CAST(round(least(1.0, 0.5 + c + p + g + f), 6) AS DOUBLE) AS confidence FROM (SELECT doc_id, line,
  CASE WHEN contains(lower(t), 'chapter') THEN 0.3 ELSE 0.0 END AS c, CASE WHEN contains(lower(t), 'part') OR contains(lower(t), 'section') THEN 0.2 ELSE 0.0 END AS p, CASE WHEN regexp_matches(t, '\\p{{Nd}}') THEN 0.1 ELSE 0.0 END AS g,
- (CASE WHEN {wc('t')} <= 5 THEN 0.1 ELSE 0.0 END) + (CASE WHEN regexp_matches(t, '{C.TITLE}') THEN 0.1 ELSE 0.0 END) AS f FROM (SELECT doc_id, string_split(text, chr(10))[1] AS t FROM documents))""")
+ (CASE WHEN {wc('t')} <= 5 THEN 0.1 ELSE 0.0 END) + (CASE WHEN regexp_matches(t, '{C.TITLE}') THEN 0.1 ELSE 0.0 END) AS f FROM (SELECT doc_id, unnest(l) AS t, CAST(unnest(range(1, len(l) + 1)) AS BIGINT) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))""")
 def heading_confidence(spark, sf_dir):
-    first = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1)[0].alias("t"))
-    return first.select("doc_id", C.heading_confidence(F.col("t")).alias("confidence"))
+    """How much each line of each text looks like a heading."""
+    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("k", "t"))
+    return lines.select("doc_id", (F.col("k") + 1).cast("long").alias("line"), C.heading_confidence(F.col("t")).alias("confidence"))
 
 
 @query(f"""SELECT book_id, CAST(strpos(raw, t) - 1 AS BIGINT) AS start, t AS title, CAST(0.6 AS DOUBLE) AS confidence FROM (SELECT book_id, raw, {duck_strip('ps[i]')} AS t, ps[i + 1] AS nx FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT book_id, raw, string_split(raw, chr(10) || chr(10)) AS ps FROM ({BOOKS})))) WHERE t <> '' AND {wc('t')} <= 10 AND {wc('nx')} > 50""")
@@ -302,11 +304,10 @@ def diagnose_issues(spark, sf_dir):
 
 @query("SELECT page_id, array_to_string(list_filter([CASE WHEN NOT ends_with(lower(url), '.epub') THEN 'not an .epub' END, CASE WHEN length(html) = 0 THEN 'empty' WHEN length(html) < 1024 THEN 'too small' END, CASE WHEN regexp_extract(html, '<title>([^<]*)', 1) = '' THEN 'no title' END], lambda x: x IS NOT NULL), ';') AS issues FROM pages")
 def validate_docs(spark, sf_dir):
-    size = F.length("html")
-    found = F.array_compact(F.array(
-        F.when(~F.lower("url").endswith(".epub"), "not an .epub"), F.when(size == 0, "empty").when(size < 1024, "too small"), F.when(F.regexp_extract("html", "<title>([^<]*)", 1) == "", "no title")
-    ))
-    return table(spark, sf_dir, "pages").select("page_id", F.array_join(found, ";").alias("issues"))
+    """Pages as if they were books, through the operator that checks these."""
+    size = F.length("html").cast("long")
+    books = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"), size.alias("file_size"), F.lit(None).cast("string").alias("error"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.col("html").alias("content"))
+    return epub.validate(books, 1024, "page_id").select("page_id", F.array_join("issues", ";").alias("issues"))
 
 
 @query(f"SELECT doc_id, {wc('text')} AS words, round(length(text) / 10000.0, 6) AS processing_seconds, round({wc('text')} / 200.0, 6) AS audio_minutes FROM documents")

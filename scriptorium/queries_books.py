@@ -118,8 +118,7 @@ def segment_legacy(spark, sf_dir):
 )
 def dispatch_chapters(spark, sf_dir):
     """Books by each mode, without a table of contents."""
-    parts = [modern.process(books(spark, sf_dir), "raw", "book_id", mode).select(F.lit(mode).alias("mode"), "book_id", "chapter_num", "title", "word_count", "confidence") for mode in modern.MODES]
-    return parts[0].union(parts[1]).union(parts[2])
+    return modern.all_modes(books(spark, sf_dir), "raw", "book_id").select("mode", "book_id", "chapter_num", "title", "word_count", "confidence")
 
 
 _HYBRID_BOOKS = f"SELECT book_id, {R.apply_duck('txt', R.MODERN)} AS raw FROM ({_CLEAN_BOOKS})"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .functions import images
+from .functions import images, settings
 from .operators import audio, automata, progress, reports
 from .operators import text as T
 from .queries import _FOLD, EVENTS, progress_events, query, table, wc
@@ -86,6 +86,7 @@ def model_membership(spark, sf_dir):
 
 # ---- settings ---------------------------------------------------------------------------------------------------
 
+# Names and bounds of settings, written out once more for the oracle; the query asks the library.
 _SETTINGS = {
     "engine": "['kokoro', 'elevenlabs', 'hume', 'none'][CAST(doc_id % 4 + 1 AS BIGINT)]", "speed": "doc_id % 25 / 10.0", "pitch": "doc_id % 23 / 10.0", "rate": "[16000, 22050, 44100, 48000, 8000][CAST(doc_id % 5 + 1 AS BIGINT)]",
     "form": "['wav', 'mp3', 'flac'][CAST(doc_id % 3 + 1 AS BIGINT)]", "output": "['plain', 'ssml', 'json', 'xml'][CAST(doc_id % 4 + 1 AS BIGINT)]", "low": "doc_id % 6 - 1", "high": "doc_id % 11", "jobs": "doc_id % 3",
@@ -108,8 +109,8 @@ def settings_checks(spark, sf_dir):
         "doc_id", pick(("kokoro", "elevenlabs", "hume", "none"), 4).alias("engine"), (d % 25 / 10.0).alias("speed"), (d % 23 / 10.0).alias("pitch"), pick((16000, 22050, 44100, 48000, 8000), 5).alias("rate"),
         pick(("wav", "mp3", "flac"), 3).alias("form"), pick(("plain", "ssml", "json", "xml"), 4).alias("output"), (d % 6 - 1).alias("low"), (d % 11).alias("high"), (d % 3).alias("jobs"),
     )
-    failed = F.array_compact(F.array(*(F.when(~F.expr(test), name) for name, test in _CHECKS)))
-    return rows.select("doc_id", F.array_join(failed, ",").alias("invalid"))
+    names = {"engine": "engine", "speed": "speed", "pitch": "pitch", "rate": "sample_rate", "form": "format", "output": "text_format", "low": "min_words", "high": "max_words", "jobs": "max_jobs"}
+    return rows.select("doc_id", F.array_join(settings.invalid({n: F.col(c) for c, n in names.items()}), ",").alias("invalid"))
 
 
 # ---- audio and pixels -------------------------------------------------------------------------------------------
@@ -121,6 +122,20 @@ def audio_files(spark, sf_dir):
     return made.select("name", F.octet_length("audio").cast("long").alias("bytes"), F.substring("audio", 1, 4).cast("string").alias("head"))
 
 
+_PCM = "CAST(trunc(greatest(-1.0, least(1.0, CAST(x AS DOUBLE))) * 32767) AS INTEGER)"
+
+
+@query(f"SELECT CAST(vec_id AS VARCHAR) AS name, CAST(len(l) AS BIGINT) AS n, CAST(list_sum(l) AS BIGINT) AS total, md5(array_to_string(l, ',')) AS digest FROM (SELECT vec_id, list_transform(embedding, lambda x: {_PCM}) AS l FROM embeddings)")
+def audio_samples(spark, sf_dir):
+    """Every sample of the encoded files, read back from their bytes."""
+    made = files.encoded_audio(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 24000)
+    hexes = F.regexp_extract_all(F.hex(F.expr("substring(audio, 45, octet_length(audio))")), F.lit("(..)(..)"), F.lit(0))
+    value = lambda h: F.conv(F.concat(F.substring(h, 3, 2), F.substring(h, 1, 2)), 16, 10).cast("int")
+    signed = F.transform(hexes, lambda h: F.when(value(h) >= 32768, value(h) - 65536).otherwise(value(h)))
+    rows = made.select("name", signed.alias("l"))
+    return rows.select("name", F.size("l").cast("long").alias("n"), F.aggregate("l", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.md5(F.array_join(F.transform("l", lambda x: x.cast("string")), ",").cast("binary")).alias("digest"))
+
+
 @query("SELECT label, CAST(count(DISTINCT vec_id) AS BIGINT) AS clips, CAST(sum(len(embedding)) AS BIGINT) AS n, round(CAST(list(embedding ORDER BY vec_id)[1][1] AS DOUBLE), 6) AS head, round(CAST(list(embedding ORDER BY vec_id)[-1][-1] AS DOUBLE), 6) AS tail FROM embeddings GROUP BY label")
 def streamed_audio(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")

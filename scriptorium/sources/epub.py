@@ -177,15 +177,15 @@ def image_bytes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, file_path string, content binary")
 
 
-def validate(books: DataFrame, least_bytes: int = 1024) -> DataFrame:
-    """(path, issues) of books as read_epub gives them, files that don't exist included as rows without file_size."""
+def validate(books: DataFrame, least_bytes: int = 1024, *keys: str) -> DataFrame:
+    """(path, keys, issues) of books as read_epub gives them, files that don't exist included as rows without file_size."""
     size = F.col("file_size")
     found = F.array_compact(F.array(
         F.when(size.isNull(), "file does not exist"), F.when(~F.lower("path").endswith(".epub"), "not an .epub"), F.when(size == 0, "empty").when(size < least_bytes, "too small"),
         F.when(F.col("error").isNotNull(), F.concat(F.lit("parse error: "), "error")), F.when(F.col("error").isNull() & size.isNotNull() & (F.coalesce("title", F.lit("")) == ""), "no title"),
         F.when(F.col("error").isNull() & size.isNotNull() & (F.coalesce("content", F.lit("")) == ""), "no text"),
     ))
-    return books.select("path", found.alias("issues"))
+    return books.select("path", *keys, found.alias("issues"))
 
 
 def expand(listing: DataFrame, path: str = "path") -> DataFrame:

@@ -54,14 +54,19 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 def _samples(data: bytes) -> tuple[int | None, list[float], str | None]:
     try:
         with wave.open(io.BytesIO(data)) as f:
-            if f.getsampwidth() != 2:
-                return f.getframerate(), [], f"{8 * f.getsampwidth()} bits"
-            found = np.frombuffer(f.readframes(f.getnframes()), "<i2").reshape(-1, f.getnchannels()).mean(axis=1) / 32767
+            raw, width = np.frombuffer(f.readframes(f.getnframes()), np.uint8), f.getsampwidth()
+            if width == 1:  # the only one without a sign
+                whole = (raw.astype(np.int64) - 128) / 127
+            else:  # little-endian, the sign in the last byte
+                parts = raw.reshape(-1, width).astype(np.int64)
+                whole = sum(parts[:, k] << (8 * k) for k in range(width - 1)) + (np.where(parts[:, -1] > 127, parts[:, -1] - 256, parts[:, -1]) << (8 * (width - 1)))
+                whole = whole / (2 ** (8 * width - 1) - 1)
+            found = whole.reshape(-1, f.getnchannels()).mean(axis=1)
             return f.getframerate(), found.tolist(), None
     except (wave.Error, EOFError) as e:  # a broken file is a row, not a failed job
         return None, [], f"{type(e).__name__}: {e}"
 
 
 def read_audio(spark: SparkSession, path: str) -> DataFrame:
-    """(path, rate, samples, error) of 16-bit WAV files, channels averaged."""
+    """(path, rate, samples, error) of WAV files of 8 to 32 bits, channels averaged."""
     return _scan(spark, path, _samples, "path string, rate long, samples array<double>, error string", ["path", "rate", "samples", "error"], [pa.string(), pa.int64(), pa.list_(pa.float64()), pa.string()])

@@ -92,3 +92,37 @@ def test_contents_of_books(spark, tmp_path):
     assert titles["nav"] == ["Part One", "Alpha", "Deep", "Beta", "Part Two"] and titles["ncx"] == ["Part One", "Alpha"] and len(titles["none"]) >= 1 and "bad" not in titles
     images = epub.image_bytes(spark, str(tmp_path / "*.epub")).collect()
     assert [(r.path.rsplit("/", 1)[1], r.file_path, bytes(r.content)) for r in images] == [("nav.epub", "o/i.png", b"picture")]
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 4])
+def test_wav_of_all_widths(spark, tmp_path, width):
+    import wave
+
+    from scriptorium.sources import media_files
+
+    top = 2 ** (8 * width - 1) - 1
+    values = [0, top, -top, top // 2, -(top // 3)]
+    data = b"".join((v + 128).to_bytes(1, "little") if width == 1 else v.to_bytes(width, "little", signed=True) for v in values for _ in range(2))
+    with wave.open(str(tmp_path / "a.wav"), "wb") as f:
+        f.setnchannels(2)
+        f.setsampwidth(width)
+        f.setframerate(8000)
+        f.writeframes(data)
+    row = media_files.read_audio(spark, str(tmp_path)).first()
+    assert row.error is None and row.rate == 8000 and row.samples == pytest.approx([v / top for v in values])
+
+
+def test_settings_of_rows_are_those_of_files(spark):
+    """The column of invalid names says what problems() says of the same settings, one by one."""
+    from pyspark.sql import functions as F
+
+    from scriptorium.functions import settings
+
+    base = {"engine": "kokoro", "speed": 1.0, "pitch": 1.0, "sample_rate": 22050, "format": "wav", "text_format": "plain", "min_words": 10, "max_words": 100, "max_jobs": 1}
+    wrong = [{}, {"speed": 3.0}, {"pitch": 0.1}, {"sample_rate": 8000}, {"format": "flac"}, {"text_format": "xml"}, {"min_words": 0}, {"max_words": 5}, {"max_jobs": 0}, {"engine": "x", "speed": 0.4}]
+    rows = [(k, *(base | w).values()) for k, w in enumerate(wrong)]
+    df = spark.createDataFrame(rows, ["row", *base])
+    got = {r.row: r.bad for r in df.select("row", settings.invalid({c: F.col(c) for c in base}).alias("bad")).collect()}
+    for k, w in enumerate(wrong):
+        assert len(got[k]) == len(settings.problems(base | w)) == len(w), w
+    assert got[7] == ["max_words_per_chunk"] and got[9] == ["engine", "speed"]
