@@ -32,12 +32,21 @@ def id_width(tokenizer: str | None = None) -> int:
     return 2 if WordTokenizer(tokenizer).size <= 1 << 16 else 4
 
 
+def check_end(end_id: int, tokenizer: str | None = None) -> None:
+    """An end-of-document id that a text could hold would cut documents: it must be a control token's or lie beyond the vocabulary, and fit the files' ids."""
+    tok = WordTokenizer(tokenizer)
+    special = {tok.tokenizer.token_to_id(t) for t in tok.special}
+    if end_id < 0 or (end_id < tok.size and end_id not in special) or end_id >= 1 << (8 * id_width(tokenizer)):
+        raise ValueError(f"{end_id} can't end documents: it is an ordinary id of this vocabulary, or no id of its files")
+
+
 def write_files(docs: DataFrame, folder: str, end_id: int = END_ID, tokenizer: str | None = None, width: int = 2) -> DataFrame:
     """Writes one flat token file for each partition into a folder that all executors share; (file, nth, doc_id) of what went in.
 
     A text that holds a control token's string is ordinary text, so only document ends are separators. A task that
     is run again writes a file of its own; the manifest, which is checkpointed, names the files that count.
     """
+    check_end(end_id, tokenizer)
     small_batches(reachable(docs.sparkSession))
     schema = pa.schema([("file", pa.string()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64()))])
 
@@ -131,14 +140,20 @@ def token_counts(blocks: DataFrame, end_id: int = END_ID, width: int = 2) -> Dat
     return counted.filter(F.col("ended") | (F.col("n_tokens") > 0)).drop("ended")
 
 
-def document_counts(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """doc_id, file, nth, start, n_tokens of every row, through flat token files in the shared folder and their scan.
+def remove_files(folder: str) -> None:
+    """Removes a finished run's token files, once its counts are written elsewhere."""
+    store, path = file_system(folder)
+    store.delete_dir(path)
+
+
+def document_counts(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, block_ids: int = BLOCK_IDS, folder: str | None = None) -> DataFrame:
+    """doc_id, file, nth, start, n_tokens of every row, through flat token files in the shared folder (or the one given) and their scan.
 
     Null and empty texts have no tokens. Rows with equal or null ids are counted one by one. Extra columns are
-    ignored; no documents, no rows. The files stay in the shared folder until its owner clears it.
+    ignored; no documents, no rows. The files stay until their owner clears them: remove_files does, for a folder that was given.
     """
     spark = docs.sparkSession
-    folder, width = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}", id_width(tokenizer)
+    folder, width = folder or f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}", id_width(tokenizer)
     manifest = write_files(docs, folder, end_id, tokenizer, width)
     store, path = file_system(folder)
     store.create_dir(path)  # no documents, no files

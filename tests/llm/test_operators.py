@@ -395,6 +395,18 @@ def test_token_files(spark, odd, small, tmp_path):
         assert sorted((r.file[-5:], r.nth, r.start, r.n_tokens) for r in got) == [("a.bin", 0, 0, 2), ("a.bin", 1, 3, 0), ("a.bin", 2, 4, 3), ("a.bin", 3, 8, 1), ("b.bin", 0, 0, 0)]
 
 
+def test_token_files_of_other_ends(spark, small, tmp_path):
+    """An ordinary id ends no documents; files of a finished run go on request."""
+    some = small.limit(5)
+    for end in (5, 1000, -1, 1 << 16):
+        with pytest.raises(ValueError):
+            tokenfiles.document_counts(some, end_id=end)
+    folder = f"{tmp_path}/tokens"
+    assert len(tokenfiles.document_counts(some, folder=folder).collect()) == 5 and list((tmp_path / "tokens").iterdir())
+    tokenfiles.remove_files(folder)
+    assert not (tmp_path / "tokens").exists()
+
+
 def test_token_blocks_cut_inside_documents(spark, small):
     """Blocks far smaller than a document: every cut falls inside one, several blocks hold no separator."""
     some = small.filter("length(text) > 100").repartition(2)
