@@ -17,6 +17,7 @@ from .operators import text as T
 from .plans import rules as R
 from .plans.session import once, spread
 from .sources import epub
+from .streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -639,8 +640,43 @@ def progress_running(spark, sf_dir):
 
 @query("SELECT user_id, CAST(len(list_reduce(list_prepend([]::DOUBLE[], list_transform(l, lambda t: [t])), lambda k, t: CASE WHEN len(k) = 0 OR t[1] - k[-1] > 86400 THEN list_append(k, t[1]) ELSE k END)) AS BIGINT) AS emitted FROM (SELECT user_id, list(epoch(ts)::DOUBLE ORDER BY ts) AS l FROM events GROUP BY user_id)")
 def progress_throttle(spark, sf_dir):
-    times = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)).alias("l"))
-    return times.select("user_id", F.size(progress.throttled(F.col("l"), 86400.0)).cast("long").alias("emitted"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("pipeline"), F.lit("progress").alias("event_type"), "ts", "event_id", F.lit(1).cast("long").alias("total_items"))
+    return state.emitted(rows, 86400.0).groupBy(F.col("pipeline").alias("user_id")).agg(F.count("*").alias("emitted"))
+
+
+def _state_events(spark, sf_dir) -> DataFrame:
+    """Progress events with what the live fold reads: totals of START, items done of PROGRESS, the item in work and custom values of some."""
+    rows = progress_events(spark, sf_dir)
+    some = lambda kind: F.when(F.col("event_type") == kind, F.col("items"))
+    item = F.when(F.col("event_id") % 4 > 0, F.concat(F.lit("item "), F.col("event_id").cast("string")))
+    custom = F.when(F.col("event_id") % 5 == 0, F.create_map(F.concat(F.lit("n"), (F.col("event_id") % 3).cast("string")), F.col("event_id").cast("string")))
+    return rows.select("pipeline", "event_type", "ts", "event_id", some("start").alias("total_items"), some("progress").alias("completed_items"), item.alias("current_item"), custom.alias("custom_stats"))
+
+
+_ORDERED = "PARTITION BY pipeline ORDER BY ts DESC, event_id DESC"
+_STATE = f"""WITH e AS (SELECT *, 'item ' || CAST(event_id AS VARCHAR) AS item FROM ({EVENTS})),
+ items AS (SELECT pipeline, CASE WHEN event_type = 'complete' THEN '' ELSE item END AS current_item FROM (SELECT *, row_number() OVER ({_ORDERED}) AS r FROM e WHERE event_id % 4 > 0 AND event_type IN ('start', 'progress', 'complete')) WHERE r = 1),
+ named AS (SELECT pipeline, string_agg(name || '=' || event_id, ',' ORDER BY name) AS custom FROM (SELECT pipeline, 'n' || CAST(event_id % 3 AS VARCHAR) AS name, CAST(event_id AS VARCHAR) AS event_id, row_number() OVER (PARTITION BY pipeline, event_id % 3 ORDER BY ts DESC, event_id DESC) AS r FROM e WHERE event_id % 5 = 0) WHERE r = 1 GROUP BY pipeline),
+ ring AS (SELECT pipeline, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY r DESC) AS recent FROM (SELECT *, row_number() OVER ({_ORDERED}) AS r FROM e) WHERE r <= 10 GROUP BY pipeline)
+ SELECT f.pipeline, f.total_items, f.completed_items, f.errors, f.warnings, coalesce(current_item, '') AS current_item, coalesce(custom, '') AS custom, recent FROM ({_FOLD}) f LEFT JOIN items i ON f.pipeline = i.pipeline LEFT JOIN named n ON f.pipeline = n.pipeline LEFT JOIN ring g ON f.pipeline = g.pipeline"""
+
+
+@query(_STATE)
+def progress_state(spark, sf_dir):
+    """All that the live fold knows of each pipeline, in batch."""
+    rows = state.fold_all(_state_events(spark, sf_dir))
+    custom = F.array_join(F.transform(F.array_sort(F.map_entries("custom_stats")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")
+    return rows.select("pipeline", "total_items", "completed_items", "errors", "warnings", "current_item", custom.alias("custom"), F.array_join(F.transform("recent", lambda x: x.cast("string")), ",").alias("recent"))
+
+
+_KNOWN = "last_value(CASE WHEN event_type = 'start' THEN items END IGNORE NULLS) OVER (PARTITION BY pipeline ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+@query(f"""SELECT pipeline, unnest(list_transform(list_reduce(list_prepend([]::STRUCT(t BIGINT, i BIGINT)[], list_transform(l, lambda x: [x])), lambda k, x: CASE WHEN len(k) = 0 OR x[1].t - k[-1].t > 3600000000 THEN list_append(k, x[1]) ELSE k END), lambda x: x.i)) AS event_id
+ FROM (SELECT pipeline, list({{'t': CAST(epoch_us(ts) AS BIGINT), 'i': CAST(event_id AS BIGINT)}} ORDER BY ts, event_id) AS l FROM (SELECT *, {_KNOWN} AS total FROM ({EVENTS})) WHERE event_type = 'progress' AND total > 0 GROUP BY pipeline)""")
+def progress_reports(spark, sf_dir):
+    """PROGRESS events of each pipeline that lie more than an hour after the last one told."""
+    return state.emitted(_state_events(spark, sf_dir), 3600.0)
 
 
 @query("SELECT total, array_to_string(list_reduce(list_prepend({'last': 0::BIGINT, 'out': []::BIGINT[]}, list_transform(range(1, total + 1), lambda i: {'last': i * 100 // total, 'out': []::BIGINT[]})), lambda a, p: CASE WHEN p.last >= a.last + 10 OR p.last >= 100 THEN {'last': p.last, 'out': list_append(a.out, p.last)} ELSE a END).out, ',') AS logged FROM (SELECT DISTINCT n_chars % 97 + 1 AS total FROM documents)")
