@@ -20,7 +20,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_batches
+from ..plans.session import reachable
+from .common import checkpoint, join_keyed, map_batches, small_batches
+from .simhash import components
 
 # Common words of English, German, French and Spanish.
 ANCHORS = frozenset("""
@@ -178,15 +180,8 @@ def similar(a: frozenset[int], b: frozenset[int], threshold: Fraction) -> bool:
     return both * threshold.denominator >= (len(a) + len(b) - both) * threshold.numerator
 
 
-def similar_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(fingerprint_a, fingerprint_b, likeness) of different fingerprints at `threshold` or more; prints has a column fingerprint.
-
-    Equal fingerprints are one class first. A class is indexed in its length partition under the rarest hashes of
-    its set (a prefix that any partner must share), so no frequent signature gathers the corpus and no pair is lost:
-    all bounds are whole numbers. Null and empty fingerprints have no partner; no rows, none. Classes that are all
-    similar to each other have a pair for each two; class_links counts them for each class.
-    """
-    at_least = Fraction(str(threshold))
+def _indexed(prints: DataFrame, at_least: Fraction) -> DataFrame:
+    """(fingerprint, size, part, sig) of different fingerprints: each in its length partition under the rarest hashes of its set, a prefix that any partner must share."""
     num, den = at_least.numerator, at_least.denominator
     classes = checkpoint(prints.select("fingerprint").filter("fingerprint <> ''").distinct())
     longest = (classes.agg(F.max(F.length("fingerprint"))).first()[0] or 0) // 8
@@ -196,7 +191,20 @@ def similar_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     size = F.size("s").cast("long")
     part = F.size(F.filter(_constant(length_bounds(at_least, longest), "array<bigint>"), lambda b: b <= size))
     prefix = size - F.floor((size * num + (den - 1)) / den) + 1
-    keys = checkpoint(ranked.select("fingerprint", size.alias("size"), part.alias("part"), F.explode(F.slice("s", F.lit(1), prefix.cast("int"))["sig"]).alias("sig")))
+    return checkpoint(ranked.select("fingerprint", size.alias("size"), part.alias("part"), F.explode(F.slice("s", F.lit(1), prefix.cast("int"))["sig"]).alias("sig")))
+
+
+def similar_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(fingerprint_a, fingerprint_b, likeness) of different fingerprints at `threshold` or more; prints has a column fingerprint.
+
+    Equal fingerprints are one class first. A class is indexed in its length partition under the rarest hashes of
+    its set, so no frequent signature gathers the corpus and no pair is lost: all bounds are whole numbers. Null and empty fingerprints
+    have no partner; no rows, none. Classes that are all similar to each other have a pair for each two: similar_classes says
+    the same of k of them in k rows.
+    """
+    at_least = Fraction(str(threshold))
+    num, den = at_least.numerator, at_least.denominator
+    keys = _indexed(prints, at_least)
     left = keys.select(F.col("fingerprint").alias("a"), F.col("size").alias("na"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"), F.col("part").alias("own"))
     right = keys.select(F.col("fingerprint").alias("b"), F.col("size").alias("nb"), "sig", "part")
     near = left.join(right, ["sig", "part"]).filter((F.col("own") < F.col("part")) | (F.col("a") < F.col("b")))
@@ -218,3 +226,57 @@ def class_links(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     ends = pairs.select(F.explode(F.array("fingerprint_a", "fingerprint_b")).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("n_links"))
     own = prints.select("fingerprint").groupBy("fingerprint").agg(F.count("*").alias("n_docs"))
     return own.join(ends, "fingerprint", "left").select("fingerprint", "n_docs", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _forest(keys: DataFrame, at_least: Fraction) -> DataFrame:
+    """(a, b): similar fingerprints, so many that those which pairs connect within a bucket are connected, and one fewer than they are.
+
+    A bucket (hash, length partition) is read in order by one task. A member is compared with those before it only as long as they aren't connected
+    to it already, so k variants of one text cost k comparisons and k rows. The task holds the bucket's members: those that share one
+    of their rarest hashes and are of one length.
+    """
+    home = keys.select("sig", "part", F.lit(0).alias("visits"), "fingerprint")
+    both = home.unionByName(keys.select("sig", (F.col("part") + 1).alias("part"), F.lit(1).alias("visits"), "fingerprint"))
+
+    def run(batches):
+        now, held, root = None, [], []
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        for batch in batches:
+            out = []
+            for sig, part, visits, mine in zip(*(c.to_pylist() for c in batch.columns)):
+                if now != (sig, part):
+                    now, held, root = (sig, part), [], []
+                own, k = decode(mine), len(held)
+                held.append((visits, mine, own))
+                root.append(k)
+                for other in range(k):
+                    there, name, theirs = held[other]
+                    if not (visits and there) and find(other) != find(k) and similar(own, theirs, at_least):  # visitors meet at home
+                        root[find(k)] = find(other)
+                        out.append((name, mine))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["a", "b"])
+
+    small_batches(reachable(keys.sparkSession))
+    return both.repartition("sig", "part").sortWithinPartitions("sig", "part", "visits", "fingerprint").mapInArrow(run, "a string, b string")
+
+
+def similar_classes(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(fingerprint, n_docs, class_fingerprint, class_size) of each different fingerprint: its rows, the least fingerprint that links of `threshold` or more lead to, and how many different ones do.
+
+    All links count, none is dropped; what is written is a row for each fingerprint and an edge or two, not a pair for each two of a
+    family. Null fingerprints have no row, the empty one is a class of its own; no rows, none.
+    """
+    at_least = Fraction(str(threshold))
+    nodes = checkpoint(prints.filter("fingerprint is not null").groupBy("fingerprint").agg(F.count("*").alias("n_docs")).withColumn("id", F.xxhash64("fingerprint")))
+    edges = checkpoint(_forest(_indexed(prints, at_least), at_least).distinct())
+    roots = checkpoint(components(edges.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))))
+    linked = checkpoint(nodes.join(roots, nodes["id"] == roots["node"], "left").select("fingerprint", "n_docs", F.coalesce("root", "id").alias("root")))
+    best = linked.groupBy("root").agg(F.min("fingerprint").alias("class_fingerprint"), F.count("*").alias("class_size"))
+    return join_keyed(linked, best.withColumn("_n", F.col("class_size")), "root", "_n").select("fingerprint", "n_docs", "class_fingerprint", "class_size")

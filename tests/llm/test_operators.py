@@ -246,6 +246,34 @@ def test_similar_pairs(spark, small):
     assert fingerprints.similar_pairs(prints.limit(0)).count() == 0
 
 
+def test_similar_classes(spark, small):
+    """Components over all pairs, by brute force; a family of k variants costs about k edges."""
+    prints = fingerprints.fingerprints(small).select("fingerprint").unionByName(spark.createDataFrame([("",), ("",), (None,)], "fingerprint string"))
+    rng_sets = [frozenset(range(k, k + 60)) for k in range(0, 40)] + [frozenset(range(10_000, 10_050)) | {20_000 + k} for k in range(150)]
+    prints = prints.unionByName(spark.createDataFrame([(fingerprints.encode(x),) for x in rng_sets], "fingerprint string"))
+    for threshold in (0.8, 0.5):
+        copies = Counter(r[0] for r in prints.collect() if r[0] is not None)
+        sets = {f: fingerprints.decode(f) for f in copies}
+        root = {f: f for f in sets}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in itertools.combinations(sets, 2):
+            if a and b and fingerprints.jaccard(sets[a], sets[b]) >= threshold:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+        sizes = Counter(find(f) for f in sets)
+        got = {r.fingerprint: (r.n_docs, r.class_fingerprint, r.class_size) for r in fingerprints.similar_classes(prints, threshold).collect()}
+        assert got == {f: (n, find(f), sizes[find(f)]) for f, n in copies.items()}
+    variants = spark.createDataFrame([(fingerprints.encode(x),) for x in rng_sets[40:]], "fingerprint string")
+    at_least = fingerprints.Fraction("0.8")
+    assert fingerprints._forest(fingerprints._indexed(variants, at_least), at_least).distinct().count() < 20 * 150 < fingerprints.similar_pairs(variants).count()
+    assert fingerprints.similar_classes(prints.limit(0)).count() == 0
+
+
 def test_similar_pairs_at_the_threshold(spark):
     """Sets that just reach a threshold which is no binary fraction."""
     for t, small_set, large_set in ((0.55, 55, 100), (0.8, 80, 100), (0.7, 7, 10), (0.29, 29, 100), (0.9, 9, 10)):
