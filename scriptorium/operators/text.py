@@ -46,7 +46,11 @@ def phoneme_safe(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(f"[^{R.STRIP}]+")), F.lit(0)).cast("long")
+    """Words between white space of all kinds; 0 for null. White space becomes single spaces, which are counted: no word is made a string of its own."""
+    spaced = F.trim(F.regexp_replace(text, f"[{R.STRIP}]+", " "))
+    # a lambda's variable is computed once, however often it is used
+    n = F.transform(F.array(spaced), lambda v: F.when(v == "", 0).otherwise(F.octet_length(v) - F.octet_length(F.replace(v, F.lit(" "), F.lit(""))) + 1))
+    return F.coalesce(F.element_at(n, 1), F.lit(0)).cast("long")
 
 
 def strip(text: Column) -> Column:

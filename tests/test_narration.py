@@ -199,3 +199,16 @@ def test_entry_without_the_training_operators():
 
     code = "import sys; sys.modules['scriptorium.llm'] = None; import __spark_entry__ as e; assert 'clean_text' in e.queries() and 'pipeline' not in e.queries()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=epub.__file__.rsplit("/", 3)[0])
+
+
+def test_word_count(spark):
+    """Against splitting by every character that Python and the rules call white space."""
+    import random
+
+    from scriptorium.operators import text as T
+
+    spaces = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000\x1c\x1f"
+    rng = random.Random(8)
+    texts = ["", " ", "a", None, "\u3000", " a ", "\x1ca\x1fb\x85", *("".join(rng.choice(spaces + "aé—漢. ") for _ in range(rng.randrange(30))) for _ in range(500))]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    assert {r.k: r.n for r in df.select("k", T.word_count(F.col("t")).alias("n")).collect()} == {k: len((t or "").split()) for k, t in enumerate(texts)}
