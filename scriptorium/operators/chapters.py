@@ -135,7 +135,9 @@ def contents_table(df: DataFrame, key: str) -> DataFrame:
 
 
 def is_title(text):
-    return text.rlike("(?s)" + TITLE)
+    """TITLE, said without a repeated group, which recurses with every word of a long line: no run of cased letters begins small, and no capital stands in one."""
+    cased = r"\p{Lu}\p{Lt}\p{Ll}"
+    return text.rlike(r"[\p{Lu}\p{Lt}]") & ~text.rlike(rf"(?<![{cased}])\p{{Ll}}|(?<=[{cased}])[\p{{Lu}}\p{{Lt}}]")
 
 
 def is_upper(text):

@@ -60,8 +60,9 @@ def with_proper_noun(df: DataFrame, proper: DataFrame, text: str, *keys: str) ->
 
 def _neighbours(df: DataFrame, text: str, key: str) -> DataFrame:
     """(key, pos, word, next): words in small letters with the one after them, null where anything but one space stands between."""
-    # runs of words with one space between; a run's words are neighbours
-    runs = df.select(key, F.posexplode(F.regexp_extract_all(F.lower(text), F.lit(rf"{WORD}(?: {WORD})*"), F.lit(0))).alias("_run", "_r"))
+    # runs of words with one space between; a run's words are neighbours. Cut, not matched: a repeated group recurses with every word
+    cut = F.split(F.lower(text), r"[^\p{L} ]+|  +", -1)
+    runs = df.select(key, F.posexplode(F.filter(F.transform(cut, lambda r: F.trim(r)), lambda r: r != "")).alias("_run", "_r"))
     split = runs.select(key, "_run", F.split("_r", " ", -1).alias("_w"))
     return split.select(key, "_run", F.posexplode(F.arrays_zip(F.col("_w").alias("word"), F.expr("slice(_w, 2, size(_w))").alias("next"))).alias("_at", "x")).select(key, "_run", "_at", "x.word", "x.next")
 
