@@ -10,6 +10,7 @@ from ..plans.session import once
 from .text import strip, word_count
 
 WORDS_A_MINUTE = 200.0
+#: For the SQL of by_toc, which ignores the case of these.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 CANDIDATES = "array<struct<start: bigint, confidence: double, title: string>>"
 #: Title case: each run of cased letters is a capital and then small ones, and there is one at least.
@@ -46,7 +47,7 @@ def heading_pattern(text):
     """The first of the heading patterns that occurs in the text, as one regular expression; null if none does."""
     chosen = F.lit(None).cast("string")
     for p in reversed(R.HEADINGS):
-        java = "(?dmi)" + p.replace("<S>", R.SPACE)
+        java = "(?dmi)" + R.in_java(p)
         chosen = F.when(F.regexp_count(text, F.lit(java)) > 0, F.lit(java)).otherwise(chosen)
     return chosen
 
@@ -81,16 +82,17 @@ def by_toc(df: DataFrame, toc: DataFrame, text: str, key: str) -> DataFrame:
     blank are dropped and keep their position.
     """
 
-    def low(c: str):
-        return F.translate(F.col(c), UPPER, LOWER)  # one character for one, so positions hold
+    def halves(t, title):
+        """What stands before a title's first occurrence and after it; in Java (?i) alone leaves letters beyond ASCII as they are."""
+        return F.split(t, F.concat(F.lit(r"(?i)\Q"), F.replace(title, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), 2)
 
     order = Window.partitionBy(key).orderBy("pos")
     entries = toc.withColumn("_next", F.lead("title").over(order))
-    both = entries.join(df.select(key, F.col(text).alias("_t")), key).withColumn("_low", low("_t"))
-    start = F.when(F.instr(F.col("_low"), low("title")) > 0, F.instr(F.col("_low"), low("title")) - 1 + F.length("title")).otherwise(0)
-    both = both.withColumn("_rest", F.substr("_t", start + 1))
-    end = F.when(F.col("_next").isNotNull(), F.instr(low("_rest"), low("_next"))).otherwise(0)
-    body = F.when(end > 0, F.substr("_rest", F.lit(1), end - 1)).otherwise(F.col("_rest"))
+    both = entries.join(df.select(key, F.col(text).alias("_t")), key)
+    # an empty title is found at once: nothing stands before it
+    rest = once(both, "_rest", F.when(F.col("title") == "", F.col("_t")).otherwise(F.coalesce(F.get(halves(F.col("_t"), F.col("title")), F.lit(1)), F.col("_t"))))
+    both = once(rest, "_body", F.when(F.col("_next").isNull(), F.col("_rest")).when(F.col("_next") == "", "").otherwise(F.get(halves(F.col("_rest"), F.col("_next")), F.lit(0))))
+    body = F.col("_body")
     if "content" in toc.columns:
         body = F.coalesce("content", body)
     return measured(both.select(key, F.col("pos").cast("long").alias("chapter_num"), "title", strip(body).alias("content")).filter("content <> ''"), 1.0)
@@ -102,7 +104,7 @@ def keep_long(df: DataFrame, min_words: int = 100) -> DataFrame:
 
 def split_long(df: DataFrame, max_words: int = 5000, parts_in: str | None = None) -> DataFrame:
     """Chapters above max_words in windows of words, titled `t - Part k`; others keep title, text and count. Adds part (from 1), and the number of parts in a column of the name given."""
-    words = F.regexp_extract_all(F.col("content"), F.lit(f"[^{R.STRIP}]+"), F.lit(0))
+    words = F.regexp_extract_all(F.col("content"), F.lit(f"[^{R.JAVA_STRIP}]+"), F.lit(0))
 
     def window(i):
         return F.struct(F.array_join(F.slice("_w", (i * max_words + 1).cast("int"), F.lit(max_words)), " ").alias("c"), F.least(F.lit(max_words), F.size("_w") - i * max_words).cast("long").alias("n"))
