@@ -117,3 +117,11 @@ def test_descriptions_like_their_sql(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.d for r in df.select("doc_id", media.clean_description(F.col("text"), 150).alias("d")).collect()}
     assert got == dict(con.execute(sql).fetchall())
+
+
+def test_backoff_of_failed_events(spark):
+    """The schedule is that of a table's events, as the SQL has it."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{SF}/events.parquet')")
+    want = sorted(con.execute(E.oracle_sql()["backoff_schedule"]).fetchall())
+    assert sorted(tuple(r) for r in E.queries()["backoff_schedule"](spark, SF).collect()) == want and len({w[0] for w in want}) > 1
