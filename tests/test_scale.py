@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as E  # noqa: E402
 from scriptorium.operators import chapters, cohesion, language, media  # noqa: E402
+from scriptorium.operators import text as T  # noqa: E402
 from scriptorium.plans import rules as R  # noqa: E402
 from scriptorium.plans import session  # noqa: E402
 
@@ -125,3 +126,23 @@ def test_backoff_of_failed_events(spark):
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{SF}/events.parquet')")
     want = sorted(con.execute(E.oracle_sql()["backoff_schedule"]).fetchall())
     assert sorted(tuple(r) for r in E.queries()["backoff_schedule"](spark, SF).collect()) == want and len({w[0] for w in want}) > 1
+
+
+def test_rules_in_one_pass(spark):
+    """Cleaning, normalising and lowering run over batches; odd texts become what they become in DuckDB and, rule by rule, in Java."""
+    random = __import__("random").Random(3)
+    bits = ["# ", "#", "Chapter 3", "Page 4 of 5", "[12]", "[٣]", "<b>", "<", ">", "**", "*", '"', "![a](b)", "![", "](", ")", "—", "…", "& ", "5%", "$3", "\\1", "\\", "’", " ", "  ", "\t", "\n", "\n\n", "\r\n", "\x0b", "\x1c", "\x85", " ", "　", "\x00", "😀", "é", "word", "End.", "no,", "hm?", "ah!", "[PAUSE: 0.5]", "[HEADER_END]", "[CHAPTER_START: x", "]", "a@b.co", "http://x.y", "+1 (23) 45-67-89"]
+    texts = [None, "", " ", "\x1c　\n", " \x85", "\\", *("".join(random.choices(bits, k=random.randint(1, 30))) for _ in range(2000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(2)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE d (k INT, t VARCHAR)")
+    con.executemany("INSERT INTO d VALUES (?, ?)", list(enumerate(texts)))
+    for name, rules in (("clean", R.CLEAN), ("modern", R.MODERN), *R.LOWERINGS.items()):
+        new = T.clean(F.col("t")) if name == "clean" else T.normalise(F.col("t")) if name == "modern" else T.lower(F.col("t"), name)
+        assert "ArrowEvalPython" in plan(df.select(new))
+        java = F.when(F.col("t").rlike(f"[^{R.JAVA_STRIP}]"), R.apply(F.col("t"), rules)).otherwise(F.col("t")) if name == "clean" else R.apply(F.col("t"), rules)
+        got = df.select("k", new.alias("n"), java.alias("j")).collect()
+        assert [r for r in got if r.n != r.j] == []
+        blank = "k < 0" if name != "clean" else f"len(regexp_extract_all(t, '[^{R.STRIP}]')) = 0"
+        want = dict(con.execute(f"SELECT k, CASE WHEN {blank} THEN t ELSE {R.apply_duck('t', rules)} END FROM d").fetchall())
+        assert {r.k: r.n for r in got} == want
