@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans import rules as R
 from ..plans.session import once
-from .text import strip, word_count
+from .text import spaced, strip, word_count
 
 WORDS_A_MINUTE = 200.0
 #: For the SQL of by_toc, which ignores the case of these.
@@ -104,15 +104,17 @@ def keep_long(df: DataFrame, min_words: int = 100) -> DataFrame:
 
 def split_long(df: DataFrame, max_words: int = 5000, parts_in: str | None = None) -> DataFrame:
     """Chapters above max_words in windows of words, titled `t - Part k`; others keep title, text and count. Adds part (from 1), and the number of parts in a column of the name given."""
-    words = F.regexp_extract_all(F.col("content"), F.lit(f"[^{R.JAVA_STRIP}]+"), F.lit(0))
+    long = F.col("word_count") > max_words
+    # windows are cut as a whole, no word is made a string of its own
+    cut = F.regexp_extract_all(spaced(F.col("content")), F.lit(rf"(?:[^ ]++ ?+){{1,{max_words}}}+"), F.lit(0))
+    windows = once(df, "_w", F.when(long, cut))
 
-    def window(i):
-        return F.struct(F.array_join(F.slice("_w", (i * max_words + 1).cast("int"), F.lit(max_words)), " ").alias("c"), F.least(F.lit(max_words), F.size("_w") - i * max_words).cast("long").alias("n"))
+    def window(w, i):
+        return F.struct(F.trim(w).alias("c"), F.when(i < F.size("_w") - 1, F.lit(max_words).cast("long")).otherwise(word_count(w)).alias("n"))
 
-    long = F.col("word_count") > max_words
-    last = F.greatest(F.ceil(F.size("_w") / max_words) - 1, F.lit(0))
     whole = F.array(F.struct(F.col("content").alias("c"), F.col("word_count").cast("long").alias("n")))
-    parts = once(df, "_w", F.when(long, words)).withColumn("_p", F.when(long, F.transform(F.sequence(F.lit(0), last), window)).otherwise(whole))
+    blank = F.array(F.struct(F.lit("").alias("c"), F.lit(0).cast("long").alias("n")))
+    parts = once(windows, "_p", F.when(~long | long.isNull(), whole).when(F.size("_w") == 0, blank).otherwise(F.transform("_w", window)))
     parts = parts.select("*", F.posexplode("_p").alias("_k", "_c"))
     title = F.when(F.size("_p") > 1, F.concat("title", F.lit(" - Part "), (F.col("_k") + 1).cast("string"))).otherwise(F.col("title"))
     out = parts.withColumn("title", title).withColumn("content", F.col("_c.c")).withColumn("word_count", F.col("_c.n")).withColumn("part", (F.col("_k") + 1).cast("long"))

@@ -146,3 +146,40 @@ def test_rules_in_one_pass(spark):
         blank = "k < 0" if name != "clean" else f"len(regexp_extract_all(t, '[^{R.STRIP}]')) = 0"
         want = dict(con.execute(f"SELECT k, CASE WHEN {blank} THEN t ELSE {R.apply_duck('t', rules)} END FROM d").fetchall())
         assert {r.k: r.n for r in got} == want
+
+
+def test_strip_and_words_of_all_white_space(spark):
+    """Ends are cut and words counted as the rules' patterns say, for each character that is white space or next to it."""
+    near = [chr(c) for k in (*range(1, 0x30), 0x85, 0xA0, 0x1680, 0x180E, 0x2000, 0x200A, 0x200B, 0x2028, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF) for c in {max(k - 1, 1), k, k + 1}]
+    texts = [None, "", " ", "   ", *near, *(f"{c}a{c}{c}b {c}é{c}" for c in near), *(f" {c} " for c in near), *(f"x{c} y" for c in near), "😀  a", " 😀"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    listed = F.regexp_replace("t", f"^[{R.STRIP}]+|[{R.STRIP}]+$", "")
+    words = F.coalesce(F.size(F.regexp_extract_all("t", F.lit(f"[^{R.STRIP}]+"), F.lit(0))), F.lit(0))
+    assert df.filter((T.strip(F.col("t")) != listed) | (T.word_count(F.col("t")) != F.greatest(words, F.lit(0)))).collect() == []
+    assert "regexp" not in T.strip(F.col("t"))._jc.toString()
+
+
+def test_windows_of_words(spark):
+    """Long chapters are cut as slices of their words are; no word becomes a string of its own."""
+    chars = [" ", "  ", "\n", "　", "\x1c\t", "\x85 "]
+    texts = ["".join(f"{'w' * (i % 3 + 1)}{i}{chars[i * n % 6]}" for i in range(n)) for n in range(40)] + ["\n a b  c d e ", None]
+    rows = [(k, "t", t, len(t.split()) if t is not None else None) for k, t in enumerate(texts)] + [(99, "t", " ", 50)]
+    got = chapters.split_long(spark.createDataFrame(rows, "k int, title string, content string, word_count long"), 7, parts_in="n")
+    assert plan(got).count("regexp_extract_all") == 1 and "array_join" not in plan(got)
+    want = []
+    for k, title, t, n in rows:
+        if n is None or n <= 7:
+            want.append((k, title, t, n, 1, 1))
+            continue
+        w = t.split()
+        parts = [w[i : i + 7] for i in range(0, len(w), 7)] or [[]]
+        want += [(k, f"t - Part {i + 1}" if len(parts) > 1 else "t", " ".join(p), len(p), i + 1, len(parts)) for i, p in enumerate(parts)]
+    assert sorted((r.k, r.title, r.content, r.word_count, r.part, r.n) for r in got.collect()) == sorted(want)
+    long = chapters.split_long(spark.createDataFrame([(1, "t", "word " * 300_000, 300_000)], "k int, title string, content string, word_count long"), 5000)
+    assert {r.word_count for r in long.collect()} == {5000}
+
+
+def test_modern_texts_are_dealt_again(spark):
+    """The window, the grouping and the join find normalised texts dealt by their key; each exchange moves texts, none sentences."""
+    lines = exchanges(E.queries()["modern_stats"](spark, SF))
+    assert not [line for line in lines if "ENSURE_REQUIREMENTS" in line]
