@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import rules as R
-from ..plans.session import once, spread
+from ..plans.session import once
 from . import chapters as C
 from .language import with_proper_noun
 from .text import clean, normalise, strip, word_count
@@ -78,7 +78,7 @@ def by_candidates(df: DataFrame, found: DataFrame, text: str, key: str) -> DataF
 def modern(df: DataFrame, text: str, key: str, toc: DataFrame | None = None, proper: DataFrame | None = None) -> DataFrame:
     """Normalised text, then the table of contents if there is one, else candidates, with those of proper nouns if these are given."""
     # dealt by key once more: all that follows reads the normalised texts there, none normalises them again
-    cleaned = once(spread(df.select(key, normalise(F.col(text)).alias("_whole")), key), "_text", F.col("_whole")).select(key, "_text")
+    cleaned = once(df.select(key, normalise(F.col(text)).alias("_whole")).repartition(key), "_text", F.col("_whole")).select(key, "_text")
     if toc is not None:
         return C.by_toc(cleaned, toc, "_text", key)
     return by_candidates(cleaned, candidates(cleaned, "_text", key, proper), "_text", key)
