@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import cohesion, language, modern
+from .operators import cohesion, language, modern, phrases
 from .operators import text as T
 from .plans import rules as R
+from .plans.session import parts_of
 from .queries import books, documents, query, table, wc
 from .queries_books import _confidence_sql, _MODERN_BOOKS
 
@@ -70,8 +71,8 @@ _PHRASES = f"""SELECT doc_id, CAST(min(pos) AS BIGINT) AS pos, string_agg(word,
 @query(f"SELECT doc_id, rank, phrase AS topic, n FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS BIGINT) AS rank FROM (SELECT doc_id, phrase, count(*) AS n, min(pos) AS first FROM ({_PHRASES}) GROUP BY 1, 2)) WHERE rank <= 5")
 def phrase_topics(spark, sf_dir):
     """The five most frequent phrases of each document."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    return language.topics(language.phrases(docs, phrase_pairs(spark, sf_dir), "text", "doc_id"), "doc_id")
+    docs = table(spark, sf_dir, "documents")
+    return phrases.topics(docs, "text", "doc_id", parts=parts_of(docs))
 
 
 # ---- entities ---------------------------------------------------------------------------------------------------

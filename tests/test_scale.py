@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import __spark_entry__ as E  # noqa: E402
-from scriptorium.operators import chapters, cohesion, language, media  # noqa: E402
+from scriptorium.operators import chapters, cohesion, language, media, phrases  # noqa: E402
 from scriptorium.operators import text as T  # noqa: E402
 from scriptorium.plans import rules as R  # noqa: E402
 from scriptorium.plans import session  # noqa: E402
@@ -183,3 +183,46 @@ def test_modern_texts_are_dealt_again(spark):
     """The window, the grouping and the join find normalised texts dealt by their key; each exchange moves texts, none sentences."""
     lines = exchanges(E.queries()["modern_stats"](spark, SF))
     assert not [line for line in lines if "ENSURE_REQUIREMENTS" in line]
+
+
+def test_phrase_topics_move_texts_once(spark, tmp_path, monkeypatch):
+    """Texts are read and dealt by one shuffle, words only as packed pairs, however few bytes of pairs may be broadcast."""
+    monkeypatch.setattr(language, "BROADCAST_BYTES", 0)
+    df = E.queries()["phrase_topics"](spark, SF)
+    ours = sorted(map(tuple, df.collect()))
+    assert len(ours) > 0 and "LeftSemi" not in plan(df)
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    assert ours == sorted(db.execute(E.oracle_sql()["phrase_topics"]).fetchall())
+
+
+ODD = ["new york city hall of new york city hall of fame", " a  b a b,a b \n a b ", None, "", "  ", "É À é à É À. é à", "x1y x y x y 9", "new york\nnew york new york " * 40, "ſß ǅa " * 5, "the end", "a"]
+
+
+@pytest.mark.parametrize("least, lift", [(3, 20), (2, 2), (1, 1)])
+def test_topics_of_packed_pairs(spark, least, lift):
+    """The same topics as by rows of words: odd letters and spaces, empty texts, chains of more than four words, numbers as text."""
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(ODD * 7)], "k long, t string").repartition(5)
+    by_rows = language.topics(language.phrases(df, language.phrase_pairs(df, "t", "k", least, lift), "t", "k"), "k")
+    assert sorted(map(tuple, phrases.topics(df, "t", "k", least, lift).collect())) == sorted(map(tuple, by_rows.collect()))
+    assert phrases.topics(df.limit(0), "t", "k", least, lift).count() == 0 and phrases.topics(df.filter("t = ''"), "t", "k", least, lift).count() == 0
+
+
+def test_phrase_topics_of_odd_texts(spark, tmp_path):
+    """As SQL has it, capitals that Java makes two characters or another letter among them."""
+    rows = [(k, t) for k, t in enumerate((ODD + ["İx Ab " * 9, "ΟΔΟΣ ΑΣ. ΟΔΟΣ ΑΣ"]) * 7)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(db.execute(E.oracle_sql()["phrase_topics"]).fetchall())
+    assert len(want) > 50 and sorted(map(tuple, E.queries()["phrase_topics"](spark, str(tmp_path)).collect())) == want
+
+
+def test_pairs_packed_and_unpacked():
+    np, pa = pytest.importorskip("numpy"), pytest.importorskip("pyarrow")
+    names = pa.array([f"w{k:04d}" for k in range(3000)])
+    first, second = np.sort(np.arange(5000) * 7 % 3000), np.where(np.arange(5000) % 5 == 0, -1, np.arange(5000) * 11 % 3000)
+    n = np.arange(5000, dtype=np.int64) ** 3
+    own, a, b, m = phrases.unpack(phrases.pack(names, first, second, n))
+    spelled = lambda names, a, b: [(names[int(x)].as_py(), names[int(y)].as_py() if y >= 0 else None) for x, y in zip(a, b)]
+    assert spelled(own, a, b) == spelled(names, first, second) and (m == n).all()
